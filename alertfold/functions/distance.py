@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def byte_text(text: Column) -> Column:
@@ -18,13 +19,20 @@ def byte_levenshtein(a: Column, b: Column, limit: Column | None = None) -> Colum
     return F.call_function("levenshtein", *sides, *([] if limit is None else [limit]))
 
 
-def epoch_micros(ts: Column) -> Column:
-    """Microseconds since 1970, also for timestamps without a zone and whatever the session zone is."""
-    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", start, ts.cast("timestamp_ntz"))
+def epoch_micros(df: DataFrame, name: str = "ts", value: Column | None = None) -> Column:
+    """Microseconds since 1970 of a timestamp column, or of ``value``, which has that column's type.
 
+    Instants give their epoch time; timestamps without a zone count as they stand, in any session zone.
+    """
+    ts = F.col(name) if value is None else value
+    if isinstance(df.schema[name].dataType, T.TimestampType):
+        return F.unix_micros(ts)
+    minutes = F.unix_date(ts.cast("date")).cast("long") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    seconds = F.date_part(F.lit("SECOND"), ts) * 1_000_000
+    return minutes * 60_000_000 + seconds.cast("long")
 
-def slot_start(ts: Column, seconds: int) -> Column:
+
+def slot_start(df: DataFrame, seconds: int, name: str = "ts") -> Column:
     """Start, in epoch seconds, of the slot of that many seconds the time falls into."""
-    micros = epoch_micros(ts)
+    micros = epoch_micros(df, name)
     return ((micros - F.pmod(micros, F.lit(seconds * 1_000_000))) / 1_000_000).cast("long")

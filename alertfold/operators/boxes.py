@@ -19,7 +19,7 @@ def assign_boxes(
     Within a chat and tick, messages are cut into boxes of ``max_messages`` in arrival order; none is lost.
     Needs ``chat_id``, ``ts`` and ``seq``.
     """
-    ticked = messages.withColumn("tick", slot_start(F.col("ts"), wait))
+    ticked = messages.withColumn("tick", slot_start(messages, wait))
     placed = numbered(ticked, ["chat_id", "tick"], ["ts", "seq"], "_rn", hot_rows)
     return (
         placed.withColumn("box", F.floor((F.col("_rn") - 1) / max_messages).cast("long"))
@@ -37,15 +37,13 @@ def batch_gate(boxed: DataFrame, min_approx: int = 5) -> DataFrame:
 def pack_boxes(boxed: DataFrame) -> DataFrame:
     """One row per box with ``msgs``, its messages in arrival order; the box size bounds the array.
 
-    ``flat`` holds one character per byte and ``bytes`` the length, so distances need no further decoding.
-    The hash partitioning by (chat, tick) of :func:`assign_boxes` already fits, so nothing moves here.
+    ``bytes`` is the length, and ``flat`` holds one character per byte where that differs from the text, so
+    distances need no further decoding. The hash partitioning by (chat, tick) of :func:`assign_boxes`
+    already fits, so nothing moves here.
     """
+    text = F.col("text")
+    several = F.octet_length(text) != F.char_length(text)
     message = F.struct(
-        "pos",
-        "seq",
-        "ts",
-        "text",
-        byte_text(F.col("text")).alias("flat"),
-        F.octet_length("text").alias("bytes"),
+        "pos", "seq", "text", F.when(several, byte_text(text)).alias("flat"), F.octet_length(text).alias("bytes")
     )
     return boxed.groupBy(*BOX).agg(F.sort_array(F.collect_list(message)).alias("msgs"))

@@ -7,31 +7,40 @@ from pyspark.sql import functions as F
 
 from alertfold.functions.script import fold_template
 from alertfold.functions.templates import format_batch
-from alertfold.operators.boxes import BOX, pack_boxes
+from alertfold.operators.boxes import BOX, assign_boxes, pack_boxes
 from alertfold.operators.grouping import with_roots
+from alertfold.operators.mutes import apply_mutes
 from alertfold.options import Options
 from alertfold.plans.ordered import HOT_ROWS
 
 
 def _groups() -> Column:
-    """The groups of a box in order of their roots, each with its members in arrival order."""
-    roots = F.col("roots")
-    return F.transform(
-        F.array_distinct(roots),
-        lambda r: F.filter(F.col("msgs"), lambda m, i: F.get(roots, i) == r),
+    """The groups of a box in order of their roots: seq and text of the root, size, texts in arrival order."""
+    roots, msgs = F.col("roots"), F.col("msgs")
+
+    def group(root: Column) -> Column:
+        texts = F.transform(F.filter(msgs, lambda m, i: F.get(roots, i) == root), lambda m: m["text"])
+        return _output(F.get(msgs, root), F.size(F.filter(roots, lambda r: r == root)), texts)
+
+    return F.transform(F.array_distinct(roots), group)
+
+
+def _output(first: Column, cnt: Column, texts: Column) -> Column:
+    return F.struct(
+        first["seq"].alias("seq"),
+        first["text"].alias("text"),
+        cnt.alias("cnt"),
+        F.when(cnt > 1, texts).alias("texts"),
     )
 
 
 def fold_groups(boxed: DataFrame, opts: Options = Options()) -> DataFrame:
-    """Groups of two or more: root_seq, cnt, template, and the members folded."""
+    """Groups of two or more: root_seq, cnt, template, and the texts folded."""
     boxes = with_roots(pack_boxes(boxed), opts)
-    groups = boxes.select(*BOX, F.explode_outer(_groups()).alias("members")).filter(F.size("members") > 1)
-    return groups.select(
-        *BOX,
-        F.get("members", F.lit(0))["seq"].alias("root_seq"),
-        F.size("members").alias("cnt"),
-        fold_template(F.col("members.text")).alias("template"),
-        "members",
+    groups = F.filter(_groups(), lambda g: g["cnt"] > 1)
+    rows = boxes.select(*BOX, F.explode_outer(groups).alias("g")).filter(F.col("g").isNotNull())
+    return rows.select(
+        *BOX, F.col("g.seq").alias("root_seq"), "g.cnt", "g.texts", fold_template("g.texts").alias("template")
     )
 
 
@@ -41,33 +50,28 @@ def compact_boxes(boxed: DataFrame, opts: Options = Options()) -> DataFrame:
     Boxes of up to ``min_approx`` messages pass unchanged; in others singles come first in arrival order,
     then groups in order of their heads.
     """
-    packed = pack_boxes(boxed)
-    gate = F.size("msgs") > opts.min_approx
-    # an empty message list costs nothing below: ungated boxes skip the pair search
-    searched = with_roots(
-        packed.withColumn("_all", F.col("msgs")).withColumn("msgs", F.when(gate, F.col("msgs")).otherwise(F.array())),
-        opts,
-    )
-    alone = F.transform("_all", lambda m: F.array(m))
-    outputs = F.when(F.size("_all") > opts.min_approx, F.concat(
-        F.filter(F.col("_groups"), lambda g: F.size(g) == 1), F.filter(F.col("_groups"), lambda g: F.size(g) > 1)
-    )).otherwise(alone)
-    rows = (
-        searched.withColumn("_groups", _groups())
-        .withColumn("_out", outputs)
-        .select(*BOX, F.posexplode_outer("_out").alias("out_pos", "members"))
+    gate = F.size("_all") > opts.min_approx
+    # boxes that pass unchanged show an empty list to the pair search
+    gated = pack_boxes(boxed).withColumnRenamed("msgs", "_all").withColumn(
+        "msgs", F.when(gate, F.col("_all")).otherwise(F.array())
     )
-    cnt = F.size("members")
-    first = F.get("members", F.lit(0))
-    folded = rows.withColumn("pattern", fold_template(F.when(cnt > 1, F.col("members.text"))))
+    grouped = with_roots(gated, opts).withColumn("_groups", _groups())
+    unchanged = F.transform("_all", lambda m: _output(m, F.lit(1), F.array(m["text"])))
+    outputs = F.when(
+        gate,
+        F.concat(F.filter("_groups", lambda g: g["cnt"] == 1), F.filter("_groups", lambda g: g["cnt"] > 1)),
+    ).otherwise(unchanged)
+    rows = grouped.select(*BOX, F.posexplode_outer(outputs).alias("out_pos", "o")).select(*BOX, "out_pos", "o.*")
+    folded = rows.withColumn("pattern", fold_template("texts"))
+    several = F.col("cnt") > 1
     return folded.select(
         *BOX,
         "out_pos",
-        first["seq"].alias("seq"),
-        F.when(cnt > 1, format_batch(cnt, F.col("pattern"))).otherwise(first["text"]).alias("text"),
-        (cnt > 1).alias("is_group"),
+        "seq",
+        F.when(several, format_batch(F.col("cnt"), F.col("pattern"))).otherwise(F.col("text")).alias("text"),
+        several.alias("is_group"),
         "pattern",
-        cnt.alias("cnt"),
+        "cnt",
     )
 
 
@@ -78,9 +82,6 @@ def compact(
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Batch compaction of messages(chat_id, seq, ts, text): boxes, mutes, gate, groups, templates."""
-    from alertfold.operators.boxes import assign_boxes
-    from alertfold.operators.mutes import apply_mutes
-
     boxed = assign_boxes(messages, opts.wait, opts.max_messages, hot_rows)
     if mute_log is not None:
         boxed = apply_mutes(boxed, mute_log, hot_rows)

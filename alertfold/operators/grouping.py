@@ -63,44 +63,54 @@ def with_roots(boxes: DataFrame, opts: Options) -> DataFrame:
     )
 
 
+def _rows(boxes: DataFrame, entries: Column) -> DataFrame:
+    """The entries of an array per box as rows; nothing else of the box is carried along."""
+    return boxes.select(*BOX, F.explode_outer(entries).alias("e")).filter(F.col("e").isNotNull()).select(*BOX, "e.*")
+
+
+def _size_of(root: Column) -> Column:
+    return F.size(F.filter(F.col("roots"), lambda r: r == root))
+
+
+def _seq_at(place: Column) -> Column:
+    return F.get(F.col("msgs"), place)["seq"]
+
+
 def assign_heads(boxed: DataFrame, opts: Options = Options()) -> DataFrame:
     """Greedy head of each message that has one: member_seq, head_seq, dist."""
     found = with_near_heads(pack_boxes(boxed), opts.accuracy, opts.dont_approximate_multibyte)
-    links = found.select(*BOX, "msgs", F.posexplode_outer(_links(F.col("near"), opts.spread)).alias("j", "link"))
-    return links.filter(F.col("link").isNotNull()).select(
-        *BOX,
-        F.get("msgs", F.col("j"))["seq"].alias("member_seq"),
-        F.get("msgs", F.col("link.head"))["seq"].alias("head_seq"),
-        F.col("link.dist").alias("dist"),
+    heads = F.transform(
+        _links(F.col("near"), opts.spread),
+        lambda link, j: F.when(
+            link.isNotNull(),
+            F.struct(
+                _seq_at(j).alias("member_seq"), _seq_at(link["head"]).alias("head_seq"), link["dist"].alias("dist")
+            ),
+        ),
     )
+    return _rows(found, heads)
 
 
 def resolve_roots(boxed: DataFrame, opts: Options = Options()) -> DataFrame:
-    """Every message with the root of its group and the group's size: seq, root_seq, group_size."""
-    boxes = with_roots(pack_boxes(boxed), opts)
-    rows = boxes.select(*BOX, "msgs", "roots", F.posexplode_outer("msgs").alias("j", "m"))
-    root = F.get("roots", F.col("j"))
-    return rows.select(
-        *BOX,
-        F.col("m.seq").alias("seq"),
-        F.get("msgs", root)["seq"].alias("root_seq"),
-        F.size(F.filter("roots", lambda r: r == root)).alias("group_size"),
-        F.col("m.text").alias("text"),
+    """Every message with the root of its group and the group's size: seq, root_seq, group_size, text."""
+    members = F.transform(
+        "roots",
+        lambda root, j: F.struct(
+            _seq_at(j).alias("seq"),
+            _seq_at(root).alias("root_seq"),
+            _size_of(root).alias("group_size"),
+            F.get(F.col("msgs"), j)["text"].alias("text"),
+        ),
     )
+    return _rows(with_roots(pack_boxes(boxed), opts), members)
 
 
 def group_sizes(boxed: DataFrame, opts: Options = Options()) -> DataFrame:
     """Groups of two or more: root_seq, cnt."""
-    roots = with_roots(pack_boxes(boxed), opts)
-    counted = F.transform(
-        F.array_distinct("roots"),
-        lambda r: F.struct(
-            F.get(F.col("msgs"), r)["seq"].alias("root_seq"),
-            F.size(F.filter(F.col("roots"), lambda x: x == r)).alias("cnt"),
-        ),
+    groups = F.transform(
+        F.array_distinct("roots"), lambda root: F.struct(_seq_at(root).alias("root_seq"), _size_of(root).alias("cnt"))
     )
-    groups = roots.select(*BOX, F.explode_outer(counted).alias("g")).select(*BOX, "g.root_seq", "g.cnt")
-    return groups.filter(F.col("cnt") > 1)
+    return _rows(with_roots(pack_boxes(boxed), opts), groups).filter(F.col("cnt") > 1)
 
 
 def singles(boxed: DataFrame, opts: Options = Options()) -> DataFrame:

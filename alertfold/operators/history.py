@@ -30,7 +30,8 @@ def recent_history(
     entry = ["ts", "seq", *payload]
     seen = previous_rows(messages, ["chat_id"], ["ts", "seq"], entry, check_count, "_before", hot_rows)
     rows = seen.select(*names, F.posexplode_outer(F.reverse("_before")).alias("_i", "_h"))
-    age = F.floor((epoch_micros(F.col("ts")) - epoch_micros(F.col("_h.ts"))) / _MINUTE).cast("long")
+    passed = epoch_micros(messages) - epoch_micros(messages, value=F.col("_h.ts"))
+    age = F.floor(passed / _MINUTE).cast("long")
     return rows.filter(F.col("_h").isNotNull() & (age <= max_age_minutes)).select(
         *names,
         (F.col("_i") + 1).cast("long").alias("hist_rank"),

@@ -1,20 +1,72 @@
-"""Mutes: messages of a muted chat, or of any chat under a global mute, are dropped."""
+"""Mutes: messages of a muted chat, or of any chat under a global mute, are dropped.
+
+``mute_log(ts, seq, scope, muted)``, scope ``*`` or a chat id. A logged state holds from its own time until
+the next entry of the same scope; no entry means not muted.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertfold.functions.distance import slot_start
 from alertfold.plans.ordered import HOT_ROWS, nearest
 
 ALL_CHATS = "*"
+MAX_BROADCAST_HOURS = 500_000
 _HOUR = 3600
 
 
-def _state_at(
-    messages: DataFrame, log: DataFrame, key: str, out: str, hot_rows: int | None
-) -> DataFrame:
+def mute_intervals(mute_log: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Times of silence: scope, since, till (exclusive; null while it lasts)."""
+    # _at is the value the next entry offers to the one before it
+    timed = mute_log.withColumn("_at", F.col("ts"))
+    ended = nearest(timed, ["scope"], ["ts", "seq"], "_at", "till", after=True, hot_rows=hot_rows)
+    silent = ended.filter(F.col("muted") & (F.col("till").isNull() | (F.col("till") > F.col("ts"))))
+    return silent.select("scope", F.col("ts").alias("since"), "till")
+
+
+def _covered_hours(
+    messages: DataFrame, mute_log: DataFrame, hot_rows: int | None, max_hours: int
+) -> DataFrame | None:
+    """Silences cut by the hour, or None where that is too much to broadcast.
+
+    Counts on the log and the newest message time are enough to know the size beforehand.
+    """
+    newest = messages.agg(F.max("ts").cast("string").alias("newest")).first().newest
+    if newest is None:
+        return None
+    last = F.lit(newest).cast(messages.schema["ts"].dataType)
+    spans = mute_intervals(mute_log, hot_rows).filter(F.col("since") <= last)
+    spans = spans.withColumn("_to", F.least(F.coalesce("till", last), last))
+    first, to = slot_start(spans, _HOUR, "since"), slot_start(spans, _HOUR, "_to")
+    spans = spans.withColumn("_first", first).withColumn("_last", to)
+    size = spans.agg(F.sum((F.col("_last") - F.col("_first")) / _HOUR + 1).alias("hours")).first().hours
+    if (size or 0) > max_hours:
+        return None
+    hours = F.explode(F.sequence("_first", "_last", F.lit(_HOUR)))
+    return spans.select("scope", "since", "till", hours.alias("_mute_hour"))
+
+
+def _silent() -> Column:
+    return (
+        (F.col("_hour") == F.col("_mute_hour"))
+        & (F.col("ts") >= F.col("since"))
+        & (F.col("till").isNull() | (F.col("ts") < F.col("till")))
+    )
+
+
+def _drop_by_hours(messages: DataFrame, hours: DataFrame) -> DataFrame:
+    """Two broadcast hash joins on the hour; the messages do not move."""
+    own = hours.filter(F.col("scope") != ALL_CHATS).withColumn("_mute_chat", F.col("scope").cast("long"))
+    everyone = hours.filter(F.col("scope") == ALL_CHATS)
+    timed = messages.withColumn("_hour", slot_start(messages, _HOUR))
+    of_chat = _silent() & (F.col("chat_id") == F.col("_mute_chat"))
+    heard = timed.join(F.broadcast(own), of_chat, "left_anti")
+    return heard.join(F.broadcast(everyone), _silent(), "left_anti").drop("_hour")
+
+
+def _state_at(messages: DataFrame, log: DataFrame, key: str, out: str, hot_rows: int | None) -> DataFrame:
     """Add the last logged state at or before each message, per key. One sorted pass, no range join."""
     names = messages.columns
     marked = messages.withColumn("_is_message", F.lit(1)).withColumn("_state", F.lit(None).cast("boolean"))
@@ -24,33 +76,33 @@ def _state_at(
     return seen.filter(F.col("_is_message") == 1).select(*names, out)
 
 
-def _drop_muted_chats(messages: DataFrame, log: DataFrame, hot_rows: int | None) -> DataFrame:
-    own = log.filter(F.col("scope") != ALL_CHATS).withColumn("chat_id", F.col("scope").cast("long"))
-    seen = _state_at(messages, own, "chat_id", "_muted", hot_rows)
-    return seen.filter(~F.coalesce("_muted", F.lit(False))).drop("_muted")
+def _drop_by_state(messages: DataFrame, mute_log: DataFrame, hot_rows: int | None) -> DataFrame:
+    """The way for logs of any size: messages and log sorted together.
 
+    The global log has a single timeline, so it is cut by the hour: the state an hour starts with, and the
+    changes within. Only the list of hours is handled in one place.
+    """
+    own = mute_log.filter(F.col("scope") != ALL_CHATS).withColumn("chat_id", F.col("scope").cast("long"))
+    by_chat = _state_at(messages, own, "chat_id", "_muted", hot_rows)
+    heard = by_chat.filter(~F.coalesce("_muted", F.lit(False))).drop("_muted")
 
-def _drop_globally_muted(
-    messages: DataFrame, hours: DataFrame, log: DataFrame, hot_rows: int | None
-) -> DataFrame:
-    """The global log has a single timeline, so it is cut by the hour: the state within the hour, and the
-    state an hour starts with. Only the list of hours is handled in one place."""
-    hour = slot_start(F.col("ts"), _HOUR)
-    everyone = log.filter(F.col("scope") == ALL_CHATS).withColumn("_hour", hour)
+    everyone = mute_log.filter(F.col("scope") == ALL_CHATS)
+    everyone = everyone.withColumn("_hour", slot_start(everyone, _HOUR))
+    hours = messages.select(slot_start(messages, _HOUR).alias("_hour")).distinct()
     ends = everyone.groupBy("_hour").agg(F.max_by("muted", F.struct("ts", "seq")).alias("_end"))
-    timeline = hours.join(ends, "_hour", "full")
-    starts = nearest(timeline, [], ["_hour"], "_end", "_start", hot_rows=hot_rows).drop("_end")
-    seen = _state_at(messages.withColumn("_hour", hour), everyone, "_hour", "_within", hot_rows)
+    starts = nearest(hours.join(ends, "_hour", "full"), [], ["_hour"], "_end", "_start", hot_rows=hot_rows)
+    timed = heard.withColumn("_hour", slot_start(heard, _HOUR))
+    seen = _state_at(timed, everyone, "_hour", "_within", hot_rows)
     state = F.coalesce("_within", "_start", F.lit(False))
-    return seen.join(starts, "_hour", "left").filter(~state).select(*messages.columns)
-
+    return seen.join(starts.drop("_end"), "_hour", "left").filter(~state).select(*messages.columns)
 
-def apply_mutes(messages: DataFrame, mute_log: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Drop messages sent while their chat, or every chat, was muted.
 
-    ``mute_log(ts, seq, scope, muted)``, scope ``*`` or a chat id. A logged state holds from its own time
-    until the next entry of the same scope; no entry means not muted.
-    """
-    hours = messages.select(slot_start(F.col("ts"), _HOUR).alias("_hour")).distinct()
-    heard = _drop_muted_chats(messages, mute_log, hot_rows)
-    return _drop_globally_muted(heard, hours, mute_log, hot_rows)
+def apply_mutes(
+    messages: DataFrame,
+    mute_log: DataFrame,
+    hot_rows: int | None = HOT_ROWS,
+    max_broadcast_hours: int = MAX_BROADCAST_HOURS,
+) -> DataFrame:
+    """Drop messages sent while their chat, or every chat, was muted."""
+    hours = _covered_hours(messages, mute_log, hot_rows, max_broadcast_hours)
+    return _drop_by_state(messages, mute_log, hot_rows) if hours is None else _drop_by_hours(messages, hours)

@@ -26,8 +26,13 @@ def near_heads(msgs: Column, accuracy: float, inclusive: bool = False) -> Column
             longer = F.greatest(head["bytes"], member["bytes"])
             gap = F.abs(head["bytes"] - member["bytes"])
             limit = F.least(longer, F.ceil(longer * accuracy).cast("int") + 1)
-            lev = F.when(head["flat"] == member["flat"], F.lit(0)).otherwise(
-                F.call_function("levenshtein", head["flat"], member["flat"], limit)
+            lev = F.when(head["text"] == member["text"], F.lit(0)).otherwise(
+                F.call_function(
+                    "levenshtein",
+                    F.coalesce(head["flat"], head["text"]),
+                    F.coalesce(member["flat"], member["text"]),
+                    limit,
+                )
             )
             possible = (longer > 0) & _under(gap / longer, accuracy, inclusive)
             return F.struct(i.cast("int").alias("head"), F.when(possible, lev).alias("lev"), longer.alias("longer"))
@@ -56,7 +61,7 @@ def with_near_heads(
     found = boxes.withColumn("near", near_heads(F.col("msgs"), accuracy, inclusive))
     if not guard_multibyte:
         return found
-    multibyte = F.exists("msgs", lambda m: m["bytes"] != F.char_length(m["text"]))
+    multibyte = F.exists("msgs", lambda m: m["flat"].isNotNull())
     heads = F.transform("near", lambda c: F.transform(c, lambda p: p["head"]))
     texts = F.when(multibyte, F.transform("msgs", lambda m: m["text"]))
     allowed = guarded_heads(F.coalesce(texts, F.array()), F.when(multibyte, heads).otherwise(F.array()))
@@ -71,13 +76,32 @@ def with_near_heads(
 
 
 def _edges(boxes: DataFrame) -> DataFrame:
-    """One row per similar pair. Outer explodes, here and elsewhere: an inner one makes the optimizer add a
-    filter on the array, which would compute the whole array a second time."""
-    per_member = boxes.select(*BOX, "msgs", F.posexplode_outer("near").alias("j", "heads"))
-    edges = per_member.select(
-        *BOX, F.get("msgs", F.col("j")).alias("member"), "msgs", F.explode_outer("heads").alias("e")
-    ).filter(F.col("e").isNotNull())
-    return edges.withColumn("head", F.get("msgs", F.col("e.head")))
+    """One row per similar pair. Only the pairs leave the box, not its messages with each of them.
+
+    Outer explodes, here and elsewhere: an inner one makes the optimizer add a filter on the array, which
+    would compute the whole array a second time.
+    """
+    msgs = F.col("msgs")
+    edges = F.flatten(
+        F.transform(
+            "near",
+            lambda heads, j: F.transform(
+                heads,
+                lambda e: F.struct(
+                    F.get(msgs, e["head"])["seq"].alias("head_seq"),
+                    F.get(msgs, j)["seq"].alias("member_seq"),
+                    F.get(msgs, e["head"])["bytes"].alias("head_bytes"),
+                    F.get(msgs, j)["bytes"].alias("member_bytes"),
+                    e["lev"].alias("lev"),
+                    e["dist"].alias("dist"),
+                ),
+            ),
+        )
+    )
+    return boxes.select(*BOX, F.explode_outer(edges).alias("e")).filter(F.col("e").isNotNull()).select(*BOX, "e.*")
+
+
+_PAIR = [*BOX, "head_seq", "member_seq", "lev", "dist"]
 
 
 def similarity_pairs(
@@ -91,23 +115,23 @@ def similarity_pairs(
     if norm not in ("max", "left"):
         raise ValueError("norm must be 'max' or 'left'")
     edges = _edges(with_near_heads(pack_boxes(boxed), accuracy, inclusive=inclusive))
-    forward = F.struct(F.col("head").alias("a"), F.col("member").alias("b"))
     if norm == "max":
-        return edges.select(
-            *BOX, F.col("head.seq").alias("head_seq"), F.col("member.seq").alias("member_seq"), "e.lev", "e.dist"
-        )
+        return edges.select(*_PAIR)
+
     # distance / head length under the bound implies distance / longer length under it
-    backward = F.struct(F.col("member").alias("a"), F.col("head").alias("b"))
-    both = edges.select(*BOX, "e.lev", F.explode(F.array(forward, backward)).alias("p"))
-    ratio = F.when(F.col("p.a.bytes") > 0, F.col("lev") / F.col("p.a.bytes"))
-    return both.select(
-        *BOX, F.col("p.a.seq").alias("head_seq"), F.col("p.b.seq").alias("member_seq"), "lev", ratio.alias("dist")
-    ).filter(_under(F.col("dist"), accuracy, inclusive))
+    def directed(head: str, member: str) -> Column:
+        size = F.col(f"{head}_bytes")
+        return F.struct(
+            F.col(f"{head}_seq").alias("head_seq"),
+            F.col(f"{member}_seq").alias("member_seq"),
+            F.when(size > 0, F.col("lev") / size).alias("dist"),
+        )
+
+    both = F.array(directed("head", "member"), directed("member", "head"))
+    ordered = edges.select(*BOX, "lev", F.explode(both).alias("p")).select(*BOX, "lev", "p.*")
+    return ordered.filter(_under(F.col("dist"), accuracy, inclusive)).select(*_PAIR)
 
 
 def multibyte_guard(boxed: DataFrame, accuracy: float = 0.4) -> DataFrame:
     """Similar pairs whose edit script leaves the non-ASCII characters of the head alone."""
-    edges = _edges(with_near_heads(pack_boxes(boxed), accuracy, guard_multibyte=True))
-    return edges.select(
-        *BOX, F.col("head.seq").alias("head_seq"), F.col("member.seq").alias("member_seq"), "e.lev", "e.dist"
-    )
+    return _edges(with_near_heads(pack_boxes(boxed), accuracy, guard_multibyte=True)).select(*_PAIR)

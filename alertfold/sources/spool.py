@@ -22,7 +22,10 @@ def _messages(files: DataFrame) -> DataFrame:
 
 
 def read_spool(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of a spool: chat_id, msg_id (file name), ts (file time), text (whole content)."""
+    """Messages of a spool: chat_id, msg_id (file name), ts (file time), text (whole content).
+
+    Spark plans no reads for files of zero bytes, so an empty message (which no chat accepts) gives no row.
+    """
     return _messages(spark.read.text(path, wholetext=True, recursiveFileLookup=True))
 
 
@@ -32,14 +35,6 @@ def stream_spool(spark: SparkSession, path: str, max_files_per_trigger: int = 10
     return _messages(reader.text(path, wholetext=True, recursiveFileLookup=True))
 
 
-def muted_chats(spark: SparkSession, path: str) -> DataFrame:
-    """Chats with a mute marker in their directory: chat_id."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    markers = files.option("pathGlobFilter", MUTE_MARKER).load(path).select("path")
-    chat = F.regexp_extract("path", _CHAT, 1)
-    return markers.filter(chat != "").select(chat.cast("long").alias("chat_id")).distinct()
-
-
 def write_spool(messages: DataFrame, path: str) -> None:
     """Write messages(chat_id, text) one file each, as a spool other programs can read."""
     out = messages.select("chat_id", "text")

@@ -89,7 +89,7 @@ def compact_stream(messages: DataFrame, opts: Options = Options()) -> DataFrame:
     ``ts`` is the time of the event; rows later than the history's age limit are dropped.
     """
     timed = messages.select(
-        "chat_id", F.col("ts").cast("timestamp").alias("ts"), "seq", "text", epoch_micros(F.col("ts")).alias("micros")
+        "chat_id", F.col("ts").cast("timestamp").alias("ts"), "seq", "text", epoch_micros(messages).alias("micros")
     )
     if messages.isStreaming:
         timed = timed.withWatermark("ts", f"{opts.history_max_age_minutes} minutes")

@@ -144,10 +144,8 @@ def edit_script(i: Inputs) -> DataFrame:
 def fold_groups(i: Inputs) -> DataFrame:
     """Groups with the number of members their template matches, which must be all."""
     folded = folding.fold_groups(boxed_alerts(i), NEAR)
-    covered = folded.select("*", F.explode_outer("members").alias("m")).groupBy(
-        "chat_id", "tick", "box", "root_seq", "cnt"
-    )
-    return covered.agg(F.count_if(matches(F.col("template"), F.col("m.text"))).cast("int").alias("covered"))
+    covered = F.filter("texts", lambda text: matches(F.col("template"), text))
+    return folded.withColumn("covered", F.size(covered)).drop("texts", "template")
 
 
 @query

@@ -1,0 +1,77 @@
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from alertfold.functions.script import edit_distance, fold_texts, script, touches_multibyte
+from alertfold.functions.templates import compiled_template
+
+TEXT = st.text(alphabet="ab 01é?", max_size=24)
+
+
+def textbook_distance(a, b):
+    row = list(range(len(a) + 1))
+    for j, c in enumerate(b, 1):
+        above, row[0] = row[0], j
+        for i, d in enumerate(a, 1):
+            above, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, above + (c != d))
+    return row[-1]
+
+
+def applied(a, b, ops):
+    out, i, j = [], 0, 0
+    for op in ops:
+        if op == "=":
+            assert a[i] == b[j]
+        if op in "=!+":
+            out.append(b[j])
+            j += 1
+        i += op != "+"
+    assert i == len(a)
+    return "".join(out)
+
+
+@settings(max_examples=400, deadline=None)
+@given(TEXT, TEXT)
+def test_script_is_cheapest_and_applies(a, b):
+    ops = script(a, b)
+    assert applied(a, b, ops) == b
+    assert sum(op != "=" for op in ops) == textbook_distance(a, b) == edit_distance(a, b)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab 01é", max_size=16), min_size=1, max_size=6))
+def test_template_matches_every_member(texts):
+    pattern = compiled_template(fold_texts(texts))
+    assert all(pattern.fullmatch(t) for t in texts)
+
+
+@pytest.mark.parametrize(
+    "a, b, ops",
+    [
+        ("", "", ""),
+        ("", "ab", "++"),
+        ("ab", "", "--"),
+        ("a b c d", "a b c d", "======="),
+        ("kitten", "sitting", "!===!=+"),
+        ("ab", "aab", "+=="),  # the cut is the first cheapest: nothing goes to the first half
+        ("aab", "ab", "-=="),
+        ("abca", "a", "---="),  # one character is matched with its last occurrence
+        ("bcd", "a", "--!"),
+        ("disk 91 full", "disk 95 full", "======!====="),
+    ],
+)
+def test_script_by_hand(a, b, ops):
+    assert script(a, b) == ops
+
+
+def test_folding_by_hand():
+    assert fold_texts(["disk 91 full", "disk 95 full", "disk 7 full"]) == "disk ?? full"
+    assert fold_texts(["a b c d", "a b c d"]) == "a b c d"
+    assert fold_texts(["été 5", "ete 7"]) == "?t? ?"
+    assert fold_texts(["€ 1", "𝄞 1"]) == "? 1"
+
+
+def test_multibyte_guard_looks_at_the_head_only():
+    assert touches_multibyte("été", "ete")
+    assert not touches_multibyte("ete", "été")
+    assert not touches_multibyte("été 1", "été 2")
