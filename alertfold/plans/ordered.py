@@ -37,6 +37,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | N
     return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
+def shuffle_tasks(df: DataFrame) -> int:
+    """The configured number of shuffle tasks. Given to repartition, AQE keeps it."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def split_hot(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None
 ) -> tuple[DataFrame | None, DataFrame | None]:
@@ -57,8 +62,7 @@ def split_hot(
         if df.count() <= min(hot_rows, KEYLESS_ROWS):
             return df, None
         cold, hot_part = None, df
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = hot_part.repartitionByRange(parts, *keys, *order).withColumn(_PART, F.spark_partition_id())
+    spread = hot_part.repartitionByRange(shuffle_tasks(df), *keys, *order).withColumn(_PART, F.spark_partition_id())
     return cold, checkpointed(spread)
 
 
