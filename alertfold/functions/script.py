@@ -130,9 +130,15 @@ def fold_template(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else fold_texts(t) for t in texts], dtype=object)
 
 
+@F.pandas_udf(T.BooleanType())
+def keeps_multibyte(heads: pd.Series, texts: pd.Series) -> pd.Series:
+    """Whether the non-ASCII characters of the head stay untouched; null texts have none."""
+    return pd.Series([h is None or not touches_multibyte(h, t) for h, t in zip(heads, texts)], dtype=bool)
+
+
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
 def guarded_heads(texts: pd.Series, heads: pd.Series) -> pd.Series:
-    """Per message of a box, the candidate heads whose non-ASCII characters stay untouched."""
+    """Per text of a box, the candidate heads whose non-ASCII characters stay untouched; null gives null."""
 
     def allowed(box: Sequence[str], candidates: Sequence[Sequence[int]]) -> list[list[int]]:
         return [
@@ -140,4 +146,8 @@ def guarded_heads(texts: pd.Series, heads: pd.Series) -> pd.Series:
             for member, near in enumerate(candidates)
         ]
 
-    return pd.Series([allowed(box, near) for box, near in zip(texts, heads)], dtype=object)
+    return pd.Series([None if box is None else allowed(box, near) for box, near in zip(texts, heads)], dtype=object)
+
+
+# its result is used inside lambdas, where a Python call cannot be merged into
+guarded_heads = guarded_heads.asNondeterministic()

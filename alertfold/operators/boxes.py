@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertfold.functions.distance import byte_text, slot_start
+from alertfold.functions.distance import slot_start
 from alertfold.plans.ordered import HOT_ROWS, numbered, shuffle_tasks
 
 BOX = ["chat_id", "tick", "box"]
@@ -37,17 +37,9 @@ def batch_gate(boxed: DataFrame, min_approx: int = 5) -> DataFrame:
 def pack_boxes(boxed: DataFrame) -> DataFrame:
     """One row per box with ``msgs``, its messages in arrival order; the box size bounds the array.
 
-    ``bytes`` is the length, and ``flat`` holds one character per byte where that differs from the text, so
-    distances need no further decoding.
-
     Boxes are spread on their own, although the partitioning by (chat, tick) of :func:`assign_boxes` would
     do: comparing the messages of a box costs far more than moving them, and boxes have a bounded size where
     a chat's tick has none. The number of tasks is kept, because the work is heavy for its bytes.
     """
-    text = F.col("text")
-    several = F.octet_length(text) != F.char_length(text)
-    message = F.struct(
-        "pos", "seq", "text", F.when(several, byte_text(text)).alias("flat"), F.octet_length(text).alias("bytes")
-    )
     spread = boxed.repartition(shuffle_tasks(boxed), *BOX)
-    return spread.groupBy(*BOX).agg(F.sort_array(F.collect_list(message)).alias("msgs"))
+    return spread.groupBy(*BOX).agg(F.sort_array(F.collect_list(F.struct("pos", "seq", "text"))).alias("msgs"))

@@ -1,6 +1,12 @@
 """Groups of similar messages: heads, chains, roots, singles.
 
-Everything happens inside the row of one box, whose size is bounded; see ``operators.boxes``.
+A message takes the first similar message before it as its head, and changes to a later one only if that is
+nearer by more than ``spread``. A message that heads others keeps its own head only while that one is not
+farther than its nearest member by ``spread`` or more. The root of a message is where its heads lead.
+
+Everything happens inside the row of one box, whose size is bounded, and on distinct texts: a copy has the
+same distances as the first of its kind, so it never becomes a head, and as a member it takes the head of
+its kind, or the first of its kind where that is nearer by more than ``spread`` (or there is no head).
 """
 
 from __future__ import annotations
@@ -9,41 +15,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertfold.operators.boxes import BOX, pack_boxes
-from alertfold.operators.similarity import with_near_heads
+from alertfold.operators.similarity import guard_multibyte, with_distances
 from alertfold.options import Options
 
 _LINK = "struct<head:int,dist:double>"
 
 
-def _links(near: Column, spread: float) -> Column:
-    """Per message its head: the first candidate, replaced only by one nearer by more than ``spread``."""
-    return F.transform(
-        near,
-        lambda candidates: F.aggregate(
-            candidates,
+def _link(head: Column, dist: Column) -> Column:
+    return F.struct(head.cast("int").alias("head"), dist.cast("double").alias("dist"))
+
+
+def _first_links(spread: float) -> Column:
+    """Per kind the head of its first message."""
+
+    def choose(row: Column, y: Column) -> Column:
+        earlier = F.transform(F.slice(row, F.lit(1), y), lambda d, x: _link(x, d["dist"]))
+        return F.aggregate(
+            earlier,
             F.lit(None).cast(_LINK),
             lambda held, c: F.when(
-                held.isNull() | (held["dist"] - c["dist"] > spread),
-                F.struct(c["head"].alias("head"), c["dist"].alias("dist")),
+                c["dist"].isNotNull() & (held.isNull() | (held["dist"] - c["dist"] > spread)), c
             ).otherwise(held),
-        ),
-    )
+        )
+
+    return F.transform("levs", choose)
+
+
+def _copy_links(spread: float) -> Column:
+    """Per kind the head of its further messages; empty texts have none."""
 
+    def choose(first: Column, y: Column) -> Column:
+        own = first.isNull() | (first["dist"] > spread)
+        return F.when(F.get(F.col("texts"), y) != "", F.when(own, _link(y, F.lit(0.0))).otherwise(first))
 
-def _parents(links: Column, spread: float) -> Column:
-    """Per message its head or itself: a message that heads others keeps its own head only while that one
-    is not farther than its nearest member by ``spread`` or more."""
+    return F.transform("first_link", choose)
 
-    def keep(link: Column, j: Column) -> Column:
-        members = F.filter(links, lambda other: other["head"] == j)
-        nearest = F.array_min(F.transform(members, lambda other: other["dist"]))
-        stays = link.isNotNull() & (nearest.isNull() | (link["dist"] - nearest < spread))
-        return F.when(stays, link["head"]).otherwise(j.cast("int"))
 
-    return F.transform(links, keep)
+def _parents(spread: float) -> Column:
+    """Per kind the head its first message keeps, or itself."""
+    first, copied, at, last = (F.col(c) for c in ("first_link", "copy_link", "first_at", "last_at"))
 
+    def keep(link: Column, y: Column) -> Column:
+        members = F.filter(first, lambda other: other["head"] == y)
+        copies = F.when((F.get(copied, y)["head"] == y) & (F.get(last, y) > F.get(at, y)), F.lit(0.0))
+        nearest = F.least(F.array_min(F.transform(members, lambda other: other["dist"])), copies)
+        cut = link.isNull() | F.coalesce(link["dist"] - nearest >= spread, F.lit(False))
+        return F.when(cut, y.cast("int")).otherwise(link["head"])
 
-def _roots(parents: Column) -> Column:
+    return F.transform(first, keep)
+
+
+def _tops(parents: Column) -> Column:
     """Follow parents to the top. Parents come earlier, so one pass from the left is enough."""
     return F.aggregate(
         parents,
@@ -52,14 +74,38 @@ def _roots(parents: Column) -> Column:
     )
 
 
+def with_links(boxes: DataFrame, opts: Options) -> DataFrame:
+    """Add to packed boxes the links of kinds: ``first_link``, ``copy_link``, ``first_at``, ``last_at``."""
+    distances = with_distances(boxes, opts.accuracy)
+    if opts.dont_approximate_multibyte:
+        distances = guard_multibyte(distances)
+    kind_of = F.col("kind_of")
+    first_at = F.transform("texts", lambda t, y: (F.array_position(kind_of, y.cast("int")) - 1).cast("int"))
+    last_at = F.transform(
+        "texts", lambda t, y: (F.size(kind_of) - F.array_position(F.reverse(kind_of), y.cast("int"))).cast("int")
+    )
+    return (
+        distances.withColumns({"first_link": _first_links(opts.spread), "first_at": first_at, "last_at": last_at})
+        .withColumn("copy_link", _copy_links(opts.spread))
+        .drop("levs")
+    )
+
+
 def with_roots(boxes: DataFrame, opts: Options) -> DataFrame:
-    """Add ``links`` and ``roots`` to packed boxes."""
+    """Add ``roots`` to packed boxes: per message the place of the root of its group."""
+    tops, first_at, copied = F.col("tops"), F.col("first_at"), F.col("copy_link")
+
+    def root(y: Column, j: Column) -> Column:
+        of_copy = F.get(first_at, F.get(tops, F.get(copied, y)["head"]))
+        return F.when(F.get(first_at, y) == j, F.get(first_at, F.get(tops, y))).otherwise(
+            F.coalesce(of_copy, j.cast("int"))
+        )
+
     return (
-        with_near_heads(boxes, opts.accuracy, opts.dont_approximate_multibyte)
-        .withColumn("links", _links(F.col("near"), opts.spread))
-        .withColumn("parents", _parents(F.col("links"), opts.spread))
-        .withColumn("roots", _roots(F.col("parents")))
-        .drop("near", "parents")
+        with_links(boxes, opts)
+        .withColumn("tops", _tops(_parents(opts.spread)))
+        .withColumn("roots", F.transform("kind_of", root))
+        .drop("texts", "kind_of", "first_link", "copy_link", "first_at", "last_at", "tops")
     )
 
 
@@ -78,17 +124,24 @@ def _seq_at(place: Column) -> Column:
 
 def assign_heads(boxed: DataFrame, opts: Options = Options()) -> DataFrame:
     """Greedy head of each message that has one: member_seq, head_seq, dist."""
-    found = with_near_heads(pack_boxes(boxed), opts.accuracy, opts.dont_approximate_multibyte)
-    heads = F.transform(
-        _links(F.col("near"), opts.spread),
-        lambda link, j: F.when(
-            link.isNotNull(),
-            F.struct(
-                _seq_at(j).alias("member_seq"), _seq_at(link["head"]).alias("head_seq"), link["dist"].alias("dist")
+    first_at, first, copied = F.col("first_at"), F.col("first_link"), F.col("copy_link")
+
+    def head(y: Column, j: Column) -> Column:
+        link = F.when(F.get(first_at, y) == j, F.get(first, y)).otherwise(F.get(copied, y))
+        return F.struct(_seq_at(j).alias("member_seq"), link.alias("link"))
+
+    linked = _rows(
+        with_links(pack_boxes(boxed), opts),
+        F.transform(
+            F.filter(F.transform("kind_of", head), lambda h: h["link"].isNotNull()),
+            lambda h: F.struct(
+                h["member_seq"].alias("member_seq"),
+                _seq_at(F.get(first_at, h["link"]["head"])).alias("head_seq"),
+                h["link"]["dist"].alias("dist"),
             ),
         ),
     )
-    return _rows(found, heads)
+    return linked
 
 
 def resolve_roots(boxed: DataFrame, opts: Options = Options()) -> DataFrame:

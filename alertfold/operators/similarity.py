@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertfold.functions.script import guarded_heads
+from alertfold.functions.distance import byte_text
+from alertfold.functions.script import guarded_heads, keeps_multibyte
 from alertfold.operators.boxes import BOX, pack_boxes
 
 
@@ -13,92 +14,112 @@ def _under(ratio: Column, accuracy: float, inclusive: bool) -> Column:
     return ratio <= accuracy if inclusive else ratio < accuracy
 
 
-def near_heads(msgs: Column, accuracy: float, inclusive: bool = False) -> Column:
-    """Per message of a box, the earlier messages with distance / longer length under ``accuracy``.
+def _kind(text: Column) -> Column:
+    """A distinct text of a box, with its bytes as characters and its length in bytes."""
+    return F.struct(text.alias("text"), byte_text(text).alias("flat"), F.octet_length(text).alias("bytes"))
 
-    Gives an array (one entry per message) of arrays of (head, lev, dist), heads in arrival order. The
-    difference in length is a lower bound of the distance, so it decides first; the distance itself stops
-    at the largest value that can still pass.
-    """
 
-    def against(member: Column) -> object:
-        def pair(head: Column, i: Column) -> Column:
-            longer = F.greatest(head["bytes"], member["bytes"])
-            gap = F.abs(head["bytes"] - member["bytes"])
-            limit = F.least(longer, F.ceil(longer * accuracy).cast("int") + 1)
-            lev = F.when(head["text"] == member["text"], F.lit(0)).otherwise(
-                F.call_function(
-                    "levenshtein",
-                    F.coalesce(head["flat"], head["text"]),
-                    F.coalesce(member["flat"], member["text"]),
-                    limit,
-                )
-            )
-            possible = (longer > 0) & _under(gap / longer, accuracy, inclusive)
-            return F.struct(i.cast("int").alias("head"), F.when(possible, lev).alias("lev"), longer.alias("longer"))
-
-        return pair
-
-    def candidates(member: Column, j: Column) -> Column:
-        pairs = F.transform(F.slice(msgs, F.lit(1), j), against(member))
-        found = F.filter(
-            pairs, lambda p: (p["lev"] >= 0) & _under(p["lev"] / p["longer"], accuracy, inclusive)
-        )
-        return F.transform(
-            found,
-            lambda p: F.struct(
-                p["head"].alias("head"), p["lev"].alias("lev"), (p["lev"] / p["longer"]).alias("dist")
-            ),
+def _distances(accuracy: float, inclusive: bool) -> Column:
+    """For each kind of a box (lev, dist) to every kind up to itself; null where that is too far.
+
+    The difference in length is a lower bound of the distance, so it decides first; the distance itself
+    stops at the largest value that can still pass. Empty texts are near to nothing.
+    """
+    kinds = F.col("kinds")
+
+    def measured(a: Column, b: Column) -> Column:
+        longer = F.greatest(a["bytes"], b["bytes"])
+        gap = F.abs(a["bytes"] - b["bytes"])
+        limit = F.least(longer, F.ceil(longer * accuracy).cast("int") + 1)
+        lev = F.when(a["text"] == b["text"], F.lit(0)).otherwise(
+            F.call_function("levenshtein", a["flat"], b["flat"], limit)
         )
+        possible = (longer > 0) & _under(gap / longer, accuracy, inclusive)
+        return F.struct(F.when(possible, lev).alias("lev"), longer.alias("longer"))
 
-    return F.transform(msgs, candidates)
+    def passed(m: Column) -> Column:
+        dist = m["lev"] / m["longer"]
+        near = (m["lev"] >= 0) & _under(dist, accuracy, inclusive)
+        return F.when(near, F.struct(m["lev"].alias("lev"), dist.alias("dist")))
 
+    def against_earlier(b: Column, y: Column) -> Column:
+        return F.transform(F.transform(F.slice(kinds, F.lit(1), y + 1), lambda a: measured(a, b)), passed)
 
-def with_near_heads(
-    boxes: DataFrame, accuracy: float, guard_multibyte: bool = False, inclusive: bool = False
-) -> DataFrame:
-    """Add ``near`` to packed boxes; with the guard, without pairs that change non-ASCII characters."""
-    found = boxes.withColumn("near", near_heads(F.col("msgs"), accuracy, inclusive))
-    if not guard_multibyte:
-        return found
-    multibyte = F.exists("msgs", lambda m: m["flat"].isNotNull())
-    heads = F.transform("near", lambda c: F.transform(c, lambda p: p["head"]))
-    texts = F.when(multibyte, F.transform("msgs", lambda m: m["text"]))
-    allowed = guarded_heads(F.coalesce(texts, F.array()), F.when(multibyte, heads).otherwise(F.array()))
-    kept = F.transform(
-        "near", lambda c, j: F.filter(c, lambda p: F.array_contains(F.get(F.col("_allowed"), j), p["head"]))
-    )
+    return F.transform(kinds, against_earlier)
+
+
+def with_distances(boxes: DataFrame, accuracy: float, inclusive: bool = False) -> DataFrame:
+    """Add to packed boxes ``texts`` (the distinct ones, by first arrival), ``kind_of`` (the place of each
+    message's text among them) and ``levs`` (per kind, (lev, dist) to every kind up to itself; null if far).
+
+    Distances are taken once per pair of distinct texts, so copies cost nothing.
+    """
+    texts = F.col("texts")
+    place = F.transform("msgs", lambda m: (F.array_position(texts, m["text"]) - 1).cast("int"))
     return (
-        found.withColumn("_allowed", allowed)
-        .withColumn("near", F.when(multibyte, kept).otherwise(F.col("near")))
-        .drop("_allowed")
+        boxes.withColumn("texts", F.array_distinct(F.transform("msgs", lambda m: m["text"])))
+        .withColumns({"kind_of": place, "kinds": F.transform(texts, _kind)})
+        .withColumn("levs", _distances(accuracy, inclusive))
+        .drop("kinds")
     )
 
 
-def _edges(boxes: DataFrame) -> DataFrame:
-    """One row per similar pair. Only the pairs leave the box, not its messages with each of them.
+def guard_multibyte(distances: DataFrame) -> DataFrame:
+    """Forget distances between kinds whose script changes non-ASCII characters of the earlier one.
+
+    Only boxes with such characters send their texts to Python.
+    """
+    several = F.exists("texts", lambda t: F.octet_length(t) != F.char_length(t))
+    heads = F.transform(
+        "levs",
+        lambda row, y: F.filter(
+            F.transform(row, lambda d, x: F.when(d.isNotNull() & (x < y), x.cast("int"))), lambda x: x.isNotNull()
+        ),
+    )
+    allowed = guarded_heads(F.when(several, F.col("texts")), F.when(several, heads))
+    kept = F.transform(
+        "levs",
+        lambda row, y: F.transform(
+            row, lambda d, x: F.when((x == y) | F.array_contains(F.get(F.col("_allowed"), y), x.cast("int")), d)
+        ),
+    )
+    guarded = F.when(F.col("_allowed").isNull(), F.col("levs")).otherwise(kept)
+    return distances.withColumn("_allowed", allowed).withColumn("levs", guarded).drop("_allowed")
+
+
+def _edges(boxed: DataFrame, accuracy: float, inclusive: bool = False) -> DataFrame:
+    """One row per similar pair of messages, the earlier one as head. Only the pairs leave the box.
 
     Outer explodes, here and elsewhere: an inner one makes the optimizer add a filter on the array, which
     would compute the whole array a second time.
     """
-    msgs = F.col("msgs")
-    edges = F.flatten(
-        F.transform(
-            "near",
-            lambda heads, j: F.transform(
-                heads,
-                lambda e: F.struct(
-                    F.get(msgs, e["head"])["seq"].alias("head_seq"),
-                    F.get(msgs, j)["seq"].alias("member_seq"),
-                    F.get(msgs, e["head"])["bytes"].alias("head_bytes"),
-                    F.get(msgs, j)["bytes"].alias("member_bytes"),
-                    e["lev"].alias("lev"),
-                    e["dist"].alias("dist"),
-                ),
+    msgs, kind_of, levs = F.col("msgs"), F.col("kind_of"), F.col("levs")
+
+    def between(x: Column, y: Column) -> Column:
+        return F.when(x <= y, F.get(F.get(levs, y), x)).otherwise(F.get(F.get(levs, x), y))
+
+    def candidates(y: Column, j: Column) -> Column:
+        pairs = F.transform(
+            F.slice(kind_of, F.lit(1), j), lambda x, i: F.struct(i.alias("head"), between(x, y).alias("d"))
+        )
+        return F.transform(
+            F.filter(pairs, lambda p: p["d"].isNotNull()),
+            lambda p: F.struct(
+                F.get(msgs, p["head"]).alias("head"), F.get(msgs, j).alias("member"), p["d"].alias("d")
             ),
         )
+
+    boxes = with_distances(pack_boxes(boxed), accuracy, inclusive)
+    rows = boxes.select(*BOX, F.explode_outer(F.flatten(F.transform(kind_of, candidates))).alias("e"))
+    return rows.filter(F.col("e").isNotNull()).select(
+        *BOX,
+        F.col("e.head.seq").alias("head_seq"),
+        F.col("e.member.seq").alias("member_seq"),
+        F.col("e.head.text").alias("head_text"),
+        F.col("e.member.text").alias("member_text"),
+        F.col("e.d.lev").alias("lev"),
+        F.col("e.d.dist").alias("dist"),
     )
-    return boxes.select(*BOX, F.explode_outer(edges).alias("e")).filter(F.col("e").isNotNull()).select(*BOX, "e.*")
 
 
 _PAIR = [*BOX, "head_seq", "member_seq", "lev", "dist"]
@@ -114,13 +135,13 @@ def similarity_pairs(
     """
     if norm not in ("max", "left"):
         raise ValueError("norm must be 'max' or 'left'")
-    edges = _edges(with_near_heads(pack_boxes(boxed), accuracy, inclusive=inclusive))
+    edges = _edges(boxed, accuracy, inclusive)
     if norm == "max":
         return edges.select(*_PAIR)
 
     # distance / head length under the bound implies distance / longer length under it
     def directed(head: str, member: str) -> Column:
-        size = F.col(f"{head}_bytes")
+        size = F.octet_length(f"{head}_text")
         return F.struct(
             F.col(f"{head}_seq").alias("head_seq"),
             F.col(f"{member}_seq").alias("member_seq"),
@@ -134,4 +155,8 @@ def similarity_pairs(
 
 def multibyte_guard(boxed: DataFrame, accuracy: float = 0.4) -> DataFrame:
     """Similar pairs whose edit script leaves the non-ASCII characters of the head alone."""
-    return _edges(with_near_heads(pack_boxes(boxed), accuracy, guard_multibyte=True)).select(*_PAIR)
+    edges = _edges(boxed, accuracy)
+    plain = F.octet_length("head_text") == F.char_length("head_text")
+    # texts without such characters are not compared, only passed by
+    text = F.when(~plain, F.col("head_text"))
+    return edges.filter(keeps_multibyte(text, F.when(~plain, F.col("member_text")))).select(*_PAIR)

@@ -23,3 +23,5 @@ class Options:
             raise ValueError("wait and max_messages must be positive")
         if not 0 < self.accuracy < 1:
             raise ValueError("accuracy must lie between 0 and 1")
+        if self.spread < 0:
+            raise ValueError("spread must not be negative")

@@ -114,6 +114,25 @@ def test_groups_follow_the_rule_of_one_box(crowd, accuracy, guard):
     assert counted + singles(boxed, opts).count() == 900
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.1, 0.3])
+@pytest.mark.parametrize("guard", [False, True])
+def test_copies_follow_the_rule_of_one_box(messages_of, spread, guard):
+    rng = random.Random(int(spread * 10) + guard)
+    texts = ["aaaaaaaaaa", "aaaaaaaaab", "aaaaaaaabb", "aaaaaaabbb", "aaaaaabbbb", "éaaaaaaaaa", "eaaaaaaaaa", ""]
+    rows = messages_of([(box, i, rng.choice(texts)) for box in range(60) for i in range(12)])
+    opts = Options(wait=3600, accuracy=0.45, spread=spread, dont_approximate_multibyte=guard)
+    boxed = assign_boxes(rows, opts.wait)
+    boxes = {}
+    for r in boxed.collect():
+        boxes.setdefault(r.chat_id, []).append(r)
+    want = set()
+    for members in boxes.values():
+        members.sort(key=lambda r: r.pos)
+        for r, root in zip(members, group_roots([m.text for m in members], opts)):
+            want.add((r.seq, members[root].seq))
+    assert {(r.seq, r.root_seq) for r in resolve_roots(boxed, opts).collect()} == want
+
+
 def test_pairs_equal_all_pairs_tried(crowd):
     boxed = assign_boxes(crowd, 3600, 20)
     rows = boxed.collect()

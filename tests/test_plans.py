@@ -56,6 +56,14 @@ def test_distances_stay_in_the_jvm(inputs):
         assert "ArrowEvalPython" not in plan(registry.QUERIES[name](inputs)), name
 
 
+def test_distances_are_computed_once(inputs):
+    """Arrays of a box are used several times; none of the uses may compute them again."""
+    for name in ("similarity_pairs", "assign_heads", "resolve_roots", "group_sizes", "fold_groups", "compact"):
+        text = registry.QUERIES[name](inputs)._jdf.queryExecution().executedPlan().toString()
+        assert text.count("levenshtein(") == 1, name
+        assert text.count("array_position(") <= 3, name
+
+
 def test_scans_read_what_they_need(inputs):
     text = plan(registry.QUERIES["open_problems"](inputs))
     (customers,) = [line for line in text.splitlines() if "customer.parquet" in line]
