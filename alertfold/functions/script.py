@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,35 +118,41 @@ def touches_multibyte(head: str, text: str) -> bool:
     return False
 
 
-@F.pandas_udf(T.StringType())
-def edit_script(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def edit_script(a: pa.Array, b: pa.Array) -> pa.Array:
     """Column form of :func:`script`."""
-    return pd.Series([None if x is None or y is None else script(x, y) for x, y in zip(a, b)], dtype=object)
+    pairs = zip(a.to_pylist(), b.to_pylist())
+    return pa.array([None if x is None or y is None else script(x, y) for x, y in pairs], pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def fold_template(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def fold_template(texts: pa.Array) -> pa.Array:
     """Column form of :func:`fold_texts`; null gives null."""
-    return pd.Series([None if t is None else fold_texts(t) for t in texts], dtype=object)
+    return pa.array([None if t is None else fold_texts(t) for t in texts.to_pylist()], pa.string())
 
 
-@F.pandas_udf(T.BooleanType())
-def keeps_multibyte(heads: pd.Series, texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BooleanType())
+def keeps_multibyte(heads: pa.Array, texts: pa.Array) -> pa.Array:
     """Whether the non-ASCII characters of the head stay untouched; null texts have none."""
-    return pd.Series([h is None or not touches_multibyte(h, t) for h, t in zip(heads, texts)], dtype=bool)
+    pairs = zip(heads.to_pylist(), texts.to_pylist())
+    return pa.array([h is None or not touches_multibyte(h, t) for h, t in pairs], pa.bool_())
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-def guarded_heads(texts: pd.Series, heads: pd.Series) -> pd.Series:
-    """Per text of a box, the candidate heads whose non-ASCII characters stay untouched; null gives null."""
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def guarded_heads(texts: pa.Array, distances: pa.Array) -> pa.Array:
+    """Per text of a box, the earlier texts at a known distance whose non-ASCII characters stay untouched.
 
-    def allowed(box: Sequence[str], candidates: Sequence[Sequence[int]]) -> list[list[int]]:
+    ``distances`` holds for each text an entry per earlier text, null where that is too far.
+    """
+
+    def allowed(box: Sequence[str], rows: Sequence[Sequence[object]]) -> list[list[int]]:
         return [
-            [int(h) for h in near if not touches_multibyte(box[h], box[member])]
-            for member, near in enumerate(candidates)
+            [x for x, d in enumerate(row[:y]) if d is not None and not touches_multibyte(box[x], box[y])]
+            for y, row in enumerate(rows)
         ]
 
-    return pd.Series([None if box is None else allowed(box, near) for box, near in zip(texts, heads)], dtype=object)
+    boxes = zip(texts.to_pylist(), distances.to_pylist())
+    return pa.array([None if t is None else allowed(t, d) for t, d in boxes], pa.list_(pa.list_(pa.int32())))
 
 
 # its result is used inside lambdas, where a Python call cannot be merged into

@@ -67,16 +67,12 @@ def with_distances(boxes: DataFrame, accuracy: float, inclusive: bool = False) -
 def guard_multibyte(distances: DataFrame) -> DataFrame:
     """Forget distances between kinds whose script changes non-ASCII characters of the earlier one.
 
-    Only boxes with such characters send their texts to Python.
+    Only boxes with such characters send their texts to Python. (The arguments must not hold lambdas, or
+    the optimizer does not find the Python call.)
     """
-    several = F.exists("texts", lambda t: F.octet_length(t) != F.char_length(t))
-    heads = F.transform(
-        "levs",
-        lambda row, y: F.filter(
-            F.transform(row, lambda d, x: F.when(d.isNotNull() & (x < y), x.cast("int"))), lambda x: x.isNotNull()
-        ),
-    )
-    allowed = guarded_heads(F.when(several, F.col("texts")), F.when(several, heads))
+    joined = F.array_join("texts", "")
+    several = F.octet_length(joined) != F.char_length(joined)
+    allowed = guarded_heads(F.when(several, F.col("texts")), F.when(several, F.col("levs")))
     kept = F.transform(
         "levs",
         lambda row, y: F.transform(
