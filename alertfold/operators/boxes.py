@@ -12,14 +12,18 @@ BOX = ["chat_id", "tick", "box"]
 
 
 def assign_boxes(
-    messages: DataFrame, wait: int = 10, max_messages: int = 50, hot_rows: int | None = HOT_ROWS
+    messages: DataFrame,
+    wait: int = 10,
+    max_messages: int = 50,
+    hot_rows: int | None = HOT_ROWS,
+    tick: int | None = None,
 ) -> DataFrame:
     """Add ``tick`` (start second of the tick), ``box`` (number in the tick) and ``pos`` (place in the box).
 
     Within a chat and tick, messages are cut into boxes of ``max_messages`` in arrival order; none is lost.
-    Needs ``chat_id``, ``ts`` and ``seq``.
+    Needs ``chat_id``, ``ts`` and ``seq``. With ``tick``, all messages belong to that one.
     """
-    ticked = messages.withColumn("tick", slot_start(messages, wait))
+    ticked = messages.withColumn("tick", slot_start(messages, wait) if tick is None else F.lit(tick).cast("long"))
     placed = numbered(ticked, ["chat_id", "tick"], ["ts", "seq"], "_rn", hot_rows)
     return (
         placed.withColumn("box", F.floor((F.col("_rn") - 1) / max_messages).cast("long"))

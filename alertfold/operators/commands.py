@@ -174,3 +174,21 @@ def acks_from_replies(paired: DataFrame, latest: DataFrame) -> DataFrame:
     return aimed.join(latest.select("objectid", "eventid"), "objectid").select(
         "eventid", F.lit(ACKNOWLEDGE | MESSAGE).alias("mask"), F.col("reply_text").alias("message")
     )
+
+
+def creates_from_replies(paired: DataFrame, first_id: int, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Creations from answered ``maintenance.create.select.grp`` prompts, as rows of a maintenance log.
+
+    The reply is the name. Ids count on from ``first_id`` in the order of the replies. ``paired`` are parsed
+    prompts with ``reply_seq`` and ``reply_text``.
+    """
+    answered = (F.col("verb") == "maintenance.create.select.grp") & F.col("reply_text").isNotNull()
+    placed = numbered(paired.filter(answered), [], ["reply_seq", "seq"], "_rn", hot_rows)
+    return placed.select(
+        "ts",
+        F.col("reply_seq").alias("seq"),
+        F.lit("create").alias("op"),
+        (F.col("_rn") + (first_id - 1)).alias("maintenanceid"),
+        F.col("reply_text").alias("name"),
+        F.get("args", F.lit(0)).try_cast("bigint").alias("groupid"),
+    )

@@ -80,9 +80,10 @@ def compact(
     opts: Options = Options(),
     mute_log: DataFrame | None = None,
     hot_rows: int | None = HOT_ROWS,
+    tick: int | None = None,
 ) -> DataFrame:
     """Batch compaction of messages(chat_id, seq, ts, text): boxes, mutes, gate, groups, templates."""
-    boxed = assign_boxes(messages, opts.wait, opts.max_messages, hot_rows)
+    boxed = assign_boxes(messages, opts.wait, opts.max_messages, hot_rows, tick)
     if mute_log is not None:
         boxed = apply_mutes(boxed, mute_log, hot_rows)
     return compact_boxes(boxed, opts)

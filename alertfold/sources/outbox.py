@@ -1,31 +1,35 @@
-"""The outbox: what is to be sent or deleted, written once per message although runs may repeat."""
+"""The outbox: what is to be sent or deleted. Every run of a stream owns one directory of it and replaces
+that directory when the run is repeated, so a failure between writing and committing leaves no doubles."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
 
-def append_new(rows: DataFrame, path: str, batch_id: int, key: str = "msg_id") -> None:
-    """Write the rows of one run whose key is not in the outbox yet.
+def write_run(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write the rows of one run."""
+    rows.write.mode("overwrite").parquet(f"{path}/run={batch_id}")
 
-    Each run owns one directory and replaces it, so a repeated run leaves the same rows.
-    """
-    fresh = rows.dropDuplicates([key])
-    try:
-        written = rows.sparkSession.read.option("basePath", path).parquet(path)
-        fresh = fresh.join(written.filter(written["run"] != batch_id).select(key), key, "left_anti")
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    fresh.write.mode("overwrite").parquet(f"{path}/run={batch_id}")
+
+def start_runs(
+    stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Call ``run`` per trigger. ``every`` is the tick ('10 seconds'); without it, all that is there is taken
+    and the query ends."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def write_outbox(
-    stream: DataFrame, path: str, checkpoint: str, key: str = "msg_id", every: str | None = None
+    stream: DataFrame, path: str, checkpoint: str, key: str | None = None, every: str | None = None
 ) -> StreamingQuery:
-    """Start writing a stream to the outbox; ``every`` is the tick, without it all that is there is taken."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint)
-    timed = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return timed.foreachBatch(lambda rows, batch_id: append_new(rows, path, batch_id, key)).start()
+    """Start writing a stream to the outbox.
+
+    With ``key``, a row whose key was seen before is left out, also across runs: the keys are kept in the
+    query's state, so a run costs its own rows and not a scan of the outbox.
+    """
+    rows = stream if key is None else stream.dropDuplicates([key])
+    return start_runs(rows, lambda part, batch_id: write_run(part, path, batch_id), checkpoint, every)

@@ -96,9 +96,3 @@ def compact_stream(messages: DataFrame, opts: Options = Options()) -> DataFrame:
     return timed.groupBy("chat_id").transformWithState(
         OnlineCompaction(opts), OUTBOX, "Append", "EventTime" if messages.isStreaming else "None"
     )
-
-
-def with_outbox_id(outbox: DataFrame) -> DataFrame:
-    """Add ``msg_id``: the same action on the same message always has the same id."""
-    parts = [F.col(c).cast("string") for c in ("chat_id", "seq", "action", "message_id")]
-    return outbox.withColumn("msg_id", F.sha2(F.concat_ws("|", *parts), 256))

@@ -16,7 +16,7 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(_PROVIDER, _ROCKSDB)
 
 
-def run_to_outbox(stream: DataFrame, key: str = "msg_id") -> DataFrame:
+def run_to_outbox(stream: DataFrame, key: str | None = None) -> DataFrame:
     """Run a stream over everything available into a new outbox, and read it."""
     spark = stream.sparkSession
     use_rocksdb(spark)

@@ -80,6 +80,8 @@ VIEWS = {
                     WHEN event_type = 'view' AND value < 10 THEN 'problems.select.page 3 1'
                     WHEN event_type = 'view' AND value < 20 THEN 'main'
                     WHEN event_type = 'view' AND value < 30 THEN 'main menu'
+                    WHEN event_type = 'view' AND value < 50
+                      THEN concat('maintenance.create.select.grp ', cast(user_id % 25 AS string))
                     WHEN event_type = 'view' THEN 'button.empty'
                     WHEN event_type = 'signup' AND value < 20 THEN concat('action.disable ', cast(user_id AS string))
                     WHEN event_type = 'signup' AND value < 40 THEN concat('action.enable ', cast(user_id AS string))

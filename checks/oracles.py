@@ -119,7 +119,7 @@ _PARSED = """
                data IN ('main', 'action.stopall', 'action.startall', 'action.stopchat', 'action.startchat',
                         'action.enable', 'action.disable')
                OR regexp_matches(data,
-                    '^(action\\.(enable|disable)|maintenance\\.(renew|delete)|problems\\.select) |'
+                    '^(action\\.(enable|disable)|maintenance\\.(renew|delete|create\\.select\\.grp)|problems\\.select) |'
                     '^problems\\.select\\.page [^ ]* ') AS known
         FROM commands)"""
 
@@ -337,6 +337,17 @@ ORACLES = {
         FROM commands p ASOF JOIN answers r ON p.chat_id = r.chat_id AND p.username = r.username AND p.seq < r.seq
         JOIN latest ON objectid = CAST(string_split(p.data, ' ')[2] AS BIGINT)
         WHERE p.data LIKE 'problems.select %'""",
+    "creates_from_replies": f"""
+        WITH {with_views('commands')},
+             answers AS (SELECT * FROM commands WHERE data NOT LIKE 'maintenance.create.select.grp %'),
+             named AS (SELECT p.ts, p.seq, r.ts AS at, r.seq AS reply_seq, r.data AS name,
+                              CAST(string_split(p.data, ' ')[2] AS BIGINT) AS groupid
+                       FROM commands p ASOF JOIN answers r
+                         ON p.chat_id = r.chat_id AND p.username = r.username AND p.seq < r.seq
+                       WHERE p.data LIKE 'maintenance.create.select.grp %')
+        SELECT reply_seq AS seq, 'create' AS op, 999999 + row_number() OVER (ORDER BY reply_seq, seq) AS maintenanceid,
+               name, groupid
+        FROM named""",
     "paginate": _over(
         """SELECT screenid, name, row_number() OVER (ORDER BY name) AS rn,
                   (row_number() OVER (ORDER BY name) - 1) // 5 AS page,
@@ -374,6 +385,11 @@ ORACLES = {
     "write_outbox": _over(
         "SELECT seq, sha256(concat_ws('|', chat_id, ts, seq, text)) AS msg_id FROM alerts", "alerts"
     ),
+    "send_batches": """
+        SELECT chat_id, CAST(0 AS BIGINT) AS tick, box, count(*) AS messages
+        FROM (SELECT user_id % 10 AS chat_id,
+                     (row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) - 1) // 50 AS box FROM events)
+        GROUP BY ALL""",
     "pair_replies_stream_answered": _over(
         f"SELECT * FROM ({_PAIRED_REPLIES}) WHERE reply_seq IS NOT NULL", "prompts", "replies"
     ),

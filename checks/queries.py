@@ -16,7 +16,7 @@ from alertfold.operators import paging, replies, similarity
 from alertfold.options import Options
 from alertfold.plans.storage import scratch_path
 from alertfold.sources import api_dump, queue, spool
-from alertfold.streaming import online, run
+from alertfold.streaming import online, run, sender
 from alertfold.streaming.replies import pair_replies_stream
 from checks.inputs import Inputs
 
@@ -252,8 +252,8 @@ def screen_graphs(i: Inputs) -> DataFrame:
 
 @query
 def with_names(i: Inputs) -> DataFrame:
-    named = monitoring.with_names(i.screen_items, i.screens, "screenid")
-    return named.groupBy("screenid", "name").agg(F.count(F.lit(1)).alias("items"))
+    items = i.screen_items.groupBy("screenid").agg(F.count(F.lit(1)).alias("items"))
+    return monitoring.with_names(items, i.screens, "screenid")
 
 
 # state changes
@@ -367,6 +367,15 @@ def acks_from_replies(i: Inputs) -> DataFrame:
     return commands.acks_from_replies(paired, monitoring.latest_event(i.trigger_events))
 
 
+@query
+def creates_from_replies(i: Inputs) -> DataFrame:
+    """Named maintenances, ids counted on from a free one."""
+    pressed = parsed(i).withColumn("text", F.col("data"))
+    is_prompt = F.col("known") & (F.col("verb") == "maintenance.create.select.grp")
+    paired = replies.pair_replies(pressed.filter(is_prompt), pressed.filter(~is_prompt))
+    return commands.creates_from_replies(paired, first_id=1_000_000).drop("ts")
+
+
 @query
 def paginate(i: Inputs) -> DataFrame:
     return paging.paginate(i.screens, [], ["name"])
@@ -439,12 +448,12 @@ _ALERT_STREAM = [
 
 def online_outbox(i: Inputs) -> DataFrame:
     stream = i.stream("events", _ALERT_STREAM)
-    return run.run_to_outbox(online.with_outbox_id(online.compact_stream(stream)))
+    return run.run_to_outbox(online.compact_stream(stream))
 
 
 @query
 def compact_stream(i: Inputs) -> DataFrame:
-    return online_outbox(i).drop("msg_id")
+    return online_outbox(i)
 
 
 @query
@@ -460,8 +469,19 @@ def compact_stream_balance(i: Inputs) -> DataFrame:
 
 @query
 def write_outbox(i: Inputs) -> DataFrame:
-    """Alerts as a stream through the outbox."""
-    return run.run_to_outbox(queue.with_message_id(i.stream("events", _ALERT_STREAM))).select("seq", "msg_id")
+    """Alerts as a stream through the outbox, each delivered twice."""
+    twice = i.stream("events", [*_ALERT_STREAM, "explode(array(1, 2)) AS delivery"])
+    keyed = queue.with_message_id(twice).select("seq", "msg_id")
+    return run.run_to_outbox(keyed, "msg_id")
+
+
+@query
+def send_batches(i: Inputs) -> DataFrame:
+    """Messages told per box by a sender that takes all alerts as one tick."""
+    path, checkpoint = scratch_path(i.spark, "sent"), scratch_path(i.spark, "checkpoint")
+    sender.send_batches(i.stream("events", _ALERT_STREAM), path, checkpoint, WIDE).awaitTermination()
+    sent = i.spark.read.parquet(path)
+    return sent.groupBy("chat_id", "tick", "box").agg(F.sum("cnt").alias("messages"))
 
 
 @query
@@ -477,5 +497,4 @@ def pair_replies_stream_answered(i: Inputs) -> DataFrame:
             "text",
         ],
     ).filter("NOT is_system")
-    keyed = pair_replies_stream(stream).withColumn("msg_id", F.concat_ws("|", "chat_id", "username", "seq"))
-    return run.run_to_outbox(keyed).drop("msg_id")
+    return run.run_to_outbox(pair_replies_stream(stream))

@@ -1,9 +1,10 @@
 import json
 
 from alertfold.sources.api_dump import parse_api_dump
-from alertfold.sources.outbox import append_new
+from alertfold.sources.outbox import write_outbox, write_run
 from alertfold.sources.queue import enqueue, read_queue, with_message_id
 from alertfold.sources.spool import read_spool, stream_spool, write_spool
+from alertfold.streaming.run import use_rocksdb
 
 
 def test_spool(spark, tmp_path):
@@ -63,10 +64,17 @@ def test_api_dump(spark):
 
 
 def test_outbox_keeps_each_message_once(spark, tmp_path):
-    path = str(tmp_path / "outbox")
-    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "msg_id string")
-    append_new(rows("a", "b", "a"), path, 0)
-    append_new(rows("b", "c"), path, 1)
-    append_new(rows("b", "c"), path, 1)  # the run is repeated after a failure
-    append_new(rows("a", "b", "a"), path, 0)
+    use_rocksdb(spark)
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    for ids in (["a", "b", "a"], ["b", "c"]):  # a new start for each, from the checkpoint
+        spark.createDataFrame([(i,) for i in ids], "msg_id string").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("msg_id string").parquet(source)
+        write_outbox(stream, path, checkpoint, "msg_id").awaitTermination()
     assert sorted(r.msg_id for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+
+
+def test_a_repeated_run_replaces_its_rows(spark, tmp_path):
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "msg_id string")
+    for batch_id, ids in ((0, ["a"]), (1, ["b", "c"]), (1, ["b", "c"])):
+        write_run(rows(*ids), str(tmp_path / "out"), batch_id)
+    assert sorted(r.msg_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from alertfold.options import Options
 from alertfold.sources.outbox import write_outbox
-from alertfold.streaming.online import compact_stream, with_outbox_id
+from alertfold.sources.spool import stream_spool
+from alertfold.streaming.online import compact_stream
 from alertfold.streaming.replies import pair_replies_stream
 from alertfold.streaming.rules import Entry, decide, recent
 from alertfold.streaming.run import use_rocksdb
+from alertfold.streaming.sender import send_batches, with_arrival_order
 
 OPTS = Options()
 
@@ -93,8 +95,8 @@ def test_online_compaction_over_batches_and_restarts(spark, parts, tmp_path):
     for cut in cuts:  # each start continues from the checkpoint
         cut.write.mode("append").parquet(str(folder))
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
-        write_outbox(with_outbox_id(compact_stream(stream)), outbox, checkpoint).awaitTermination()
-    write_outbox(with_outbox_id(compact_stream(stream)), outbox, checkpoint).awaitTermination()
+        write_outbox(compact_stream(stream), outbox, checkpoint).awaitTermination()
+    write_outbox(compact_stream(stream), outbox, checkpoint).awaitTermination()
     rows = spark.read.parquet(outbox).select("chat_id", "seq", "action", "message_id", "text", "cnt").collect()
     assert sorted((tuple(r) for r in rows), key=repr) == want
 
@@ -111,7 +113,32 @@ def test_replies_over_batches(spark, tmp_path):
     for batch in batches:
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
         stream = pair_replies_stream(spark.readStream.schema(schema).parquet(source))
-        keyed = stream.withColumn("msg_id", F.concat_ws("|", "chat_id", "username", "seq"))
-        write_outbox(keyed, outbox, checkpoint).awaitTermination()
+        write_outbox(stream, outbox, checkpoint).awaitTermination()
     found = {(r.text, r.reply_text, r.reply_seq) for r in spark.read.parquet(outbox).collect()}
     assert found == {("p1", "r1", 3), ("p2", "r1", 3), ("p4", "r4", 6)}
+
+
+def test_sender_from_spool_to_outbox(spark, tmp_path):
+    spool, outbox, checkpoint = (str(tmp_path / n) for n in ("pending", "out", "checkpoint"))
+
+    def drop(chat, name, text):
+        folder = tmp_path / "pending" / chat
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text)
+
+    def tick(mute_log=None):
+        stream = with_arrival_order(stream_spool(spark, spool))
+        send_batches(stream, outbox, checkpoint, Options(min_approx=2), mute_log).awaitTermination()
+
+    for i, load in enumerate((91, 95, 7)):
+        drop("5", f"{i:016X}", f"disk {load} full")
+    drop("-6", "A" * 16, "alone")
+    tick()
+    drop("5", "B" * 16, "disk 1 full")
+    drop("-6", "C" * 16, "muted")
+    log = "SELECT timestamp_ntz'2000-01-01 00:00:00' AS ts, 1L AS seq, '-6' AS scope, true AS muted"
+    tick(lambda: spark.sql(log))
+    sent = {(r.tick, r.chat_id, r.cnt) for r in spark.read.parquet(outbox).collect()}
+    assert sent == {(0, 5, 3), (0, -6, 1), (1, 5, 1)}
+    (group,) = [r for r in spark.read.parquet(outbox).collect() if r.is_group]
+    assert group.text == "3 similar messages were received:\ndisk ?? full" and group.action == "SEND"
