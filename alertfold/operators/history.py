@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertfold.functions.distance import epoch_micros
-from alertfold.functions.templates import matches
+from alertfold.functions.templates import template_regex
 from alertfold.plans.ordered import HOT_ROWS, previous_rows
 
 _MINUTE = 60_000_000
@@ -50,11 +50,18 @@ def match_templates(
     """Messages with the recent group entries whose template they match.
 
     ``entries(chat_id, ts, seq, text, pattern, cnt)`` is the chat's history in order; ``pattern`` is null
-    for single messages. A message meets at most ``check_count`` templates, however many its chat has.
+    for single messages. A message meets at most ``check_count`` templates, however many its chat has. The
+    regex of a template is built once, and only tried on texts that begin like the template.
     """
-    recent = recent_history(entries, check_count, max_age_minutes, ["pattern", "cnt"], hot_rows)
-    near = recent.filter(F.col("hist_pattern").isNotNull())
-    return near.filter(matches(F.col("hist_pattern"), F.col("text"))).select(
+    pattern = F.col("pattern")
+    prepared = entries.withColumn("regex", template_regex(pattern)).withColumn(
+        "start", F.substring_index(pattern, "?", 1)
+    )
+    payload = ["pattern", "cnt", "regex", "start"]
+    recent = recent_history(prepared, check_count, max_age_minutes, payload, hot_rows)
+    text = F.col("text")
+    hit = F.col("hist_pattern").isNotNull() & F.startswith(text, F.col("hist_start")) & F.rlike(text, F.col("hist_regex"))
+    return recent.filter(hit).select(
         "chat_id", "seq", "text", "hist_rank", "hist_seq", "hist_pattern", "hist_cnt"
     )
 

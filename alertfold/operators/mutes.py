@@ -58,7 +58,7 @@ def _silent() -> Column:
 
 def _drop_by_hours(messages: DataFrame, hours: DataFrame) -> DataFrame:
     """Two broadcast hash joins on the hour; the messages do not move."""
-    own = hours.filter(F.col("scope") != ALL_CHATS).withColumn("_mute_chat", F.col("scope").cast("long"))
+    own = hours.filter(F.col("scope") != ALL_CHATS).withColumn("_mute_chat", F.col("scope").try_cast("bigint"))
     everyone = hours.filter(F.col("scope") == ALL_CHATS)
     timed = messages.withColumn("_hour", slot_start(messages, _HOUR))
     of_chat = _silent() & (F.col("chat_id") == F.col("_mute_chat"))
@@ -82,7 +82,7 @@ def _drop_by_state(messages: DataFrame, mute_log: DataFrame, hot_rows: int | Non
     The global log has a single timeline, so it is cut by the hour: the state an hour starts with, and the
     changes within. Only the list of hours is handled in one place.
     """
-    own = mute_log.filter(F.col("scope") != ALL_CHATS).withColumn("chat_id", F.col("scope").cast("long"))
+    own = mute_log.filter(F.col("scope") != ALL_CHATS).withColumn("chat_id", F.col("scope").try_cast("bigint"))
     by_chat = _state_at(messages, own, "chat_id", "_muted", hot_rows)
     heard = by_chat.filter(~F.coalesce("_muted", F.lit(False))).drop("_muted")
 

@@ -206,11 +206,17 @@ ORACLES = {
     "merged_counts": f"""
         WITH {with_views('entries')}, {_ENTRY_HISTORY}, {_MATCHED}
         SELECT chat_id, seq, CAST(sum(hist_cnt) + 1 AS BIGINT) AS cnt FROM matched GROUP BY ALL""",
-    "equivalent_templates": _over(
+    "equivalent": _over(
         f"SELECT seq, {_full_match('a', 'b')} AND {_full_match('b', 'a')} AS same FROM template_pairs",
         "template_pairs",
     ),
-    "parse_headers": _over(
+    "merge_template": _over(
+        """SELECT seq, true AS takes_a, true AS takes_b FROM template_pairs
+           WHERE CAST(levenshtein(a, b) AS DOUBLE) / greatest(octet_length(encode(a)), octet_length(encode(b)))
+                 <= CAST(0.4 AS DOUBLE)""",
+        "template_pairs",
+    ),
+    "parse_header": _over(
         """SELECT seq,
                   CASE WHEN place > 0 THEN CAST(substr(text, 1, place - 1) AS BIGINT) ELSE 0 END AS cnt,
                   CASE WHEN place > 0 THEN substr(text, place + 32 + 1) ELSE text END AS template
@@ -390,7 +396,7 @@ ORACLES = {
         FROM (SELECT user_id % 10 AS chat_id,
                      (row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) - 1) // 50 AS box FROM events)
         GROUP BY ALL""",
-    "pair_replies_stream_answered": _over(
+    "pair_replies_stream": _over(
         f"SELECT * FROM ({_PAIRED_REPLIES}) WHERE reply_seq IS NOT NULL", "prompts", "replies"
     ),
 }

@@ -8,16 +8,18 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertfold.functions import templates
 from alertfold.functions.distance import byte_levenshtein
 from alertfold.functions.script import edit_script as script_of
-from alertfold.functions.templates import equivalent, format_batch, format_online, matches, parse_header
+from alertfold.functions.script import fold_template
+from alertfold.functions.templates import format_batch, format_online, matches
 from alertfold.operators import boxes, changelog, commands, folding, grouping, history, monitoring, mutes
 from alertfold.operators import paging, replies, similarity
 from alertfold.options import Options
 from alertfold.plans.storage import scratch_path
 from alertfold.sources import api_dump, queue, spool
 from alertfold.streaming import online, run, sender
-from alertfold.streaming.replies import pair_replies_stream
+from alertfold.streaming.replies import pair_replies_stream as reply_stream
 from checks.inputs import Inputs
 
 DAY = 86_400
@@ -179,13 +181,22 @@ def merged_counts(i: Inputs) -> DataFrame:
 
 
 @query
-def equivalent_templates(i: Inputs) -> DataFrame:
-    return i.template_pairs.select("seq", equivalent(F.col("a"), F.col("b")).alias("same"))
+def equivalent(i: Inputs) -> DataFrame:
+    return i.template_pairs.select("seq", templates.equivalent(F.col("a"), F.col("b")).alias("same"))
 
 
 @query
-def parse_headers(i: Inputs) -> DataFrame:
-    count, template = parse_header(F.col("text"))
+def merge_template(i: Inputs) -> DataFrame:
+    """Template and text within the accuracy, limit included, merge into a template that matches both."""
+    a, b = F.col("a"), F.col("b")
+    ratio = byte_levenshtein(a, b) / F.greatest(F.octet_length(a), F.octet_length(b))
+    merged = i.template_pairs.filter(ratio <= 0.4).withColumn("merged", fold_template(F.array(a, b)))
+    return merged.select("seq", matches(F.col("merged"), a).alias("takes_a"), matches(F.col("merged"), b).alias("takes_b"))
+
+
+@query
+def parse_header(i: Inputs) -> DataFrame:
+    count, template = templates.parse_header(F.col("text"))
     return i.headed.select("seq", count.alias("cnt"), template.alias("template"))
 
 
@@ -485,7 +496,7 @@ def send_batches(i: Inputs) -> DataFrame:
 
 
 @query
-def pair_replies_stream_answered(i: Inputs) -> DataFrame:
+def pair_replies_stream(i: Inputs) -> DataFrame:
     stream = i.stream(
         "conversations",
         [
@@ -497,4 +508,4 @@ def pair_replies_stream_answered(i: Inputs) -> DataFrame:
             "text",
         ],
     ).filter("NOT is_system")
-    return run.run_to_outbox(pair_replies_stream(stream))
+    return run.run_to_outbox(reply_stream(stream))

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from alertfold.functions.distance import byte_levenshtein
@@ -57,3 +59,13 @@ def test_distance_counts_bytes(spark):
     assert [r[0] for r in df.select(byte_levenshtein(F.col("a"), F.col("b"))).collect()] == [5, 0, 2]
     limited = df.select(byte_levenshtein(F.col("a"), F.col("b"), F.lit(3)))
     assert [r[0] for r in limited.collect()] == [-1, 0, 2]
+
+
+def test_matching_is_the_same_in_and_outside_expressions(spark):
+    rng = random.Random(2)
+    piece = lambda: "".join(rng.choice("a0?.[é\n") for _ in range(rng.randrange(6)))
+    pairs = [(piece(), piece().replace("?", "1")) for _ in range(1500)]
+    df = spark.createDataFrame(pairs, "template string, text string")
+    got = df.select("template", "text", matches(F.col("template"), F.col("text")).alias("m")).collect()
+    assert [r for r in got if r.m != bool(compiled_template(r.template).fullmatch(r.text))] == []
+    assert any(r.m for r in got)
