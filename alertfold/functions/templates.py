@@ -11,24 +11,42 @@ from pyspark.sql import functions as F
 BATCH_HEADER = " similar messages were received:\n"
 ONLINE_FOOTER = "\n\nSimilar messages received: "
 
-_ONE = r"[\s\S]?"
+def template_pieces(template: Column) -> Column:
+    """A template as an array of literals and runs of wildcards, in order."""
+    return F.regexp_extract_all(template, F.lit(r"(\?+|[^?]+)"), F.lit(1))
 
 
-def template_body(template: Column) -> Column:
-    """Regex body of a template: a run of n ``?`` takes a run of digits, or up to n characters."""
-    quoted = F.regexp_replace(template, r"([\\.^$|()\[\]{}*+])", r"\\$1")
-    wild = F.regexp_replace(quoted, r"\?", r"[\\s\\S]?")
-    return F.regexp_replace(wild, r"((?:\[\\s\\S\]\?)+)", "(?:[0-9]+|$1)")
+def pieces_match(pieces: Column, text: Column) -> Column:
+    """Whether a text matches a template given in pieces: a run of n ``?`` takes a run of digits, or up to n
+    characters; all else stands for itself.
 
+    Follows the set of places the text can have reached after each piece, so the work grows with the
+    template and the text whatever they hold, where a regex may try all combinations of wildcards.
+    """
+    end = F.char_length(text) + 1
 
-def template_regex(template: Column) -> Column:
-    """The same, anchored at both ends."""
-    return F.concat(F.lit(r"\A(?:"), template_body(template), F.lit(r")\z"))
+    def after_wildcards(at: Column, n: Column) -> Column:
+        def reach(p: Column) -> Column:
+            digits = F.char_length(F.regexp_substr(F.substr(text, p), F.lit("^[0-9]*")))
+            return F.sequence(p, F.greatest(F.least(p + n, end), p + F.coalesce(digits, F.lit(0))))
+
+        return F.array_distinct(F.flatten(F.transform(at, reach)))
+
+    def after_literal(at: Column, piece: Column) -> Column:
+        size = F.char_length(piece)
+        return F.transform(F.filter(at, lambda p: F.substr(text, p, size) == piece), lambda p: p + size)
+
+    def step(at: Column, piece: Column) -> Column:
+        return F.when(piece.startswith("?"), after_wildcards(at, F.char_length(piece))).otherwise(
+            after_literal(at, piece)
+        )
+
+    return F.array_contains(F.aggregate(pieces, F.array(F.lit(1)), step), end)
 
 
 def matches(template: Column, text: Column) -> Column:
     """Whether the text matches the template."""
-    return F.rlike(text, template_regex(template))
+    return pieces_match(template_pieces(template), text)
 
 
 def equivalent(a: Column, b: Column) -> Column:
@@ -36,12 +54,19 @@ def equivalent(a: Column, b: Column) -> Column:
     return matches(a, b) & matches(b, a)
 
 
-def compiled_template(template: str) -> re.Pattern[str]:
-    """The same rule for one template outside of expressions."""
-    wild = lambda run: f"(?:[0-9]+|{_ONE * len(run.group())})"
-    pieces = re.split(r"(\?+)", template)
-    body = "".join(re.sub(r"\?+", wild, p) if p.startswith("?") else re.escape(p) for p in pieces)
-    return re.compile(body)
+def text_matches(template: str, text: str) -> bool:
+    """The same rule for one template and text outside of expressions."""
+    places = {0}
+    for piece in re.findall(r"\?+|[^?]+", template):
+        if piece[0] == "?":
+            reached: set[int] = set()
+            for p in places:
+                digits = re.compile("[0-9]*").match(text, p).end()
+                reached.update(range(p, max(min(p + len(piece), len(text)), digits) + 1))
+            places = reached
+        else:
+            places = {p + len(piece) for p in places if text.startswith(piece, p)}
+    return len(text) in places
 
 
 def parse_header(text: Column) -> tuple[Column, Column]:

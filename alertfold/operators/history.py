@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertfold.functions.distance import epoch_micros
-from alertfold.functions.templates import template_regex
+from alertfold.functions.templates import pieces_match, template_pieces
 from alertfold.plans.ordered import HOT_ROWS, previous_rows
 
 _MINUTE = 60_000_000
@@ -50,17 +50,21 @@ def match_templates(
     """Messages with the recent group entries whose template they match.
 
     ``entries(chat_id, ts, seq, text, pattern, cnt)`` is the chat's history in order; ``pattern`` is null
-    for single messages. A message meets at most ``check_count`` templates, however many its chat has. The
-    regex of a template is built once, and only tried on texts that begin like the template.
+    for single messages. A message meets at most ``check_count`` templates, however many its chat has.
+    Templates are taken apart once, and only tried on texts that begin and end like them.
     """
-    pattern = F.col("pattern")
-    prepared = entries.withColumn("regex", template_regex(pattern)).withColumn(
-        "start", F.substring_index(pattern, "?", 1)
+    pattern, text = F.col("pattern"), F.col("text")
+    prepared = entries.withColumns(
+        {
+            "pieces": template_pieces(pattern),
+            "start": F.substring_index(pattern, "?", 1),
+            "end": F.substring_index(pattern, "?", -1),
+        }
     )
-    payload = ["pattern", "cnt", "regex", "start"]
+    payload = ["pattern", "cnt", "pieces", "start", "end"]
     recent = recent_history(prepared, check_count, max_age_minutes, payload, hot_rows)
-    text = F.col("text")
-    hit = F.col("hist_pattern").isNotNull() & F.startswith(text, F.col("hist_start")) & F.rlike(text, F.col("hist_regex"))
+    likely = F.startswith(text, F.col("hist_start")) & F.endswith(text, F.col("hist_end"))
+    hit = F.when(F.col("hist_pattern").isNotNull() & likely, pieces_match(F.col("hist_pieces"), text))
     return recent.filter(hit).select(
         "chat_id", "seq", "text", "hist_rank", "hist_seq", "hist_pattern", "hist_cnt"
     )

@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from alertfold.plans.storage import checkpointed
 
-HOT_ROWS = 5_000_000
-KEYLESS_ROWS = 1_000_000  # without keys there is only one task
-MAX_HOT_KEYS = 10_000
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 100_000
 _PART = "_part"
 
 
@@ -59,7 +58,7 @@ def split_hot(
         cold = df.join(renamed, same, "left_anti")
         hot_part = df.join(renamed, same, "left_semi")
     else:
-        if df.count() <= min(hot_rows, KEYLESS_ROWS):
+        if df.count() <= hot_rows:
             return df, None
         cold, hot_part = None, df
     spread = hot_part.repartitionByRange(shuffle_tasks(df), *keys, *order).withColumn(_PART, F.spark_partition_id())

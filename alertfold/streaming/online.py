@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from alertfold.functions.distance import epoch_micros
 from alertfold.functions.templates import ONLINE_FOOTER
 from alertfold.options import Options
-from alertfold.streaming.rules import Decision, Entry, decide, recent
+from alertfold.streaming.rules import Entry, decide, recent
 
 OUTBOX = (
     "chat_id bigint, seq bigint, action string, message_id int, text string,"
@@ -52,23 +52,21 @@ class OnlineCompaction(StatefulProcessor):
         last = self.last_id.get()[0] if self.last_id.exists() else 0
         latest = 0
         for row in sorted(rows, key=lambda r: (r.micros, r.seq)):
-            chosen = decide(row.text, recent(entries, row.micros, self.opts), self.opts)
+            seen = recent(entries, row.micros, self.opts)
+            chosen = decide(row.text, seen, self.opts)
             last += 1
             sent = chosen.text if chosen.pattern is None else f"{chosen.pattern}{ONLINE_FOOTER}{chosen.cnt}"
             for old in chosen.replaces:
                 yield _ROW(key[0], row.seq, "DELETE", old, None, None, None, None)
             yield _ROW(key[0], row.seq, "SEND", last, sent, chosen.pattern is not None, chosen.pattern, chosen.cnt)
-            entries = self._after(entries, chosen, Entry(last, sent, row.micros, chosen.pattern, chosen.cnt))
+            if chosen.replaces:  # all of them are among the newest that were looked at
+                entries[-len(seen) :] = [e for e in reversed(seen) if e.message_id not in chosen.replaces]
+            entries.append(Entry(last, sent, row.micros, chosen.pattern, chosen.cnt))
             latest = max(latest, row.micros)
         self._store(entries, latest)
         self.last_id.update((last,))
         self._wake_at(latest // 1000 + (self.opts.history_max_age_minutes + 1) * _MINUTE_MS)
 
-    @staticmethod
-    def _after(entries: list[Entry], chosen: Decision, sent: Entry) -> list[Entry]:
-        gone = set(chosen.replaces)
-        return [e for e in entries if e.message_id not in gone] + [sent] if gone else [*entries, sent]
-
     def _wake_at(self, ms: int) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from alertfold.functions.script import edit_distance, fold_pair, fold_texts, touches_multibyte
-from alertfold.functions.templates import compiled_template
+from alertfold.functions.templates import text_matches
 from alertfold.options import Options
 
 
@@ -80,12 +80,11 @@ def recent(history: Sequence[Entry], micros: int, opts: Options) -> list[Entry]:
 
 
 def _join_known(text: str, groups: Sequence[Entry]) -> Decision | None:
-    hits = [g for g in groups if compiled_template(g.pattern).fullmatch(text)]
+    hits = [g for g in groups if text_matches(g.pattern, text)]
     if not hits:
         return None
     base = hits[0].pattern
-    pattern = compiled_template(base)
-    same = [g for g in hits if pattern.fullmatch(g.pattern) and compiled_template(g.pattern).fullmatch(base)]
+    same = [g for g in hits if text_matches(base, g.pattern) and text_matches(g.pattern, base)]
     return Decision(text, base, 1 + sum(g.cnt for g in same), [g.message_id for g in same])
 
 
@@ -106,7 +105,7 @@ def _new_group(text: str, alone: Sequence[Entry], opts: Options) -> Decision | N
         if len(group) < 2:
             continue
         pattern = fold_texts(texts[i] for i in group)
-        if compiled_template(pattern).fullmatch(text):
+        if text_matches(pattern, text):
             replaced = [alone[i - 1].message_id for i in group if i > 0]
             if best is None or len(replaced) + 1 > best.cnt:
                 best = Decision(text, pattern, len(replaced) + 1, replaced)
