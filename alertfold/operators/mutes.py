@@ -6,7 +6,7 @@ the next entry of the same scope; no entry means not muted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertfold.functions.distance import slot_start
@@ -26,46 +26,44 @@ def mute_intervals(mute_log: DataFrame, hot_rows: int | None = HOT_ROWS) -> Data
     return silent.select("scope", F.col("ts").alias("since"), "till")
 
 
-def _covered_hours(
-    messages: DataFrame, mute_log: DataFrame, hot_rows: int | None, max_hours: int
+def drop_muted(
+    messages: DataFrame, mute_log: DataFrame, hot_rows: int | None = HOT_ROWS, max_hours: int = MAX_BROADCAST_HOURS
 ) -> DataFrame | None:
-    """Silences cut by the hour, or None where that is too much to broadcast.
+    """Drop muted messages with broadcast hash joins, so that messages do not move; works on streams too.
 
-    Counts on the log and the newest message time are enough to know the size beforehand.
+    Ended silences are cut by the hour and met on it; of those that last there is one per scope. Their
+    number is taken from the log first: None where it is above ``max_hours``.
     """
-    newest = messages.agg(F.max("ts").cast("string").alias("newest")).first().newest
-    if newest is None:
+    spans = mute_intervals(mute_log, hot_rows)
+    # the end itself is no longer silent, so a silence may reach one hour too far, never too short
+    spans = spans.withColumns({"_first": slot_start(spans, _HOUR, "since"), "_last": slot_start(spans, _HOUR, "till")})
+    lasting, everyone = F.col("till").isNull(), F.col("scope") == ALL_CHATS
+    known = spans.agg(
+        F.sum(F.when(lasting, 1).otherwise((F.col("_last") - F.col("_first")) / _HOUR + 1)).alias("rows"),
+        F.min(F.when(lasting & everyone, F.col("since"))).cast("string").alias("stopped"),
+    ).first()
+    if (known.rows or 0) > max_hours:
         return None
-    last = F.lit(newest).cast(messages.schema["ts"].dataType)
-    spans = mute_intervals(mute_log, hot_rows).filter(F.col("since") <= last)
-    spans = spans.withColumn("_to", F.least(F.coalesce("till", last), last))
-    first, to = slot_start(spans, _HOUR, "since"), slot_start(spans, _HOUR, "_to")
-    spans = spans.withColumn("_first", first).withColumn("_last", to)
-    size = spans.agg(F.sum((F.col("_last") - F.col("_first")) / _HOUR + 1).alias("hours")).first().hours
-    if (size or 0) > max_hours:
-        return None
-    hours = F.explode(F.sequence("_first", "_last", F.lit(_HOUR)))
-    return spans.select("scope", "since", "till", hours.alias("_mute_hour"))
-
-
-def _silent() -> Column:
+    chat = F.col("scope").try_cast("bigint").alias("_mute_chat")
+    hours = spans.filter(~lasting).withColumn("_mute_hour", F.explode(F.sequence("_first", "_last", F.lit(_HOUR))))
+    of_chats = hours.filter(~everyone).select(chat, "_mute_hour", "since", "till")
+    of_all = hours.filter(everyone).select("_mute_hour", "since", "till")
+    stopped_chats = spans.filter(lasting & ~everyone).select(chat, "since")
+
+    same_chat = F.col("chat_id") == F.col("_mute_chat")
+    begun = F.col("ts") >= F.col("since")
+    within = (F.col("_hour") == F.col("_mute_hour")) & begun & (F.col("ts") < F.col("till"))
+    timed = messages.withColumn("_hour", slot_start(messages, _HOUR))
+    if known.stopped is not None:
+        timed = timed.filter(F.col("ts") < F.lit(known.stopped).cast(messages.schema["ts"].dataType))
     return (
-        (F.col("_hour") == F.col("_mute_hour"))
-        & (F.col("ts") >= F.col("since"))
-        & (F.col("till").isNull() | (F.col("ts") < F.col("till")))
+        timed.join(F.broadcast(of_chats), same_chat & within, "left_anti")
+        .join(F.broadcast(of_all), within, "left_anti")
+        .join(F.broadcast(stopped_chats), same_chat & begun, "left_anti")
+        .drop("_hour")
     )
 
 
-def _drop_by_hours(messages: DataFrame, hours: DataFrame) -> DataFrame:
-    """Two broadcast hash joins on the hour; the messages do not move."""
-    own = hours.filter(F.col("scope") != ALL_CHATS).withColumn("_mute_chat", F.col("scope").try_cast("bigint"))
-    everyone = hours.filter(F.col("scope") == ALL_CHATS)
-    timed = messages.withColumn("_hour", slot_start(messages, _HOUR))
-    of_chat = _silent() & (F.col("chat_id") == F.col("_mute_chat"))
-    heard = timed.join(F.broadcast(own), of_chat, "left_anti")
-    return heard.join(F.broadcast(everyone), _silent(), "left_anti").drop("_hour")
-
-
 def _state_at(messages: DataFrame, log: DataFrame, key: str, out: str, hot_rows: int | None) -> DataFrame:
     """Add the last logged state at or before each message, per key. One sorted pass, no range join."""
     names = messages.columns
@@ -101,8 +99,8 @@ def apply_mutes(
     messages: DataFrame,
     mute_log: DataFrame,
     hot_rows: int | None = HOT_ROWS,
-    max_broadcast_hours: int = MAX_BROADCAST_HOURS,
+    max_hours: int = MAX_BROADCAST_HOURS,
 ) -> DataFrame:
     """Drop messages sent while their chat, or every chat, was muted."""
-    hours = _covered_hours(messages, mute_log, hot_rows, max_broadcast_hours)
-    return _drop_by_state(messages, mute_log, hot_rows) if hours is None else _drop_by_hours(messages, hours)
+    heard = drop_muted(messages, mute_log, hot_rows, max_hours)
+    return _drop_by_state(messages, mute_log, hot_rows) if heard is None else heard

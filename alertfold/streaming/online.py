@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from alertfold.functions.distance import epoch_micros
 from alertfold.functions.templates import ONLINE_FOOTER
+from alertfold.operators.mutes import drop_muted
 from alertfold.options import Options
 from alertfold.streaming.rules import Entry, decide, recent
 
@@ -81,11 +82,19 @@ class OnlineCompaction(StatefulProcessor):
         pass
 
 
-def compact_stream(messages: DataFrame, opts: Options = Options()) -> DataFrame:
+def compact_stream(
+    messages: DataFrame, opts: Options = Options(), mute_log: DataFrame | None = None
+) -> DataFrame:
     """Outbox rows for a stream (or a table) of messages(chat_id, ts, seq, text).
 
-    ``ts`` is the time of the event; rows later than the history's age limit are dropped.
+    ``ts`` is the time of the event; rows later than the history's age limit are dropped, and so are muted
+    ones. ``mute_log`` is a table, as it stands when the stream starts.
     """
+    if mute_log is not None:
+        heard = drop_muted(messages, mute_log)
+        if heard is None:
+            raise ValueError("the mute log is too long for a stream")
+        messages = heard
     timed = messages.select(
         "chat_id", F.col("ts").cast("timestamp").alias("ts"), "seq", "text", epoch_micros(messages).alias("micros")
     )

@@ -3,6 +3,9 @@ import random
 import pytest
 
 from alertfold.operators.mutes import apply_mutes, mute_intervals
+from alertfold.sources.outbox import write_outbox
+from alertfold.streaming.online import compact_stream
+from alertfold.streaming.run import use_rocksdb
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +34,7 @@ def heard(messages, log):
 def test_both_ways_drop_what_was_muted(tables, limit, hot_rows):
     messages, log = tables
     want = heard(messages.collect(), log.collect())
-    got = apply_mutes(messages, log, hot_rows, max_broadcast_hours=limit)
+    got = apply_mutes(messages, log, hot_rows, max_hours=limit)
     assert {r.seq for r in got.collect()} == want
     assert got.columns == messages.columns
 
@@ -46,3 +49,14 @@ def test_intervals(tables):
     _, log = tables
     spans = mute_intervals(log.filter("scope = '4'")).collect()
     assert len(spans) == 1 and spans[0].till is None
+
+
+def test_streams_drop_what_was_muted(spark, tables, tmp_path):
+    messages, log = tables
+    use_rocksdb(spark)
+    messages.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(messages.schema).parquet(str(tmp_path / "in"))
+    rows = compact_stream(stream, mute_log=log)
+    write_outbox(rows, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    sent = spark.read.parquet(str(tmp_path / "out")).filter("action = 'SEND'")
+    assert {r.seq for r in sent.collect()} == heard(messages.collect(), log.collect())

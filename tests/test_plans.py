@@ -48,7 +48,7 @@ def test_compaction_moves_messages_twice(inputs):
 def test_broadcast_mutes_do_not_move_messages(inputs):
     text = plan(registry.QUERIES["compact"](inputs))
     scans = [line for line in text.splitlines() if "Exchange hashpartitioning(chat_id" in line]
-    assert len(scans) == 2 and text.count("BroadcastHashJoin") == 2 and "LeftAnti" in text
+    assert len(scans) == 2 and text.count("BroadcastHashJoin") == 3 and "LeftAnti" in text
 
 
 def test_distances_stay_in_the_jvm(inputs):
