@@ -59,9 +59,7 @@ def _first_cheapest_cut(a: str, left: str, right: str) -> int:
 
 
 def _single(piece: str, char: str) -> str:
-    """Script from ``piece`` (any length) to one character."""
-    if not piece:
-        return "+"
+    """Script from ``piece`` (not empty) to one character."""
     at = piece.rfind(char)
     if at < 0:
         return "-" * (len(piece) - 1) + "!"
@@ -70,20 +68,23 @@ def _single(piece: str, char: str) -> str:
 
 def script(a: str, b: str) -> str:
     """The edit script from ``a`` to ``b``."""
-    if a == b:
-        return "=" * len(a)
     if len(a) > len(b):
         return script(b, a).translate(_SWAPPED)
-    cuts = {0: 0, len(b): len(a)}
-    spans = [(0, len(b))]
-    for lo, hi in spans:  # grows while it is read
-        if hi - lo < 2:
-            continue
-        mid = lo + (hi - lo) // 2
-        piece = a[cuts[lo] : cuts[hi]]
-        cuts[mid] = cuts[lo] + (_first_cheapest_cut(piece, b[lo:mid], b[mid:hi]) if piece else 0)
-        spans += [(lo, mid), (mid, hi)]
-    return "".join(_single(a[cuts[j] : cuts[j + 1]], c) for j, c in enumerate(b))
+    out = []
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if x == y:  # the only script without cost
+            out.append("=" * len(x))
+        elif not x:
+            out.append("+" * len(y))
+        elif len(y) == 1:
+            out.append(_single(x, y))
+        else:
+            mid = len(y) // 2
+            at = _first_cheapest_cut(x, y[:mid], y[mid:])
+            todo += [(x[at:], y[mid:]), (x[:at], y[:mid])]
+    return "".join(out)
 
 
 def fold_pair(template: str, text: str) -> str:

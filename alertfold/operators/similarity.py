@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,8 +85,11 @@ def guard_multibyte(distances: DataFrame) -> DataFrame:
     return distances.withColumn("_allowed", allowed).withColumn("levs", guarded).drop("_allowed")
 
 
-def _edges(boxed: DataFrame, accuracy: float, inclusive: bool = False) -> DataFrame:
-    """One row per similar pair of messages, the earlier one as head. Only the pairs leave the box.
+def _edges(
+    boxed: DataFrame, accuracy: float, inclusive: bool = False, also: dict[str, Callable] | None = None
+) -> DataFrame:
+    """One row per similar pair of messages, the earlier one as head: head_seq, member_seq, lev, dist, and
+    what ``also`` takes from each of the two texts. Nothing else of the box is carried along.
 
     Outer explodes, here and elsewhere: an inner one makes the optimizer add a filter on the array, which
     would compute the whole array a second time.
@@ -94,28 +99,32 @@ def _edges(boxed: DataFrame, accuracy: float, inclusive: bool = False) -> DataFr
     def between(x: Column, y: Column) -> Column:
         return F.when(x <= y, F.get(F.get(levs, y), x)).otherwise(F.get(F.get(levs, x), y))
 
+    def edge(head: Column, member: Column, d: Column) -> Column:
+        more = [
+            take(side["text"]).alias(f"{role}_{name}")
+            for name, take in (also or {}).items()
+            for role, side in (("head", head), ("member", member))
+        ]
+        return F.struct(
+            head["seq"].alias("head_seq"),
+            member["seq"].alias("member_seq"),
+            d["lev"].alias("lev"),
+            d["dist"].alias("dist"),
+            *more,
+        )
+
     def candidates(y: Column, j: Column) -> Column:
         pairs = F.transform(
             F.slice(kind_of, F.lit(1), j), lambda x, i: F.struct(i.alias("head"), between(x, y).alias("d"))
         )
         return F.transform(
             F.filter(pairs, lambda p: p["d"].isNotNull()),
-            lambda p: F.struct(
-                F.get(msgs, p["head"]).alias("head"), F.get(msgs, j).alias("member"), p["d"].alias("d")
-            ),
+            lambda p: edge(F.get(msgs, p["head"]), F.get(msgs, j), p["d"]),
         )
 
     boxes = with_distances(pack_boxes(boxed), accuracy, inclusive)
     rows = boxes.select(*BOX, F.explode_outer(F.flatten(F.transform(kind_of, candidates))).alias("e"))
-    return rows.filter(F.col("e").isNotNull()).select(
-        *BOX,
-        F.col("e.head.seq").alias("head_seq"),
-        F.col("e.member.seq").alias("member_seq"),
-        F.col("e.head.text").alias("head_text"),
-        F.col("e.member.text").alias("member_text"),
-        F.col("e.d.lev").alias("lev"),
-        F.col("e.d.dist").alias("dist"),
-    )
+    return rows.filter(F.col("e").isNotNull()).select(*BOX, "e.*")
 
 
 _PAIR = [*BOX, "head_seq", "member_seq", "lev", "dist"]
@@ -131,13 +140,13 @@ def similarity_pairs(
     """
     if norm not in ("max", "left"):
         raise ValueError("norm must be 'max' or 'left'")
-    edges = _edges(boxed, accuracy, inclusive)
     if norm == "max":
-        return edges.select(*_PAIR)
+        return _edges(boxed, accuracy, inclusive).select(*_PAIR)
+    edges = _edges(boxed, accuracy, inclusive, {"bytes": F.octet_length})
 
     # distance / head length under the bound implies distance / longer length under it
     def directed(head: str, member: str) -> Column:
-        size = F.octet_length(f"{head}_text")
+        size = F.col(f"{head}_bytes")
         return F.struct(
             F.col(f"{head}_seq").alias("head_seq"),
             F.col(f"{member}_seq").alias("member_seq"),
@@ -151,7 +160,7 @@ def similarity_pairs(
 
 def multibyte_guard(boxed: DataFrame, accuracy: float = 0.4) -> DataFrame:
     """Similar pairs whose edit script leaves the non-ASCII characters of the head alone."""
-    edges = _edges(boxed, accuracy)
+    edges = _edges(boxed, accuracy, also={"text": lambda text: text})
     plain = F.octet_length("head_text") == F.char_length("head_text")
     # texts without such characters are not compared, only passed by
     text = F.when(~plain, F.col("head_text"))
