@@ -89,6 +89,20 @@ def compact(
     return compact_boxes(boxed, opts)
 
 
+def send_directly(messages: DataFrame) -> DataFrame:
+    """Messages sent at once, past boxes, mutes and grouping, as outbox rows."""
+    return messages.select(
+        "chat_id",
+        "seq",
+        F.lit("SEND").alias("action"),
+        F.lit(None).cast("int").alias("message_id"),
+        "text",
+        F.lit(False).alias("is_group"),
+        F.lit(None).cast("string").alias("pattern"),
+        F.lit(1).alias("cnt"),
+    )
+
+
 def to_outbox(compacted: DataFrame) -> DataFrame:
     """Compacted rows as outbox rows."""
     return compacted.select(

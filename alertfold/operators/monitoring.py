@@ -48,7 +48,8 @@ def list_screens(screens: DataFrame, limit: int | None = None) -> DataFrame:
 def latest_event(events: DataFrame) -> DataFrame:
     """Newest event per object; the larger id wins a tie. Combines before the shuffle."""
     newest = F.max(F.struct("clock", "eventid", "value", "acknowledged")).alias("e")
-    return events.groupBy("objectid").agg(newest).select("objectid", "e.eventid", "e.clock", "e.value", "e.acknowledged")
+    last = events.groupBy("objectid").agg(newest)
+    return last.select("objectid", "e.eventid", "e.clock", "e.value", "e.acknowledged")
 
 
 def open_problems(

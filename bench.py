@@ -67,7 +67,8 @@ def main() -> None:
         times[name] = round(best, 3)
         print(name, times[name], file=sys.stderr, flush=True)
     total = round(sum(times.values()), 3)
-    print(json.dumps({"metric": "total", "value": total, "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir)}))
+    result = {"metric": "total", "value": total, "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir)}
+    print(json.dumps(result))
 
 
 if __name__ == "__main__":

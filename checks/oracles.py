@@ -199,6 +199,11 @@ ORACLES = {
             WHERE group_size > 1""",
         "0.1",
     ),
+    "send_directly": _over(
+        """SELECT chat_id, seq, 'SEND' AS action, CAST(NULL AS INTEGER) AS message_id, text, false AS is_group,
+                  CAST(NULL AS VARCHAR) AS pattern, 1 AS cnt FROM alerts""",
+        "alerts",
+    ),
     "compact_counts": f"""
         WITH {with_views('alerts', 'mute_log')}, {_MUTED}, boxed AS ({_boxed('alerts')})
         SELECT {_BOX}, count(*) AS messages FROM boxed WHERE seq IN (SELECT seq FROM heard) GROUP BY ALL""",

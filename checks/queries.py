@@ -155,6 +155,11 @@ def compact(i: Inputs) -> DataFrame:
     return folding.to_outbox(folding.compact(i.alerts, WIDE, i.mute_log))
 
 
+@query
+def send_directly(i: Inputs) -> DataFrame:
+    return folding.send_directly(i.alerts)
+
+
 @query
 def compact_notes(i: Inputs) -> DataFrame:
     return folding.compact(i.notes, NEAR)
@@ -191,7 +196,8 @@ def merge_template(i: Inputs) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     ratio = byte_levenshtein(a, b) / F.greatest(F.octet_length(a), F.octet_length(b))
     merged = i.template_pairs.filter(ratio <= 0.4).withColumn("merged", fold_template(F.array(a, b)))
-    return merged.select("seq", matches(F.col("merged"), a).alias("takes_a"), matches(F.col("merged"), b).alias("takes_b"))
+    takes = {f"takes_{c}": matches(F.col("merged"), F.col(c)) for c in "ab"}
+    return merged.withColumns(takes).select("seq", *takes)
 
 
 @query

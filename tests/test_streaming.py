@@ -78,7 +78,7 @@ def parts(spark, tmp_path_factory, messages_of):
     """Messages in three files, each later than the one before."""
     rng = random.Random(5)
     texts = ["disk {} full", "load {} on host", "user {} left", "été {}"]
-    rows = sorted((rng.randrange(4), rng.randrange(9000), rng.choice(texts).format(rng.randrange(200))) for _ in range(150))
+    rows = [(rng.randrange(4), rng.randrange(9000), rng.choice(texts).format(rng.randrange(200))) for _ in range(150)]
     rows.sort(key=lambda r: r[1])
     messages = messages_of(rows)
     folder = tmp_path_factory.mktemp("stream")
