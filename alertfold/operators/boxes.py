@@ -45,5 +45,7 @@ def pack_boxes(boxed: DataFrame) -> DataFrame:
     do: comparing the messages of a box costs far more than moving them, and boxes have a bounded size where
     a chat's tick has none. The number of tasks is kept, because the work is heavy for its bytes.
     """
-    spread = boxed.repartition(shuffle_tasks(boxed), *BOX)
-    return spread.groupBy(*BOX).agg(F.sort_array(F.collect_list(F.struct("pos", "seq", "text"))).alias("msgs"))
+    # a key of its own, because constant chats or ticks would make Spark shuffle again
+    spread = boxed.withColumn("_key", F.xxhash64(*BOX)).repartition(shuffle_tasks(boxed), "_key")
+    messages = F.sort_array(F.collect_list(F.struct("pos", "seq", "text")))
+    return spread.groupBy("_key", *BOX).agg(messages.alias("msgs")).drop("_key")

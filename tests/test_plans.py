@@ -41,6 +41,8 @@ def test_compaction_moves_messages_twice(inputs):
     """Once to number them per chat and tick, once to spread the boxes."""
     assert moves(assign_boxes(inputs.alerts, 86_400)) == 1
     assert moves(compact(inputs.alerts, Options(wait=86_400))) == 2
+    assert moves(compact(inputs.alerts, Options(), tick=7)) == 2
+    assert moves(compact(inputs.notes, Options())) == 2
     for name in ("similarity_pairs", "assign_heads", "resolve_roots", "group_sizes", "singles", "fold_groups"):
         assert moves(registry.QUERIES[name](inputs)) == 2, name
 
@@ -48,7 +50,7 @@ def test_compaction_moves_messages_twice(inputs):
 def test_broadcast_mutes_do_not_move_messages(inputs):
     text = plan(registry.QUERIES["compact"](inputs))
     scans = [line for line in text.splitlines() if "Exchange hashpartitioning(chat_id" in line]
-    assert len(scans) == 2 and text.count("BroadcastHashJoin") == 3 and "LeftAnti" in text
+    assert len(scans) == 1 and text.count("REPARTITION_BY_NUM") == 1 and text.count("BroadcastHashJoin") == 3 and "LeftAnti" in text
 
 
 def test_distances_stay_in_the_jvm(inputs):
