@@ -30,8 +30,9 @@ class OnlineCompaction(StatefulProcessor):
     one call are those of one chat in one trigger, which the source's trigger limit bounds.
     """
 
-    def __init__(self, opts: Options) -> None:
+    def __init__(self, opts: Options, forget: bool) -> None:
         self.opts = opts
+        self.forget = forget  # on streams, state of quiet chats ends with a timer
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -66,7 +67,8 @@ class OnlineCompaction(StatefulProcessor):
             latest = max(latest, row.micros)
         self._store(entries, latest)
         self.last_id.update((last,))
-        self._wake_at(latest // 1000 + (self.opts.history_max_age_minutes + 1) * _MINUTE_MS)
+        if self.forget:
+            self._wake_at(latest // 1000 + (self.opts.history_max_age_minutes + 1) * _MINUTE_MS)
 
     def _wake_at(self, ms: int) -> None:
         for timer in list(self.handle.listTimers()):
@@ -101,5 +103,5 @@ def compact_stream(
     if messages.isStreaming:
         timed = timed.withWatermark("ts", f"{opts.history_max_age_minutes} minutes")
     return timed.groupBy("chat_id").transformWithState(
-        OnlineCompaction(opts), OUTBOX, "Append", "EventTime" if messages.isStreaming else "None"
+        OnlineCompaction(opts, messages.isStreaming), OUTBOX, "Append", "EventTime" if messages.isStreaming else "None"
     )

@@ -84,6 +84,13 @@ def test_boxes_cut_in_arrival_order_and_lose_nothing(messages_of):
     assert [(r.box, r.pos) for r in ordered] == [(i // 50, i % 50) for i in range(120)]
 
 
+def test_instants_and_plain_timestamps_fall_into_the_same_boxes(messages_of):
+    rows = messages_of([(1, 100 * i, f"m{i}") for i in range(90)])
+    plain = {(r.seq, r.tick, r.box, r.pos) for r in assign_boxes(rows, 3600).collect()}
+    instants = rows.withColumn("ts", F.col("ts").cast("timestamp"))  # the session is in UTC
+    assert {(r.seq, r.tick, r.box, r.pos) for r in assign_boxes(instants, 3600).collect()} == plain
+
+
 @pytest.fixture(scope="module")
 def crowd(messages_of):
     rng = random.Random(3)
