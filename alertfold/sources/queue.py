@@ -23,7 +23,14 @@ def enqueue(messages: DataFrame, path: str) -> None:
     out.write.mode("append").partitionBy("chat_id").parquet(path)
 
 
+_SCHEMA = "msg_id string, ts timestamp_ntz, seq bigint, text string, chat_id bigint"
+
+
 def read_queue(spark: SparkSession, path: str) -> DataFrame:
     """Messages of the queue table."""
-    schema = "msg_id string, ts timestamp_ntz, seq bigint, text string, chat_id bigint"
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(_SCHEMA).parquet(path)
+
+
+def stream_queue(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """The same as a stream. Each run takes a bounded number of files."""
+    return spark.readStream.schema(_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)

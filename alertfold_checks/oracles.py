@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.inputs import with_views
+from alertfold_checks.inputs import with_views
 
 _DAY_TICK = "epoch_us(ts) // 86400000000 * 86400"
 _BOX = "chat_id, tick, box"

@@ -20,7 +20,7 @@ from alertfold.plans.storage import scratch_path
 from alertfold.sources import api_dump, queue, spool
 from alertfold.streaming import online, run, sender
 from alertfold.streaming.replies import pair_replies_stream as reply_stream
-from checks.inputs import Inputs
+from alertfold_checks.inputs import Inputs
 
 DAY = 86_400
 NEAR = Options(wait=DAY, accuracy=0.1)

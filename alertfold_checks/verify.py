@@ -1,6 +1,6 @@
 """Run registered queries next to their SQL and compare all rows.
 
-    python -m checks.verify [data directory] [query ...]
+    python -m alertfold_checks.verify [data directory] [query ...]
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ import time
 import duckdb
 from pyspark.sql import SparkSession
 
-from checks.inputs import TABLES
-from checks.oracles import ORACLES
-from checks.queries import registered
+from alertfold_checks.inputs import TABLES
+from alertfold_checks.oracles import ORACLES
+from alertfold_checks.queries import registered
 
 
 def session() -> SparkSession:

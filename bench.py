@@ -14,7 +14,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from checks.queries import registered
+from alertfold_checks.queries import registered
 
 HEADLINE = [
     "assign_boxes",

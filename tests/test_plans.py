@@ -8,8 +8,8 @@ import pytest
 from alertfold.operators.boxes import assign_boxes
 from alertfold.operators.folding import compact
 from alertfold.options import Options
-from checks import queries as registry
-from checks.inputs import Inputs
+from alertfold_checks import queries as registry
+from alertfold_checks.inputs import Inputs
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")

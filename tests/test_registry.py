@@ -5,8 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as contract
-from checks.oracles import ORACLES
-from checks.verify import compare, connect
+from alertfold_checks.oracles import ORACLES
+from alertfold_checks.verify import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")

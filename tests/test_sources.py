@@ -2,7 +2,7 @@ import json
 
 from alertfold.sources.api_dump import parse_api_dump
 from alertfold.sources.outbox import write_outbox, write_run
-from alertfold.sources.queue import enqueue, read_queue, with_message_id
+from alertfold.sources.queue import enqueue, read_queue, stream_queue, with_message_id
 from alertfold.sources.spool import read_spool, stream_spool, write_spool
 from alertfold.streaming.run import use_rocksdb
 
@@ -46,6 +46,11 @@ def test_queue_and_identity(spark, tmp_path, messages_of):
     enqueue(messages_of([(1, 5, "later")]), str(tmp_path / "q"))
     back = read_queue(spark, str(tmp_path / "q"))
     assert back.count() == 3
+    use_rocksdb(spark)
+    stream = stream_queue(spark, str(tmp_path / "q"), 1)
+    write_outbox(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), "msg_id").awaitTermination()
+    streamed = spark.read.parquet(str(tmp_path / "out"))
+    assert {r.msg_id for r in streamed.collect()} == {r.msg_id for r in back.collect()} and streamed.count() == 3
     ids = {r.msg_id for r in with_message_id(messages).collect()}
     assert len(ids) == 2 and ids < {r.msg_id for r in back.collect()}
 
