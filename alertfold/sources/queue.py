@@ -31,6 +31,6 @@ def read_queue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_SCHEMA).parquet(path)
 
 
-def stream_queue(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """The same as a stream. Each run takes a bounded number of files."""
-    return spark.readStream.schema(_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
+def stream_queue(spark: SparkSession, path: str, max_bytes_per_trigger: int = 1 << 30) -> DataFrame:
+    """The same as a stream. Each run takes a bounded number of bytes (and at least one file)."""
+    return spark.readStream.schema(_SCHEMA).option("maxBytesPerTrigger", max_bytes_per_trigger).parquet(path)

@@ -30,9 +30,8 @@ class OnlineCompaction(StatefulProcessor):
     one call are those of one chat in one trigger, which the source's trigger limit bounds.
     """
 
-    def __init__(self, opts: Options, forget: bool) -> None:
+    def __init__(self, opts: Options) -> None:
         self.opts = opts
-        self.forget = forget  # on streams, state of quiet chats ends with a timer
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -67,8 +66,7 @@ class OnlineCompaction(StatefulProcessor):
             latest = max(latest, row.micros)
         self._store(entries, latest)
         self.last_id.update((last,))
-        if self.forget:
-            self._wake_at(latest // 1000 + (self.opts.history_max_age_minutes + 1) * _MINUTE_MS)
+        self._wake_at(latest // 1000 + (self.opts.history_max_age_minutes + 1) * _MINUTE_MS)
 
     def _wake_at(self, ms: int) -> None:
         for timer in list(self.handle.listTimers()):
@@ -87,11 +85,15 @@ class OnlineCompaction(StatefulProcessor):
 def compact_stream(
     messages: DataFrame, opts: Options = Options(), mute_log: DataFrame | None = None
 ) -> DataFrame:
-    """Outbox rows for a stream (or a table) of messages(chat_id, ts, seq, text).
+    """Outbox rows for a stream of messages(chat_id, ts, seq, text).
 
+    For a backlog use :func:`alertfold.operators.folding.compact`: here a chat's rows of one run are put in
+    order in one task, so runs must be bounded, as ``stream_queue`` and ``stream_spool`` bound them.
     ``ts`` is the time of the event; rows later than the history's age limit are dropped, and so are muted
     ones. ``mute_log`` is a table, as it stands when the stream starts.
     """
+    if not messages.isStreaming:
+        raise ValueError("online compaction takes a stream; compact() takes tables")
     if mute_log is not None:
         heard = drop_muted(messages, mute_log)
         if heard is None:
@@ -100,8 +102,6 @@ def compact_stream(
     timed = messages.select(
         "chat_id", F.col("ts").cast("timestamp").alias("ts"), "seq", "text", epoch_micros(messages).alias("micros")
     )
-    if messages.isStreaming:
-        timed = timed.withWatermark("ts", f"{opts.history_max_age_minutes} minutes")
-    return timed.groupBy("chat_id").transformWithState(
-        OnlineCompaction(opts, messages.isStreaming), OUTBOX, "Append", "EventTime" if messages.isStreaming else "None"
-    )
+    late = f"{opts.history_max_age_minutes} minutes"
+    by_chat = timed.withWatermark("ts", late).groupBy("chat_id")
+    return by_chat.transformWithState(OnlineCompaction(opts), OUTBOX, "Append", "EventTime")

@@ -157,7 +157,7 @@ class Inputs:
         """A table as a stream of its files."""
         schema = getattr(self, table).schema
         reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-        return reader.option("maxFilesPerTrigger", 100).parquet(self.sf_dir).selectExpr(*expressions)
+        return reader.option("maxBytesPerTrigger", 1 << 30).parquet(self.sf_dir).selectExpr(*expressions)
 
 
 def with_views(*names: str) -> str:

@@ -47,7 +47,7 @@ def test_queue_and_identity(spark, tmp_path, messages_of):
     back = read_queue(spark, str(tmp_path / "q"))
     assert back.count() == 3
     use_rocksdb(spark)
-    stream = stream_queue(spark, str(tmp_path / "q"), 1)
+    stream = stream_queue(spark, str(tmp_path / "q"), 1000)
     write_outbox(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), "msg_id").awaitTermination()
     streamed = spark.read.parquet(str(tmp_path / "out"))
     assert {r.msg_id for r in streamed.collect()} == {r.msg_id for r in back.collect()} and streamed.count() == 3

@@ -101,12 +101,9 @@ def test_online_compaction_over_batches_and_restarts(spark, parts, tmp_path):
     assert sorted((tuple(r) for r in rows), key=repr) == want
 
 
-def test_a_table_gives_what_its_stream_gives(spark, parts):
-    _, cuts, want = parts
-    use_rocksdb(spark)
-    whole = cuts[0].unionByName(cuts[1]).unionByName(cuts[2])
-    rows = compact_stream(whole).select("chat_id", "seq", "action", "message_id", "text", "cnt").collect()
-    assert sorted((tuple(r) for r in rows), key=repr) == want
+def test_tables_are_refused(parts):
+    with pytest.raises(ValueError):
+        compact_stream(parts[1][0])
 
 
 def test_replies_over_batches(spark, tmp_path):
