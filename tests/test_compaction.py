@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from alertfold.functions.script import fold_texts, touches_multibyte
 from alertfold.functions.templates import text_matches
 from alertfold.operators.boxes import assign_boxes, batch_gate
 from alertfold.operators.folding import compact, fold_groups, to_outbox
@@ -154,6 +155,44 @@ def test_pairs_equal_all_pairs_tried(crowd):
     assert {(p.head_seq, p.member_seq) for p in similarity_pairs(boxed, 0.3).collect()} == want
 
 
+def test_guarded_pairs_equal_all_pairs_tried(crowd):
+    boxed = assign_boxes(crowd, 3600, 20)
+    rows = boxed.collect()
+    want = {
+        (a.seq, b.seq)
+        for a in rows
+        for b in rows
+        if (a.chat_id, a.tick, a.box) == (b.chat_id, b.tick, b.box)
+        and a.pos < b.pos
+        and byte_ratio(a.text, b.text) < 0.4
+        and not touches_multibyte(a.text, b.text)
+    }
+    assert {(p.head_seq, p.member_seq) for p in multibyte_guard(boxed, 0.4).collect()} == want
+
+
+@pytest.mark.parametrize("guard", [False, True])
+def test_whole_compaction_by_hand(crowd, guard):
+    opts = Options(wait=3600, max_messages=20, min_approx=8, dont_approximate_multibyte=guard)
+    boxes = {}
+    for r in assign_boxes(crowd, opts.wait, opts.max_messages).collect():
+        boxes.setdefault((r.chat_id, r.tick, r.box), []).append(r)
+    want = []
+    for key, members in boxes.items():
+        texts = [r.text for r in sorted(members, key=lambda r: r.pos)]
+        sent = list(texts)
+        if len(texts) > opts.min_approx:
+            groups = {}
+            for text, root in zip(texts, group_roots(texts, opts)):
+                groups.setdefault(root, []).append(text)
+            sent = [g[0] for g in groups.values() if len(g) == 1]
+            sent += [
+                f"{len(g)} similar messages were received:\n{fold_texts(g)}" for g in groups.values() if len(g) > 1
+            ]
+        want += [(*key, place, text) for place, text in enumerate(sent)]
+    got = compact(crowd, opts).select("chat_id", "tick", "box", "out_pos", "text").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_templates_cover_their_groups(crowd):
     for row in fold_groups(assign_boxes(crowd, 3600), Options(wait=3600)).collect():
         assert len(row.texts) == row.cnt
