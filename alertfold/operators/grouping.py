@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertfold.operators.boxes import BOX, pack_boxes
-from alertfold.operators.similarity import guard_multibyte, with_distances
+from alertfold.operators.similarity import guard_multibyte, with_distances, with_kinds
 from alertfold.options import Options
 
 _LINK = "struct<head:int,dist:double>"
@@ -41,6 +41,41 @@ def _first_links(spread: float) -> Column:
     return F.transform("levs", choose)
 
 
+def _first_links_directly(accuracy: float, spread: float) -> Column:
+    """The same without the distances of all pairs.
+
+    Once there is a head, another one counts only where it is nearer by more than the spread, so distances
+    stop at that; and where the head is as near as the spread, none can, so nothing is measured any more.
+    """
+    kinds = F.col("kinds")
+
+    def measured(held: Column, a: Column, b: Column) -> Column:
+        longer = F.greatest(a["bytes"], b["bytes"])
+        gap = F.abs(a["bytes"] - b["bytes"]) / longer
+        reach = F.when(held.isNull(), F.lit(accuracy)).otherwise(F.least(F.lit(accuracy), held["dist"] - spread))
+        limit = F.least(longer, F.ceil(longer * reach).cast("int") + 1)
+        possible = (longer > 0) & (gap < accuracy) & (held.isNull() | (held["dist"] - gap > spread))
+        lev = F.when(possible, F.call_function("levenshtein", a["flat"], b["flat"], limit))
+        return F.struct(lev.alias("lev"), longer.alias("longer"))
+
+    def better(held: Column, x: Column, m: Column) -> Column:
+        dist = m["lev"] / m["longer"]
+        nearer = (dist < accuracy) & (held.isNull() | (held["dist"] - dist > spread))
+        return F.when((m["lev"] >= 0) & nearer, _link(x, dist)).otherwise(held)
+
+    def choose(b: Column, y: Column) -> Column:
+        earlier = F.transform(F.slice(kinds, F.lit(1), y), lambda a, x: F.struct(x.alias("x"), a.alias("a")))
+
+        def step(held: Column, c: Column) -> Column:
+            # an array of one, so that what is measured has a name and is measured once
+            once = F.transform(F.array(measured(held, c["a"], b)), lambda m: better(held, c["x"], m))
+            return F.when(held["dist"] <= spread, held).otherwise(F.get(once, F.lit(0)))
+
+        return F.aggregate(earlier, F.lit(None).cast(_LINK), step)
+
+    return F.transform(kinds, choose)
+
+
 def _copy_links(spread: float) -> Column:
     """Per kind the head of its further messages; empty texts have none."""
 
@@ -76,19 +111,19 @@ def _tops(parents: Column) -> Column:
 
 def with_links(boxes: DataFrame, opts: Options) -> DataFrame:
     """Add to packed boxes the links of kinds: ``first_link``, ``copy_link``, ``first_at``, ``last_at``."""
-    distances = with_distances(boxes, opts.accuracy)
     if opts.dont_approximate_multibyte:
-        distances = guard_multibyte(distances)
+        found = guard_multibyte(with_distances(boxes, opts.accuracy))
+        found = found.withColumn("first_link", _first_links(opts.spread)).drop("levs")
+    else:
+        found = with_kinds(boxes).withColumn("first_link", _first_links_directly(opts.accuracy, opts.spread))
+        found = found.drop("kinds")
     kind_of = F.col("kind_of")
     first_at = F.transform("texts", lambda t, y: (F.array_position(kind_of, y.cast("int")) - 1).cast("int"))
     last_at = F.transform(
         "texts", lambda t, y: (F.size(kind_of) - F.array_position(F.reverse(kind_of), y.cast("int"))).cast("int")
     )
-    return (
-        distances.withColumns({"first_link": _first_links(opts.spread), "first_at": first_at, "last_at": last_at})
-        .withColumn("copy_link", _copy_links(opts.spread))
-        .drop("levs")
-    )
+    places = {"first_at": first_at, "last_at": last_at}
+    return found.withColumns({"copy_link": _copy_links(opts.spread), **places})
 
 
 def with_roots(boxes: DataFrame, opts: Options) -> DataFrame:

@@ -50,20 +50,20 @@ def _distances(accuracy: float, inclusive: bool) -> Column:
     return F.transform(kinds, against_earlier)
 
 
-def with_distances(boxes: DataFrame, accuracy: float, inclusive: bool = False) -> DataFrame:
-    """Add to packed boxes ``texts`` (the distinct ones, by first arrival), ``kind_of`` (the place of each
-    message's text among them) and ``levs`` (per kind, (lev, dist) to every kind up to itself; null if far).
-
-    Distances are taken once per pair of distinct texts, so copies cost nothing.
-    """
+def with_kinds(boxes: DataFrame) -> DataFrame:
+    """Add to packed boxes ``texts`` (the distinct ones, by first arrival), ``kinds`` (what distances need of
+    them) and ``kind_of`` (the place of each message's text among them)."""
     texts = F.col("texts")
     place = F.transform("msgs", lambda m: (F.array_position(texts, m["text"]) - 1).cast("int"))
-    return (
-        boxes.withColumn("texts", F.array_distinct(F.transform("msgs", lambda m: m["text"])))
-        .withColumns({"kind_of": place, "kinds": F.transform(texts, _kind)})
-        .withColumn("levs", _distances(accuracy, inclusive))
-        .drop("kinds")
-    )
+    distinct = boxes.withColumn("texts", F.array_distinct(F.transform("msgs", lambda m: m["text"])))
+    return distinct.withColumns({"kind_of": place, "kinds": F.transform(texts, _kind)})
+
+
+def with_distances(boxes: DataFrame, accuracy: float, inclusive: bool = False) -> DataFrame:
+    """Add the kinds of packed boxes and ``levs``: per kind, (lev, dist) to every kind up to itself; null if
+    far. Distances are taken once per pair of distinct texts, so copies cost nothing.
+    """
+    return with_kinds(boxes).withColumn("levs", _distances(accuracy, inclusive)).drop("kinds")
 
 
 def guard_multibyte(distances: DataFrame) -> DataFrame:
