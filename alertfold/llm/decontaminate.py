@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertfold.llm.wordstream import LETTERS_AND_DIGITS, WordStream, as_rows, pieces, words_of
+from alertfold.llm.wordstream import LETTERS_AND_DIGITS, WordStream, as_rows, normalised, pieces, words_of
 from alertfold.plans.storage import checkpointed
 
 WINDOW = 10
@@ -65,23 +65,6 @@ def _automaton(patterns: dict[str, list]) -> ahocorasick.Automaton:
     return out
 
 
-def normalised(stream: WordStream) -> tuple[str, np.ndarray]:
-    """All words with a blank around each, texts kept apart by a line feed; and where each word ends in it.
-
-    A character stands for a byte.
-    """
-    size = stream.end - stream.start
-    last = np.zeros(len(size), bool)
-    last[stream.first[1:][stream.count > 0] - 1] = True
-    step = size + np.where(last, 3, 1)
-    begin = 1 + np.cumsum(step) - step
-    out = np.full(int(step.sum()) + 1, 0x20, np.uint8)
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(begin, size) + at] = stream.data[np.repeat(stream.start, size) + at]
-    out[begin[last] + size[last] + 1] = 0x0A
-    return out.tobytes().decode("latin-1"), begin + size
-
-
 def _covered(stream: WordStream, known: list[list[dict]], first: np.ndarray, last: np.ndarray) -> pa.Array:
     """Matches and the ranges known before, merged per text."""
     old = [(stream.first[t] + r["first"], stream.first[t] + r["last"]) for t, ranges in enumerate(known) for r in ranges]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertfold.llm import decontaminate, license_scan, mixing, sharding, warc
+from alertfold.llm import decontaminate, labelled, license_scan, mixing, quality, sharding, toxicity, warc
 from alertfold.plans.storage import scratch_path
 
 SHARDS = 24
@@ -78,6 +78,27 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scored(spark: SparkSession, sf_dir: str, kind, column: str, modulus: int, kept_back: int) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kind.fit(docs, labelled.training(table(spark, sf_dir, "labels"), column, modulus, kept_back))
+    return kind.score(docs, model).select("row.doc_id", "score").select(
+        "doc_id",
+        labelled.held_out(modulus, kept_back).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, quality, "quality", 3, 1)
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, toxicity, "toxic", 5, 0)
+
+
 @query
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
