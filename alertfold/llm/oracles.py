@@ -56,6 +56,25 @@ FROM worded LEFT JOIN labels USING (doc_id) LEFT JOIN spots USING (doc_id)
 """
 
 
+_SUBSTRING = f"""
+WITH docs AS (SELECT doc_id, {_BLANK_WORDS} AS w FROM documents),
+spots AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs WHERE len(w) >= 20)),
+later AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS place FROM spots)
+  WHERE place > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM docs),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS line
+  FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT docs.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(line, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
 _WEIGHT = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
 
 _MIX = f"""
@@ -125,6 +144,7 @@ FROM docs LEFT JOIN spots USING (doc_id) LEFT JOIN named USING (doc_id)
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": _license_scan(),
+    "op2_substring_dedup": _SUBSTRING,
     "op3_mix_sources": _MIX,
     "op4_warc": _WARC,
     "op5_decontaminate": _DECONTAMINATE,

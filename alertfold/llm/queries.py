@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertfold.llm import decontaminate, labelled, license_scan, mixing, quality, sharding, toxicity, warc
+from alertfold.llm import decontaminate, labelled, license_scan, mixing, quality, sharding, substring_dedup, toxicity, warc
 from alertfold.plans.storage import scratch_path
 
 SHARDS = 24
@@ -45,6 +45,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.without_repeats(docs).select(
+        "row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, plan = mixing.mixture(table(spark, sf_dir, "documents"))

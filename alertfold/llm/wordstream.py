@@ -156,3 +156,19 @@ def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 def as_rows(docs: DataFrame) -> DataFrame:
     """All columns as one struct ``row``, so that added columns never clash with those of the table."""
     return docs.select(F.struct(*docs.columns).alias("row"))
+
+
+def word_bytes(stream: WordStream, keep: np.ndarray) -> pa.Array:
+    """The kept words of each text with one blank between, as bytes."""
+    kept = np.flatnonzero(keep)
+    size = stream.end[kept] - stream.start[kept]
+    per_text = np.bincount(stream.text[kept], minlength=len(stream.count))
+    last = np.zeros(len(kept), bool)
+    last[np.cumsum(per_text)[per_text > 0] - 1] = True
+    step = size + ~last
+    begin = np.cumsum(step) - step
+    out = np.full(int(step.sum()), 0x20, np.uint8)
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(begin, size) + at] = stream.data[np.repeat(stream.start[kept], size) + at]
+    ends = np.append(0, np.cumsum(step))[np.append(0, np.cumsum(per_text))].astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(per_text), [None, pa.py_buffer(ends), pa.py_buffer(out)])
