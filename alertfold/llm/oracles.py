@@ -142,10 +142,32 @@ SELECT docs.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_h
 FROM docs LEFT JOIN spots USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+_JACCARD = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, {_BLANK_WORDS.replace("coalesce(text, '')", _LOWERED)} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reached AS (
+  SELECT doc_id AS x, doc_id AS y FROM docs
+  UNION SELECT reached.x, links.y FROM reached JOIN links ON links.x = reached.y)
+SELECT docs.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM docs LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reached GROUP BY x) USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": _license_scan(),
     "op2_substring_dedup": _SUBSTRING,
     "op3_mix_sources": _MIX,
     "op4_warc": _WARC,
     "op5_decontaminate": _DECONTAMINATE,
+    "op9_jaccard_join": _JACCARD,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertfold.llm import decontaminate, labelled, license_scan, mixing, quality, sharding, substring_dedup, toxicity, warc
+from alertfold.llm import decontaminate, jaccard, labelled, license_scan, mixing, quality, sharding, substring_dedup, toxicity, warc
 from alertfold.plans.storage import scratch_path
 
 SHARDS = 24
@@ -119,3 +119,8 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.into_shards(narrow, SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))

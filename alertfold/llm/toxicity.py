@@ -56,7 +56,9 @@ def grams(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray
                 at, slot = at[keep], slot[keep]
             at, slot = at[at < len(owner)], slot[at < len(owner)]
             found.append((owner[at].astype(np.uint64) << np.uint64(SLOT_BITS)) | slot)
-    keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    keys.sort()
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
     return (keys >> np.uint64(SLOT_BITS)).astype(np.int64), (keys & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
-PIECE_BYTES = 1 << 20
+PIECE_BYTES, PIECE_ROWS = 1 << 20, 2048
 
 
 def mixed(values: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -141,13 +141,14 @@ def normalised(stream: WordStream) -> tuple[str, np.ndarray]:
 def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Batches of a column ``row`` cut so that their texts hold about PIECE_BYTES, each with its texts as bytes.
 
-    A longer text is a piece of its own.
+    A piece has at most PIECE_ROWS rows; a longer text is a piece of its own.
     """
     for batch in batches:
         texts = pc.struct_field(batch.column("row"), "text").cast(pa.large_binary())
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(sizes, dtype=np.int64) // PIECE_BYTES
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        changes = (np.diff(part) > 0) | (np.arange(1, batch.num_rows) % PIECE_ROWS == 0)
+        cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
         for low, high in zip(cuts, cuts[1:]):
             if high > low:
                 yield batch.slice(low, high - low), texts.slice(low, high - low)
