@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertfold.llm import decontaminate, jaccard, labelled, license_scan, mixing, quality, sharding, substring_dedup, toxicity, warc
+from alertfold.llm import decontaminate, jaccard, labelled, license_scan, mixing, neighbours, quality, sharding, substring_dedup, toxicity, warc
 from alertfold.plans.storage import scratch_path
 
 SHARDS = 24
@@ -86,6 +86,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 def _scored(spark: SparkSession, sf_dir: str, kind, column: str, modulus: int, kept_back: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = kind.fit(docs, labelled.training(table(spark, sf_dir, "labels"), column, modulus, kept_back))
