@@ -60,18 +60,19 @@ def _sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray
     return (running[last] - running[first]).view(np.int64)
 
 
-_FIELDS = ["bucket", "doc", "size", "sum", "check", "token", "owner"]
+_FIELDS = ["bucket", "doc", "size", "sum", "check", "loose", "token", "owner"]
 _SCHEMA = (
-    "bucket int, doc array<long>, size array<long>, sum array<long>, check array<long>, token array<long>,"
-    " owner array<long>"
+    "bucket int, doc array<long>, size array<long>, sum array<long>, check array<long>, loose array<long>,"
+    " token array<long>, owner array<long>"
 )
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """Rows (doc, size, sum, check) for every document, and rows (sum, own): own sampled shingles of a set.
+    """Rows (doc, size, sum, check, loose) for every document, and rows (sum, shared) for sets.
 
     ``sum`` and ``check`` are hashes of the set. A task sends a sampled shingle that several sets of its piece
-    hold just twice, so one that is everywhere costs two rows per piece.
+    hold for two of them only, so one that is everywhere costs two entries per piece. ``loose`` are the sampled
+    shingles without those kept back; ``shared`` those of the sent ones that other sets hold too.
     """
     tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     buckets = 8 * tasks
@@ -94,49 +95,54 @@ def _profiles(docs: DataFrame) -> DataFrame:
             bucket = (mixed(total.view(np.uint64), 3) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             used = np.unique(bucket)
-            own = [batch.column("doc").take(pa.array(order)), np.diff(cuts)[order], total[order], check[order]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used), *lists(own, bucket[order], used), nothing(len(used)), nothing(len(used))], _FIELDS
-            )
             sampled = value < limit
             token, owner = value[sampled].view(np.int64), total[text[sampled]]
-            order = np.lexsort((owner, token))
-            token, owner = token[order], owner[order]
+            by_token = np.lexsort((owner, token))
+            token, owner = token[by_token], owner[by_token]
             pair = np.ones(len(token), bool)
             pair[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
             token, owner = token[pair], owner[pair]
             place = np.arange(len(token)) - np.searchsorted(token, token)
+            sums, back = np.unique(total, return_inverse=True)
+            kept_back = np.bincount(np.searchsorted(sums, owner[place >= 2]), minlength=len(sums))[back]
+            loose = np.bincount(text[sampled], minlength=len(texts)) - kept_back
             token, owner = token[place < 2], owner[place < 2]
+            columns = [np.diff(cuts), total, check, loose]
+            own = [batch.column("doc").take(pa.array(order)), *(c[order] for c in columns)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used), *lists(own, bucket[order], used), nothing(len(used)), nothing(len(used))], _FIELDS
+            )
             bucket = (mixed(token.view(np.uint64), 4) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             used = np.unique(bucket)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used), *[nothing(len(used))] * 4, *lists([token[order], owner[order]], bucket[order], used)],
+                [pa.array(used), *[nothing(len(used))] * 5, *lists([token[order], owner[order]], bucket[order], used)],
                 _FIELDS,
             )
 
     def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        names = ["doc", "size", "sum", "check", "own"]
+        names = ["doc", "size", "sum", "check", "loose", "shared"]
         for batch in batches:
             columns = [batch.column(name).flatten() for name in _FIELDS[1:]]
             if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([*columns[:4], pa.nulls(len(columns[0]), pa.int64())], names)
-            tokens.append(columns[4].to_numpy())
-            owners.append(columns[5].to_numpy())
+                yield pa.RecordBatch.from_arrays([*columns[:5], pa.nulls(len(columns[0]), pa.int64())], names)
+            tokens.append(columns[5].to_numpy())
+            owners.append(columns[6].to_numpy())
         token, owner = np.concatenate(tokens), np.concatenate(owners)
         order = np.lexsort((owner, token))
         token, owner = token[order], owner[order]
         fresh = np.append(True, token[1:] != token[:-1]) if len(token) else np.zeros(0, bool)
         pair = fresh.copy()
         pair[1:] |= owner[1:] != owner[:-1]
-        kinds = np.bincount(np.cumsum(fresh)[pair] - 1)
-        sums, own = np.unique(owner[fresh][kinds == 1], return_counts=True)
+        holders = np.bincount(np.cumsum(fresh)[pair] - 1)
+        sums, shared = np.unique(owner[pair][np.repeat(holders, holders) > 1], return_counts=True)
         none = pa.nulls(len(sums), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(sums), none, pa.array(own, pa.int64())], names)
+        columns = [none, none, pa.array(sums), none, none, pa.array(shared, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
     sent = named.mapInArrow(send, _SCHEMA).repartition(tasks, "bucket")
-    return sent.mapInArrow(settle, "doc long, size long, sum long, check long, own long")
+    return sent.mapInArrow(settle, "doc long, size long, sum long, check long, loose long, shared long")
 
 
 def _least(size: Column) -> Column:
@@ -324,15 +330,15 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     """
     profiles = checkpointed(_profiles(docs))
     known = profiles.filter("size IS NOT NULL")
-    own = profiles.filter("size IS NULL").groupBy("sum").agg(F.sum("own").alias("own"))
+    shared = profiles.filter("size IS NULL").groupBy("sum").agg(F.sum("shared").alias("shared"))
     classes = checkpointed(
         known.filter("doc IS NOT NULL AND size > 0")
         .groupBy("size", "sum", "check")
-        .agg(F.min("doc").alias("node"))
-        .join(own, "sum", "left")
-        .select("size", "sum", "check", "node", F.coalesce("own", F.lit(0)).alias("own"))
+        .agg(F.min("doc").alias("node"), F.min("loose").alias("loose"))
+        .join(shared, "sum", "left")
+        .select("size", "sum", "check", "node", (F.col("loose") - F.coalesce("shared", F.lit(0))).alias("own"))
     )
-    # a set that links holds at least _least(size) shingles of others
+    # a set that links holds at least _least(size) shingles of others; what it certainly has of its own is too much
     near = checkpointed(classes.filter(F.col("own") <= F.col("size") - _least(F.col("size"))).select("node", "sum"))
     sets = checkpointed(_sets(docs, near))
     links = checkpointed(_links_by_order(sets))
