@@ -1,17 +1,41 @@
-"""Connected components of a graph, in rounds of joins."""
+"""Connected components of a graph: in one task while its edges are few, else in rounds of joins."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertfold.plans.storage import checkpointed
 
 
-def components(edges: DataFrame) -> DataFrame:
+ONE_TASK_EDGES = 500_000
+
+
+def _in_one_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    above: dict[int, int] = {}
+
+    def root(node: int) -> int:
+        while above.setdefault(node, node) != node:
+            above[node] = above[above[node]]
+            node = above[node]
+        return node
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            low, high = sorted((root(a), root(b)))
+            above[high] = low
+    nodes = list(above)
+    columns = [pa.array(nodes, pa.int64()), pa.array([root(node) for node in nodes], pa.int64())]
+    yield pa.RecordBatch.from_arrays(columns, ["node", "component"])
+
+
+def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b); the component is its smallest node.
 
-    Each round ties all larger neighbours of a node to its smallest one, then the smaller ones, until nothing
+    Up to ``one_task_edges`` edges, which are counted, one task joins them. Beyond that each round ties all larger neighbours of a node to its smallest one, then the smaller ones, until nothing
     changes: a number of rounds that grows with the logarithm of the size. A node's neighbours are only
     aggregated, never listed.
     """
@@ -24,6 +48,9 @@ def components(edges: DataFrame) -> DataFrame:
         moved = tied.select(F.col("b").alias("a"), F.col("least").alias("b"))
         return (moved if larger else moved.unionAll(own)).filter("a > b").distinct()
 
+    edges = checkpointed(edges.select("a", "b"))
+    if edges.count() <= one_task_edges:
+        return edges.filter("a <> b").coalesce(1).mapInArrow(_in_one_task, "node long, component long")
     downward = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
     pairs = checkpointed(downward)
     before = None

@@ -348,7 +348,7 @@ def linked_documents(docs: DataFrame) -> DataFrame:
         "size", "sum", "check", F.coalesce("component", "node").alias("component")
     )
     return known.join(named, ["size", "sum", "check"], "left").select(
-        F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id")
+        F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id")
     )
 
 

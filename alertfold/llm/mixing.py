@@ -72,13 +72,12 @@ def repetitions(sized: DataFrame, targets: DataFrame) -> DataFrame:
     ``sized`` has (source, size, key). A document still goes in if that brings its source closer to the target.
     Documents of sources without words go in once.
     """
-    whole = F.when(F.col("source_size") == 0, F.lit(1)).otherwise(F.floor(F.col("target") / F.col("source_size")))
-    state = targets.select(
+    wordless = targets.filter("source_size = 0").select("source", F.lit(1).alias("whole"), F.lit("").alias("last_key"))
+    whole = F.floor(F.col("target") / F.col("source_size"))
+    state = targets.filter("source_size > 0").select(
         "source",
         whole.cast("int").alias("whole"),
-        F.when(F.col("source_size") == 0, F.lit(0.0))
-        .otherwise(F.col("target") - whole * F.col("source_size"))
-        .alias("quota"),
+        (F.col("target") - whole * F.col("source_size")).alias("quota"),
         F.lit("").alias("prefix"),
         F.lit(0).cast("long").alias("base"),
     )
@@ -92,6 +91,7 @@ def repetitions(sized: DataFrame, targets: DataFrame) -> DataFrame:
             .withColumn("until", F.col("base") + F.sum("words").over(up_to))
         )
         crossing = F.struct("part", (F.col("until") - F.col("words")).alias("base"))
+        whole_source = state.filter("prefix = 'g'")
         state = checkpointed(
             sums.groupBy("source", "whole", "quota")
             .agg(F.min(F.when(F.col("until") > F.col("quota"), crossing)).alias("c"))
@@ -103,15 +103,17 @@ def repetitions(sized: DataFrame, targets: DataFrame) -> DataFrame:
                 F.coalesce("c.part", F.lit("g")).alias("prefix"),
                 F.coalesce("c.base", F.lit(0)).cast("long").alias("base"),
             )
+            .unionAll(whole_source)
         )
     last = joined(sized, state, ["source"], "inner").filter(F.col("key").startswith(F.col("prefix")))
     by_key = last.groupBy("source", "base", "quota", "key").agg(F.sum("size").alias("words"))
     middle = F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("key")) - F.col("words") / 2
     fits = by_key.withColumn("middle", middle).filter(F.col("middle") <= F.col("quota"))
     found = fits.groupBy("source").agg(F.max("key").alias("found"))
-    return joined(state, found, ["source"], "left").select(
+    worded = joined(state, found, ["source"], "left").select(
         "source", "whole", F.coalesce("found", "prefix").alias("last_key")
     )
+    return worded.unionAll(wordless)
 
 
 def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED):

@@ -152,8 +152,11 @@ def repeated_symbols(keyed: DataFrame, window: int) -> DataFrame:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches):
             piece = _Piece.of(batch, texts, window)
-            _, at = np.unique(piece.place, return_index=True)
-            symbol, times = np.unique(piece.symbol[at], return_counts=True)
+            order = np.lexsort((piece.place, piece.symbol))
+            symbol, place = piece.symbol[order], piece.place[order]
+            other = np.ones(len(order), bool)
+            other[1:] = (symbol[1:] != symbol[:-1]) | (place[1:] != place[:-1])
+            symbol, times = np.unique(symbol[other], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(symbol.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int32))], ["symbol", "times"]
             )
