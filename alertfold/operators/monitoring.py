@@ -66,9 +66,8 @@ def open_problems(
     watched = triggers.filter(F.col("monitored") & (F.col("severity") >= min_severity))
     if group is not None:
         watched = watched.filter(F.col("groupid") == group)
-    last = latest_event(events).filter(
-        (F.col("clock") >= since) & (F.col("value") == 1) & ~F.col("acknowledged")
-    )
+    # an object whose newest event is older has no event in the window, so older events needn't be read
+    last = latest_event(events.filter(F.col("clock") >= since)).filter((F.col("value") == 1) & ~F.col("acknowledged"))
     found = watched.join(last, F.col("triggerid") == F.col("objectid"))
     return _listed(found.select("triggerid", "groupid", "description"), limit)
 

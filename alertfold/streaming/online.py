@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -19,7 +20,6 @@ OUTBOX = (
     " is_group boolean, pattern string, cnt int"
 )
 _HISTORY = "message_id int, text string, micros bigint, pattern string, cnt int"
-_MINUTE_MS = 60_000
 _ROW = Row(*[field.split()[0] for field in OUTBOX.split(", ")])
 
 
@@ -41,42 +41,27 @@ class OnlineCompaction(StatefulProcessor):
     def _load(self) -> list[Entry]:
         return [Entry(r[0], r[1], r[2], r[3], r[4]) for r in self.history.get()]
 
-    def _store(self, entries: list[Entry], micros: int) -> None:
-        young = [e for e in entries if e.age_minutes(micros) <= self.opts.history_max_age_minutes]
-        if young:
-            self.history.put([(e.message_id, e.text, e.micros, e.pattern, e.cnt) for e in young])
-        else:
-            self.history.clear()
+    def _store(self, entries: list[Entry]) -> None:
+        """Keep what is young enough beside the newest entry of the chat."""
+        newest = max(e.micros for e in entries)
+        young = [e for e in entries if e.age_minutes(newest) <= self.opts.history_max_age_minutes]
+        self.history.put([(e.message_id, e.text, e.micros, e.pattern, e.cnt) for e in young])
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         entries = self._load() if self.history.exists() else []
         last = self.last_id.get()[0] if self.last_id.exists() else 0
-        latest = 0
         for row in sorted(rows, key=lambda r: (r.micros, r.seq)):
-            seen = recent(entries, row.micros, self.opts)
-            chosen = decide(row.text, seen, self.opts)
+            chosen = decide(row.text, recent(entries, row.micros, self.opts), self.opts)
             last += 1
             sent = chosen.text if chosen.pattern is None else f"{chosen.pattern}{ONLINE_FOOTER}{chosen.cnt}"
             for old in chosen.replaces:
                 yield _ROW(key[0], row.seq, "DELETE", old, None, None, None, None)
             yield _ROW(key[0], row.seq, "SEND", last, sent, chosen.pattern is not None, chosen.pattern, chosen.cnt)
-            if chosen.replaces:  # all of them are among the newest that were looked at
-                entries[-len(seen) :] = [e for e in reversed(seen) if e.message_id not in chosen.replaces]
-            entries.append(Entry(last, sent, row.micros, chosen.pattern, chosen.cnt))
-            latest = max(latest, row.micros)
-        self._store(entries, latest)
+            if chosen.replaces:
+                entries = [e for e in entries if e.message_id not in chosen.replaces]
+            insort(entries, Entry(last, sent, row.micros, chosen.pattern, chosen.cnt), key=lambda e: (e.micros, e.message_id))
+        self._store(entries)
         self.last_id.update((last,))
-        self._wake_at(latest // 1000 + (self.opts.history_max_age_minutes + 1) * _MINUTE_MS)
-
-    def _wake_at(self, ms: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(ms)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
-        """The chat has been quiet for the whole age limit: nothing it sent can matter any more."""
-        self._store(self._load(), expiredTimerInfo.getExpiryTimeInMs() * 1000)
-        return iter(())
 
     def close(self) -> None:
         pass
@@ -89,8 +74,10 @@ def compact_stream(
 
     For a backlog use :func:`alertfold.operators.folding.compact`: here a chat's rows of one run are put in
     order in one task, so runs must be bounded, as ``stream_queue`` and ``stream_spool`` bound them.
-    ``ts`` is the time of the event; rows later than the history's age limit are dropped, and so are muted
-    ones. ``mute_log`` is a table, as it stands when the stream starts.
+    ``ts`` is the time of the event. Every message is sent, however late: there is no watermark, a late one looks
+    at the history around its own time, and goes out alone where that is gone. Muted ones are dropped;
+    ``mute_log`` is a table, as it stands when the stream starts. A chat keeps the history beside its newest
+    message and its last id, quiet chats too.
     """
     if not messages.isStreaming:
         raise ValueError("online compaction takes a stream; compact() takes tables")
@@ -99,9 +86,5 @@ def compact_stream(
         if heard is None:
             raise ValueError("the mute log is too long for a stream")
         messages = heard
-    timed = messages.select(
-        "chat_id", F.col("ts").cast("timestamp").alias("ts"), "seq", "text", epoch_micros(messages).alias("micros")
-    )
-    late = f"{opts.history_max_age_minutes} minutes"
-    by_chat = timed.withWatermark("ts", late).groupBy("chat_id")
-    return by_chat.transformWithState(OnlineCompaction(opts), OUTBOX, "Append", "EventTime")
+    timed = messages.select("chat_id", "seq", "text", epoch_micros(messages).alias("micros"))
+    return timed.groupBy("chat_id").transformWithState(OnlineCompaction(opts), OUTBOX, "Append", "None")

@@ -70,12 +70,17 @@ def group_roots(texts: Sequence[str], opts: Options) -> list[int]:
 
 
 def recent(history: Sequence[Entry], micros: int, opts: Options) -> list[Entry]:
-    """Newest entries first, up to the count and until the first that is too old."""
+    """Newest entries first, up to the count, without those too far away in time.
+
+    ``history`` is in time order. For a message that comes late, entries may be younger than itself; they count
+    by the same distance.
+    """
     found: list[Entry] = []
     for entry in reversed(history):
-        if len(found) == opts.history_check_count or entry.age_minutes(micros) > opts.history_max_age_minutes:
+        if len(found) == opts.history_check_count:
             break
-        found.append(entry)
+        if max(entry.age_minutes(micros), (entry.micros - micros) // 60_000_000) <= opts.history_max_age_minutes:
+            found.append(entry)
     return found
 
 

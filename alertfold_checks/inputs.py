@@ -154,10 +154,10 @@ class Inputs:
         return self._done[name]
 
     def stream(self, table: str, expressions: list[str]) -> DataFrame:
-        """A table as a stream of its files."""
+        """A table, one file or a folder of files, as a stream of its files."""
         schema = getattr(self, table).schema
-        reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-        return reader.option("maxBytesPerTrigger", 1 << 30).parquet(self.sf_dir).selectExpr(*expressions)
+        reader = self.spark.readStream.schema(schema).option("maxBytesPerTrigger", 1 << 30)
+        return reader.parquet(f"{self.sf_dir}/{table}.parquet*").selectExpr(*expressions)
 
 
 def with_views(*names: str) -> str:

@@ -70,6 +70,8 @@ def test_scans_read_what_they_need(inputs):
     text = plan(registry.QUERIES["open_problems"](inputs))
     (customers,) = [line for line in text.splitlines() if "customer.parquet" in line]
     assert "c_mktsegment" not in customers
+    (orders,) = [line for line in text.splitlines() if "FileScan" in line and "orders.parquet" in line]
+    assert "GreaterThanOrEqual(o_orderdate" in orders
     text = plan(registry.QUERIES["list_actions"](inputs))
     (parts,) = [line for line in text.splitlines() if "part.parquet" in line]
     assert "ReadSchema: struct<p_partkey:bigint,p_name:string,p_size:int>" in parts

@@ -147,3 +147,21 @@ def test_sender_from_spool_to_outbox(spark, tmp_path):
     assert sent == {(0, 5, 3), (0, -6, 1), (1, 5, 1)}
     (group,) = [r for r in spark.read.parquet(outbox).collect() if r.is_group]
     assert group.text == "3 similar messages were received:\ndisk ?? full" and group.action == "SEND"
+
+
+def test_late_messages_are_sent_and_hide_no_history(spark, messages_of, tmp_path):
+    """The second file is five hours and 59 minutes late; the third finds the group of the first again."""
+    day = 10 * 3600
+    for number, rows in enumerate((
+        [(1, day, "disk 1 full"), (1, day + 1, "disk 2 full")],
+        [(1, day - 5 * 3600, "very late"), (1, day - 59 * 60, "rather late")],
+        [(1, day + 120, "disk 3 full")],
+    )):
+        messages_of(rows).withColumn("seq", F.col("seq") + 10 * number).coalesce(1).write.parquet(f"{tmp_path}/in/{number}")
+    schema = spark.read.parquet(f"{tmp_path}/in/0").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    use_rocksdb(spark)
+    write_outbox(compact_stream(stream, OPTS), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    sent = spark.read.parquet(f"{tmp_path}/out").filter("action = 'SEND'").orderBy("seq").collect()
+    assert [r.seq for r in sent] == [0, 1, 10, 11, 20]
+    assert sent[-1].cnt == 3 and {r.text for r in sent} >= {"very late", "rather late"}
