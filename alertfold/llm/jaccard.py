@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from alertfold.llm.components import components
 from alertfold.llm.signature_tree import THRESHOLD, SignatureTree, bitmap_of
 from alertfold.llm.small_side import joined
-from alertfold.llm.wordstream import BLANK_SEPARATED, mixed, pieces, sequence_hashes, words_of
+from alertfold.llm.wordstream import BLANK_SEPARATED, mixed, pieces, sequence_hashes, short_batches, words_of
 from alertfold.plans.storage import checkpointed
 
 SHINGLE = 5
@@ -74,6 +74,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
     hold for two of them only, so one that is everywhere costs two entries per piece. ``loose`` are the sampled
     shingles without those kept back; ``shared`` those of the sent ones that other sets hold too.
     """
+    short_batches(docs)
     tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     buckets = 8 * tasks
     limit = np.uint64(int(SAMPLED * (1 << _BITS)))

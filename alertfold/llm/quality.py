@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from alertfold.llm import labelled
 from alertfold.llm.small_side import joined
-from alertfold.llm.wordstream import as_rows, pieces
+from alertfold.llm.wordstream import as_rows, pieces, short_batches
 
 STRIDE, TAPS = 4, 6
 """A filter sees STRIDE * TAPS bytes and moves by STRIDE."""
@@ -196,6 +196,7 @@ def fit(
     At most ``per_class`` rows of each class and ``chunks`` chunks of each reach the driver. Classes weigh as in
     ``rows``. Without rows of both classes the result is a fixed score: that of the class there is, or 0.5.
     """
+    short_batches(docs)
     sizes = labelled.class_sizes(rows)
     if not all(sizes):
         return 0.5 if not any(sizes) else float(sizes[1] > 0)

@@ -25,6 +25,7 @@ from alertfold.llm.wordstream import (
     mixed,
     pieces,
     sequence_hashes,
+    short_batches,
     word_bytes,
     words_of,
 )
@@ -139,6 +140,7 @@ class _Piece:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Texts with the key of their document and of the text itself; rows without doc_id come last."""
+    short_batches(docs)
     return docs.select(
         F.struct("text").alias("row"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"),

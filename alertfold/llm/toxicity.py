@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from alertfold.llm import labelled
 from alertfold.llm.small_side import joined
-from alertfold.llm.wordstream import LETTERS_AND_DIGITS, as_rows, mixed, normalised, pieces, words_of
+from alertfold.llm.wordstream import LETTERS_AND_DIGITS, as_rows, mixed, normalised, pieces, short_batches, words_of
 
 SIZES = (3, 4, 5, 6)
 SLOT_BITS = 20
@@ -143,6 +143,7 @@ def fit(
     by ``max_features`` and ``per_class``. Without rows of both classes every text gets their share of label 1, or
     0.5 without any row.
     """
+    short_batches(docs)
     clean, toxic = labelled.class_sizes(rows)
     nothing = np.zeros(1 << SLOT_BITS)
     if not clean or not toxic:

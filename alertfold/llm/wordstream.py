@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 PIECE_BYTES, PIECE_ROWS = 1 << 20, 2048
+ROWS_PER_BATCH = 1000
 
 
 def mixed(values: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -144,18 +145,29 @@ def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
     A piece has at most PIECE_ROWS rows; a longer text is a piece of its own.
     """
     for batch in batches:
-        texts = pc.struct_field(batch.column("row"), "text").cast(pa.large_binary())
+        texts = pc.struct_field(batch.column("row"), "text")
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(sizes, dtype=np.int64) // PIECE_BYTES
         changes = (np.diff(part) > 0) | (np.arange(1, batch.num_rows) % PIECE_ROWS == 0)
         cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
         for low, high in zip(cuts, cuts[1:]):
             if high > low:
-                yield batch.slice(low, high - low), texts.slice(low, high - low)
+                yield batch.slice(low, high - low), texts.slice(low, high - low).cast(pa.large_binary())
+
+
+def short_batches(docs: DataFrame) -> None:
+    """Let Arrow batches of the session hold ROWS_PER_BATCH rows where nobody has set another number.
+
+    Rows here carry whole texts; batches of the default 10,000 rows cost memory on both sides of the pipe.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(ROWS_PER_BATCH))
 
 
 def as_rows(docs: DataFrame) -> DataFrame:
     """All columns as one struct ``row``, so that added columns never clash with those of the table."""
+    short_batches(docs)
     return docs.select(F.struct(*docs.columns).alias("row"))
 
 
