@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from alertfold.llm.components import components
 from alertfold.llm.signature_tree import THRESHOLD, SignatureTree, bitmap_of
 from alertfold.llm.small_side import joined
-from alertfold.llm.wordstream import BLANK_SEPARATED, mixed, pieces, sequence_hashes, short_batches, words_of
+from alertfold.llm.wordstream import BLANK_SEPARATED, mixed, pieces, release, sequence_hashes, short_batches, words_of
 from alertfold.plans.storage import checkpointed
 
 SHINGLE = 5
@@ -140,6 +140,8 @@ def _profiles(docs: DataFrame) -> DataFrame:
         sums, shared = np.unique(owner[pair][np.repeat(holders, holders) > 1], return_counts=True)
         none = pa.nulls(len(sums), pa.int64())
         columns = [none, none, pa.array(sums), none, none, pa.array(shared, pa.int64())]
+        del token, owner, order, fresh, pair, tokens, owners
+        release()
         yield pa.RecordBatch.from_arrays(columns, names)
 
     sent = named.mapInArrow(send, _SCHEMA).repartition(tasks, "bucket")
@@ -213,6 +215,8 @@ def _grouped(rows: DataFrame, tree: Callable[[pa.RecordBatch], SignatureTree]) -
                     held.append(batch.slice(low, high - low))
         if held:
             yield linked(held, seen)
+        held.clear()
+        release()
 
     return rows.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
 

@@ -6,6 +6,8 @@ fixed number of array passes, whatever the number of texts. A text never shares
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -153,6 +155,14 @@ def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         for low, high in zip(cuts, cuts[1:]):
             if high > low:
                 yield batch.slice(low, high - low), texts.slice(low, high - low).cast(pa.large_binary())
+    release()
+
+
+def release() -> None:
+    """Hand memory that Arrow and the C library hold in reserve back: workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def short_batches(docs: DataFrame) -> None:
