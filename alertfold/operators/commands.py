@@ -38,7 +38,7 @@ EITHER_VERBS = ["action.enable", "action.disable"]
 # Verbs that switch sending.
 SENDING_VERBS = ["action.stopall", "action.startall", "action.stopchat", "action.startchat"]
 
-MAX_NOTIFY_CHATS = 10_000
+NOTIFY_SLOTS = 64
 
 
 def _known(verb: Column, count: Column) -> Column:
@@ -117,13 +117,14 @@ def audit_log(commands: DataFrame, actions: DataFrame, chats: DataFrame) -> Data
 def fan_out(audit: DataFrame, notify_chats: DataFrame) -> DataFrame:
     """Every audit text once for each chat to notify: notify_chat_id, seq, audit_text.
 
-    The chats to notify are a setting. Their number is checked, and their ids travel as one literal array.
+    Chats are dealt to slots, and each text goes once to every slot that has chats; any number of chats will do.
     """
-    rows = notify_chats.select("chat_id").distinct().orderBy("chat_id").take(MAX_NOTIFY_CHATS + 1)
-    if len(rows) > MAX_NOTIFY_CHATS:
-        raise ValueError(f"more than {MAX_NOTIFY_CHATS} chats to notify")
-    chats = F.array(*[F.lit(r.chat_id).cast("long") for r in rows]) if rows else F.array().cast("array<bigint>")
-    return audit.select(F.explode(chats).alias("notify_chat_id"), "seq", "audit_text")
+    chat = F.col("chat_id").cast("long")
+    chats = notify_chats.select(chat.alias("notify_chat_id")).distinct()
+    placed = chats.withColumn("_slot", F.pmod(F.xxhash64("notify_chat_id"), F.lit(NOTIFY_SLOTS)).cast("int"))
+    slots = F.sequence(F.lit(0), F.lit(NOTIFY_SLOTS - 1))
+    texts = audit.select("seq", "audit_text", F.explode(slots).alias("_slot"))
+    return texts.join(placed, "_slot").select("notify_chat_id", "seq", "audit_text")
 
 
 def user_list(admins: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:

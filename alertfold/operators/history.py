@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertfold.functions.distance import epoch_micros
@@ -26,18 +26,36 @@ def recent_history(
 
     Gives the message's columns plus hist_rank (1 = newest), hist_seq, age_minutes and ``hist_<payload>``.
     """
+    return _history(messages, check_count, max_age_minutes, payload, hot_rows, lambda entry: F.lit(True))
+
+
+def _history(
+    messages: DataFrame,
+    check_count: int,
+    max_age_minutes: int,
+    payload: Sequence[str],
+    hot_rows: int | None,
+    wanted: Callable[[Column], Column],
+) -> DataFrame:
+    """Rows of :func:`recent_history` whose entry is ``wanted``. What isn't never leaves the array."""
     names = messages.columns
-    entry = ["ts", "seq", *payload]
-    seen = previous_rows(messages, ["chat_id"], ["ts", "seq"], entry, check_count, "_before", hot_rows)
-    rows = seen.select(*names, F.posexplode_outer(F.reverse("_before")).alias("_i", "_h"))
-    passed = epoch_micros(messages) - epoch_micros(messages, value=F.col("_h.ts"))
-    age = F.floor(passed / _MINUTE).cast("long")
-    return rows.filter(F.col("_h").isNotNull() & (age <= max_age_minutes)).select(
+    seen = previous_rows(messages, ["chat_id"], ["ts", "seq"], ["ts", "seq", *payload], check_count, "_before", hot_rows)
+
+    def age(entry: Column) -> Column:
+        passed = epoch_micros(messages) - epoch_micros(messages, value=entry["ts"])
+        return F.floor(passed / _MINUTE).cast("long")
+
+    ranked = F.transform(
+        F.reverse("_before"),
+        lambda e, i: F.struct((i + 1).cast("long").alias("rank"), age(e).alias("age"), e.alias("entry")),
+    )
+    young = F.filter(ranked, lambda r: (r["age"] <= max_age_minutes) & wanted(r["entry"]))
+    return seen.select(*names, F.explode(young).alias("_h")).select(
         *names,
-        (F.col("_i") + 1).cast("long").alias("hist_rank"),
-        F.col("_h.seq").alias("hist_seq"),
-        age.alias("age_minutes"),
-        *[F.col(f"_h.{c}").alias(f"hist_{c}") for c in payload],
+        F.col("_h.rank").alias("hist_rank"),
+        F.col("_h.entry.seq").alias("hist_seq"),
+        F.col("_h.age").alias("age_minutes"),
+        *[F.col(f"_h.entry.{c}").alias(f"hist_{c}") for c in payload],
     )
 
 
@@ -61,11 +79,13 @@ def match_templates(
             "end": F.substring_index(pattern, "?", -1),
         }
     )
+
+    def matches(entry: Column) -> Column:
+        likely = F.startswith(text, entry["start"]) & F.endswith(text, entry["end"])
+        return F.when(entry["pattern"].isNotNull() & likely, pieces_match(entry["pieces"], text))
+
     payload = ["pattern", "cnt", "pieces", "start", "end"]
-    recent = recent_history(prepared, check_count, max_age_minutes, payload, hot_rows)
-    likely = F.startswith(text, F.col("hist_start")) & F.endswith(text, F.col("hist_end"))
-    hit = F.when(F.col("hist_pattern").isNotNull() & likely, pieces_match(F.col("hist_pieces"), text))
-    return recent.filter(hit).select(
+    return _history(prepared, check_count, max_age_minutes, payload, hot_rows, matches).select(
         "chat_id", "seq", "text", "hist_rank", "hist_seq", "hist_pattern", "hist_cnt"
     )
 

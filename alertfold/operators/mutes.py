@@ -32,7 +32,8 @@ def drop_muted(
     """Drop muted messages with broadcast hash joins, so that messages do not move; works on streams too.
 
     Ended silences are cut by the hour and met on it; of those that last there is one per scope. Their
-    number is taken from the log first: None where it is above ``max_hours``.
+    number is taken from the log first: above ``max_hours`` a stream meets them in shuffled joins, and a table
+    gets None, as there is a better way for it.
     """
     spans = mute_intervals(mute_log, hot_rows)
     # the end itself is no longer silent, so a silence may reach one hour too far, never too short
@@ -42,8 +43,13 @@ def drop_muted(
         F.sum(F.when(lasting, 1).otherwise((F.col("_last") - F.col("_first")) / _HOUR + 1)).alias("rows"),
         F.min(F.when(lasting & everyone, F.col("since"))).cast("string").alias("stopped"),
     ).first()
-    if (known.rows or 0) > max_hours:
+    few = (known.rows or 0) <= max_hours
+    if not few and not messages.isStreaming:
         return None
+
+    def side(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if few else rows.hint("merge")
+
     chat = F.col("scope").try_cast("bigint").alias("_mute_chat")
     hours = spans.filter(~lasting).withColumn("_mute_hour", F.explode(F.sequence("_first", "_last", F.lit(_HOUR))))
     of_chats = hours.filter(~everyone).select(chat, "_mute_hour", "since", "till")
@@ -57,9 +63,9 @@ def drop_muted(
     if known.stopped is not None:
         timed = timed.filter(F.col("ts") < F.lit(known.stopped).cast(messages.schema["ts"].dataType))
     return (
-        timed.join(F.broadcast(of_chats), same_chat & within, "left_anti")
-        .join(F.broadcast(of_all), within, "left_anti")
-        .join(F.broadcast(stopped_chats), same_chat & begun, "left_anti")
+        timed.join(side(of_chats), same_chat & within, "left_anti")
+        .join(side(of_all), within, "left_anti")
+        .join(side(stopped_chats), same_chat & begun, "left_anti")
         .drop("_hour")
     )
 

@@ -1,5 +1,7 @@
 """The outbox: what is to be sent or deleted. Every run of a stream owns one directory of it and replaces
-that directory when the run is repeated, so a failure between writing and committing leaves no doubles."""
+that directory when the run is repeated, so a failure between writing and committing leaves no doubles.
+Directories are named by the stream, whose id its checkpoint keeps, and by the run, so that several streams and
+streams that begin anew share an outbox."""
 
 from __future__ import annotations
 
@@ -8,10 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
+_STREAM = "sql.streaming.queryId"
+
 
 def write_run(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Write the rows of one run."""
-    rows.write.mode("overwrite").parquet(f"{path}/run={batch_id}")
+    """Write the rows of one run of the stream that is running, or of none."""
+    stream = rows.sparkSession.sparkContext.getLocalProperty(_STREAM)
+    rows.write.mode("overwrite").parquet(f"{path}/run={stream or 'table'}-{batch_id}")
 
 
 def start_runs(

@@ -132,15 +132,17 @@ def test_start_command(spark):
     assert [r.text for r in found] == ["/start", "/start@fold"]
 
 
-def test_fan_out_is_bounded(spark, monkeypatch):
-    audit = spark.createDataFrame([(1, "t")], "seq long, audit_text string")
-    chats = spark.createDataFrame([(-100500900800700,), (2,)], "chat_id long")
+def test_fan_out_takes_any_number_of_chats(spark):
+    audit = spark.createDataFrame([(1, "t"), (2, "u")], "seq long, audit_text string")
+    chats = spark.createDataFrame([(-100500900800700,), (2,), (2,)], "chat_id long")
     rows = commands.fan_out(audit, chats).collect()
-    assert {r.notify_chat_id for r in rows} == {-100500900800700, 2}
+    assert {(r.notify_chat_id, r.seq, r.audit_text) for r in rows} == {
+        (c, *t) for c in (-100500900800700, 2) for t in ((1, "t"), (2, "u"))
+    }
+    assert len(rows) == 4
     assert commands.fan_out(audit, chats.limit(0)).count() == 0
-    monkeypatch.setattr(commands, "MAX_NOTIFY_CHATS", 1)
-    with pytest.raises(ValueError):
-        commands.fan_out(audit, chats)
+    many = spark.range(20_000).withColumnRenamed("id", "chat_id")
+    assert commands.fan_out(audit, many).count() == 40_000
 
 
 def test_one_reply_answers_all_waiting_prompts(spark):

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from alertfold.operators.mutes import apply_mutes, mute_intervals
+from alertfold.operators.mutes import apply_mutes, drop_muted, mute_intervals
 from alertfold.sources.outbox import write_outbox
 from alertfold.streaming.online import compact_stream
 from alertfold.streaming.run import use_rocksdb
@@ -60,3 +60,14 @@ def test_streams_drop_what_was_muted(spark, tables, tmp_path):
     write_outbox(rows, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     sent = spark.read.parquet(str(tmp_path / "out")).filter("action = 'SEND'")
     assert {r.seq for r in sent.collect()} == heard(messages.collect(), log.collect())
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_streams_take_logs_of_any_length(spark, tables, tmp_path, limit):
+    messages, log = tables
+    messages.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(messages.schema).parquet(str(tmp_path / "in"))
+    rows = drop_muted(stream, log, max_hours=limit)
+    write_outbox(rows, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    left = spark.read.parquet(str(tmp_path / "out"))
+    assert {r.seq for r in left.collect()} == heard(messages.collect(), log.collect())

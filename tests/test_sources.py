@@ -83,3 +83,13 @@ def test_a_repeated_run_replaces_its_rows(spark, tmp_path):
     for batch_id, ids in ((0, ["a"]), (1, ["b", "c"]), (1, ["b", "c"])):
         write_run(rows(*ids), str(tmp_path / "out"), batch_id)
     assert sorted(r.msg_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_a_new_checkpoint_leaves_earlier_runs(spark, tmp_path):
+    use_rocksdb(spark)
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([("a",), ("b",)], "msg_id string").write.parquet(source)
+    for checkpoint in ("one", "two"):
+        stream = spark.readStream.schema("msg_id string").parquet(source)
+        write_outbox(stream, path, str(tmp_path / checkpoint)).awaitTermination()
+    assert sorted(r.msg_id for r in spark.read.parquet(path).collect()) == ["a", "a", "b", "b"]
