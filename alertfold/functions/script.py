@@ -102,8 +102,15 @@ def fold_texts(texts: Iterable[str]) -> str:
     """Fold texts in order into one template."""
     texts = iter(texts)
     template = next(texts)
+    fitting: set[str] = set()  # texts that left this template as it is
     for text in texts:
-        template = fold_pair(template, text)
+        if text in fitting:
+            continue
+        folded = fold_pair(template, text)
+        if folded == template:
+            fitting.add(text)
+        else:
+            template, fitting = folded, set()
     return template
 
 

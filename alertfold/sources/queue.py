@@ -18,9 +18,14 @@ def with_message_id(messages: DataFrame) -> DataFrame:
 
 
 def enqueue(messages: DataFrame, path: str) -> None:
-    """Append messages(chat_id, ts, seq, text) to the queue table."""
+    """Append messages(chat_id, ts, seq, text) to the queue table.
+
+    Rows are put together by ranges of chat and id, so there are about as many files as chats and tasks, and a
+    hot chat is spread over several.
+    """
     out = with_message_id(messages).select("chat_id", "msg_id", "ts", "seq", "text")
-    out.write.mode("append").partitionBy("chat_id").parquet(path)
+    ranges = out.repartitionByRange("chat_id", "msg_id")
+    ranges.write.mode("append").partitionBy("chat_id").parquet(path)
 
 
 _SCHEMA = "msg_id string, ts timestamp_ntz, seq bigint, text string, chat_id bigint"

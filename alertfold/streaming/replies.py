@@ -12,41 +12,47 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 class WaitingPrompts(StatefulProcessor):
     """State per key: the prompts without a reply so far, as (seq, text)."""
 
-    def __init__(self, keys: Sequence[str]) -> None:
+    def __init__(self, keys: Sequence[str], wait_seconds: int | None = None) -> None:
         self.row = Row(*keys, "seq", "text", "reply_seq", "reply_text")
+        self.wait_ms = None if wait_seconds is None else 1000 * wait_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getListState("waiting", "seq bigint, text string")
+        self.waiting = handle.getListState("waiting", "seq bigint, text string", self.wait_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        open_prompts = [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
+        before = [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
+        new: list[tuple] = []
+        answered = False
         for row in sorted(rows, key=lambda r: (r.seq, r.is_prompt)):
             if row.is_prompt:
-                open_prompts.append((row.seq, row.text))
+                new.append((row.seq, row.text))
                 continue
-            for seq, text in open_prompts:
+            for seq, text in before + new:
                 yield self.row(*key, seq, text, row.seq, row.text)
-            open_prompts = []
-        if open_prompts:
-            self.waiting.put(open_prompts)
-        else:
+            before, new, answered = [], [], True
+        if answered:
             self.waiting.clear()
+        if new:  # earlier ones stay as they are, with their own time to live
+            self.waiting.appendList(new)
 
     def close(self) -> None:
         pass
 
 
-def pair_replies_stream(messages: DataFrame, keys: Sequence[str] = ("chat_id", "username")) -> DataFrame:
+def pair_replies_stream(
+    messages: DataFrame, keys: Sequence[str] = ("chat_id", "username"), wait_seconds: int | None = None
+) -> DataFrame:
     """Answered prompts of a stream of messages(<keys>, seq, is_prompt, text): reply_seq, reply_text.
 
-    There is no expiry: a prompt waits until it is answered.
+    A prompt waits until it is answered, or with ``wait_seconds`` for that time on the clock; then it is
+    forgotten, which bounds the state. See ``idle_runs`` of ``start_runs`` for queries that are to end.
     """
     types = {f.name: f.dataType.simpleString() for f in messages.schema.fields}
     out = ", ".join([f"{k} {types[k]}" for k in keys])
     rows = messages.select(*keys, F.col("seq").cast("long").alias("seq"), "is_prompt", "text")
     return rows.groupBy(*keys).transformWithState(
-        WaitingPrompts(keys),
+        WaitingPrompts(keys, wait_seconds),
         f"{out}, seq bigint, text string, reply_seq bigint, reply_text string",
         "Append",
-        "None",
+        "None" if wait_seconds is None else "ProcessingTime",
     )

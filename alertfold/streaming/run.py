@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from alertfold.plans.storage import scratch_path
-from alertfold.sources.outbox import write_outbox
+from alertfold.sources.outbox import write_outbox, write_run
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -18,10 +18,11 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def run_to_outbox(stream: DataFrame, key: str | None = None) -> DataFrame:
-    """Run a stream over everything available into a new outbox, and read it."""
+    """Run a stream over everything available into a new outbox, and read it; no rows where nothing came."""
     spark = stream.sparkSession
     use_rocksdb(spark)
     path, checkpoint = scratch_path(spark, "outbox"), scratch_path(spark, "checkpoint")
     query = write_outbox(stream, path, checkpoint, key)
     query.awaitTermination()
+    write_run(spark.createDataFrame([], stream.schema), path, 0)
     return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)

@@ -35,5 +35,6 @@ def send_batches(
 
 
 def with_arrival_order(messages: DataFrame) -> DataFrame:
-    """Add ``seq`` to spool messages, which have a file time and a name but no number: names decide ties."""
+    """Add ``seq`` to spool messages, which have a file time and a name but no number: a hash of
+    the name decides ties, the same way in every run."""
     return messages.withColumn("seq", F.xxhash64("msg_id"))

@@ -1,10 +1,14 @@
 import json
+import time
+from pathlib import Path
+
+from pyspark.sql import functions as F
 
 from alertfold.sources.api_dump import parse_api_dump
 from alertfold.sources.outbox import write_outbox, write_run
 from alertfold.sources.queue import enqueue, read_queue, stream_queue, with_message_id
 from alertfold.sources.spool import read_spool, stream_spool, write_spool
-from alertfold.streaming.run import use_rocksdb
+from alertfold.streaming.run import run_to_outbox, use_rocksdb
 
 
 def test_spool(spark, tmp_path):
@@ -93,3 +97,41 @@ def test_a_new_checkpoint_leaves_earlier_runs(spark, tmp_path):
         stream = spark.readStream.schema("msg_id string").parquet(source)
         write_outbox(stream, path, str(tmp_path / checkpoint)).awaitTermination()
     assert sorted(r.msg_id for r in spark.read.parquet(path).collect()) == ["a", "a", "b", "b"]
+
+
+def test_keys_are_kept_for_their_time_only(spark, tmp_path):
+    use_rocksdb(spark)
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+
+    def run(ids, keep_seconds):
+        rows = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "msg_id string, n long")
+        rows.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("msg_id string, n long").parquet(source)
+        write_outbox(stream, path, checkpoint, "msg_id", keep_seconds=keep_seconds).awaitTermination()
+        return sorted(r.msg_id for r in spark.read.parquet(path).collect())
+
+    assert run(["a", "b", "a"], 3600) == ["a", "b"]
+    assert run(["b", "c"], 3600) == ["a", "b", "c"]
+    checkpoint, path, source = (str(tmp_path / n) for n in ("checkpoint2", "out2", "in2"))
+    assert run(["a"], 1) == ["a"]
+    time.sleep(1.5)
+    assert run(["a"], 1) == ["a", "a"]
+
+
+def test_enqueue_writes_about_a_file_per_chat(spark, tmp_path):
+    rows = spark.range(0, 2000, numPartitions=16).select(
+        F.pmod("id", F.lit(10)).alias("chat_id"),
+        F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("ts"),
+        F.col("id").alias("seq"),
+        F.lit("x").alias("text"),
+    )
+    enqueue(rows, str(tmp_path / "q"))
+    assert read_queue(spark, str(tmp_path / "q")).count() == 2000
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(list(Path(tmp_path / "q").rglob("*.parquet"))) <= 10 + tasks
+
+
+def test_an_empty_stream_gives_no_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("msg_id string").parquet(str(tmp_path / "in"))
+    assert run_to_outbox(stream).count() == 0

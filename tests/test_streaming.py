@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,3 +166,20 @@ def test_late_messages_are_sent_and_hide_no_history(spark, messages_of, tmp_path
     sent = spark.read.parquet(f"{tmp_path}/out").filter("action = 'SEND'").orderBy("seq").collect()
     assert [r.seq for r in sent] == [0, 1, 10, 11, 20]
     assert sent[-1].cnt == 3 and {r.text for r in sent} >= {"very late", "rather late"}
+
+
+def test_prompts_wait_for_their_time_only(spark, tmp_path):
+    use_rocksdb(spark)
+    schema = "chat_id long, username string, seq long, is_prompt boolean, text string"
+    source, outbox, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+
+    def run(*rows):
+        spark.createDataFrame([(1, "u", *row) for row in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = pair_replies_stream(spark.readStream.schema(schema).parquet(source), wait_seconds=5)
+        write_outbox(stream, outbox, checkpoint, idle_runs=False).awaitTermination()
+        return sorted((r.seq, r.reply_seq) for r in spark.read.parquet(outbox).collect())
+
+    assert run((1, True, "a?"), (2, False, "yes")) == [(1, 2)]
+    run((3, True, "b?"))
+    time.sleep(5.5)
+    assert run((4, True, "c?"), (5, False, "yes")) == [(1, 2), (4, 5)]
