@@ -6,6 +6,8 @@ import re
 
 from alertfold.llm.license_scan import BASE_PHRASES, TEMPLATES
 from alertfold.llm.mixing import MAX_EPOCHS, SEED, WEIGHTS
+from alertfold.llm.periodic_runs import MIN_WORDS
+from alertfold.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -163,6 +165,98 @@ FROM docs LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reached GROUP BY x) USING (doc_id)
 """
 
+_ROUND = """
+assigned{r} AS (
+  SELECT rid, parts.part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT rid, p.part, entry, p.v AS v,
+           list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts p JOIN book{r} b ON p.part = b.part) parts
+  GROUP BY rid, parts.part),"""
+
+_MOVE = """
+means{r} AS (
+  SELECT part, entry, list(x ORDER BY k) AS v FROM (
+    SELECT part, entry, k, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM (
+      SELECT a.part, entry, unnest(p.v) AS x, unnest(range(len(p.v))) AS k
+      FROM assigned{r} a JOIN parts p ON a.rid = p.rid AND a.part = p.part)
+    GROUP BY part, entry, k)
+  GROUP BY part, entry),
+book{n} AS (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v
+  FROM book{r} b LEFT JOIN means{r} m ON b.part = m.part AND b.entry = m.entry),"""
+
+_CODES = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label,
+         list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS (
+  SELECT rid, part, v[part * (len(v) // {PARTS}) + 1 : (part + 1) * (len(v) // {PARTS})] AS v
+  FROM (SELECT rid, v, unnest(range({PARTS})) AS part FROM kept)),
+book0 AS (SELECT part, rid - 1 AS entry, v FROM parts WHERE rid <= {ENTRIES}),
+{"".join(_ROUND.format(r=r) + _MOVE.format(r=r, n=r + 1) for r in range(ROUNDS))}
+{_ROUND.format(r=ROUNDS)}
+digest AS (
+  SELECT sha256(string_agg(line, ',' ORDER BY part, entry)) AS codebooks_sha256
+  FROM (SELECT part, entry, array_to_string(v, ',') AS line FROM book{ROUNDS})),
+coded AS (
+  SELECT rid, string_agg(substr('0123456789abcdef', (entry // 16 + 1)::INTEGER, 1)
+                         || substr('0123456789abcdef', (entry % 16 + 1)::INTEGER, 1), '' ORDER BY part) AS code,
+         sum(d)::BIGINT AS error
+  FROM assigned{ROUNDS} GROUP BY rid),
+errors AS (
+  SELECT label, sum(error)::BIGINT AS label_error FROM coded JOIN kept USING (rid) GROUP BY label)
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM coded JOIN kept USING (rid) JOIN errors ON errors.label IS NOT DISTINCT FROM kept.label, digest
+"""
+
+# crc32 bit by bit, over the decimal digits of doc_id
+_BYTE = "(CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(id, (i // 8 + 1)::INTEGER, 1))::BIGINT) ELSE c END)"
+_CRC32 = f"""xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], range(8 * length(id))),
+    lambda c, i: xor({_BYTE} >> 1, CASE WHEN {_BYTE} % 2 = 1 THEN 3988292384 ELSE 0 END)))"""
+
+_RUNS = f"""
+WITH hashed AS (
+  SELECT doc_id, {_BLANK_WORDS} AS w, {_CRC32} AS h
+  FROM (SELECT doc_id, text, doc_id::VARCHAR AS id FROM documents)),
+drawn AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, h // 10 AS g,
+         (h // 10) % greatest(len(w), 1) AS a
+  FROM hashed),
+cut AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM drawn),
+worded AS (
+  SELECT doc_id, n, unnest(range(n)) AS i,
+         unnest(CASE WHEN planted
+                     THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1])
+                     ELSE w END) AS word
+  FROM cut),
+same AS (
+  SELECT x.doc_id, y.i - x.i AS p, x.i AS i
+  FROM worded x JOIN worded y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i
+  WHERE 2 * (y.i - x.i) <= x.n),
+enough AS (SELECT doc_id, p FROM same GROUP BY doc_id, p HAVING count(*) >= greatest(p, {MIN_WORDS} - p)),
+islands AS (
+  SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS g
+  FROM same SEMI JOIN enough USING (doc_id, p)),
+periods AS (
+  SELECT doc_id, p, min(i) AS s, count(*) + p AS l FROM islands GROUP BY doc_id, p, g
+  HAVING count(*) >= greatest(p, {MIN_WORDS} - p)),
+runs AS (SELECT doc_id, s, l, min(p) AS q FROM periods GROUP BY doc_id, s, l),
+digest AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(s, ',', l, ',', q, chr(10)), '' ORDER BY s, q) AS lines
+  FROM runs GROUP BY doc_id),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l DESC, s, q) AS place FROM runs) WHERE place = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS line FROM worded ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT cut.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, q::BIGINT AS period,
+       (1000 * l // q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(line, '')) AS collapsed_sha256
+FROM cut LEFT JOIN digest USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": _license_scan(),
     "op2_substring_dedup": _SUBSTRING,
@@ -170,4 +264,6 @@ ORACLES: dict[str, str] = {
     "op4_warc": _WARC,
     "op5_decontaminate": _DECONTAMINATE,
     "op9_jaccard_join": _JACCARD,
+    "op11_vector_codes": _CODES,
+    "op13_periodic_runs": _RUNS,
 }

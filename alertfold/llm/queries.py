@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertfold.llm import decontaminate, jaccard, labelled, license_scan, mixing, neighbours, quality, sharding, substring_dedup, toxicity, warc
-from alertfold.plans.storage import scratch_path
+from alertfold.llm import decontaminate, jaccard, labelled, license_scan, mixing, neighbours, packing, periodic_runs
+from alertfold.llm import quality, sharding, substring_dedup, toxicity, vector_codes, warc
+from alertfold.llm.small_side import joined
+from alertfold.plans.storage import checkpointed, scratch_path
 
 SHARDS = 24
+TOKENIZER = "byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,3 +133,60 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    coded, books = vector_codes.compress(vectors)
+    narrow = checkpointed(
+        coded.select("row.vec_id", "row.label", F.lower(F.hex("code")).alias("code"), "error")
+    )
+    per_label = narrow.groupBy("label").agg(F.sum("error").alias("label_error"))
+    return joined(narrow, per_label, ["label"], "inner").select(
+        "vec_id", "code", "error", "label_error", F.sha2(F.lit(books.text()), 256).alias("codebooks_sha256")
+    )
+
+
+@query
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER)).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def _planted(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, chosen by the hash of doc_id, repeat a stretch of their words up to their end."""
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    n, g = F.size(words), F.floor(hashed / 10)
+    at = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
+    period = (1 + F.floor((n - at) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    times = F.ceil((n - at) / period).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, at + 1, period), times)), F.lit(1), n - at)
+    repeated = F.array_join(F.concat(F.slice(words, F.lit(1), at), tail), " ")
+    chosen = (hashed % 10 == 0) & F.col("text").isNotNull() & (n > 0)
+    return docs.select("doc_id", F.when(chosen, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _planted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("early"), (-r["period"]).alias("short"), r["start"], r["period"]))
+    )
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    found = periodic_runs.find_runs(docs).select("row.doc_id", "runs", "collapsed", best.alias("best"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -1,8 +1,11 @@
 """Registered queries against their SQL, and the pipeline against its operators, on the smallest data."""
 
 import os
+import zlib
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -23,11 +26,37 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
     assert rows_of(frame.columns, frame.collect()) == rows_of(columns, result.fetchall())
 
 
-def test_all_ten_and_the_pipeline_are_registered():
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+def test_all_operators_and_the_pipeline_are_registered():
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(contract.queries())
 
 
+def test_packed_pieces_are_slices_of_their_documents(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {
+        r.doc_id: np.array(tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4")
+        for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    }
+    covered, used = {doc: 0 for doc in want}, {}
+    for r in contract.queries()["op12_pack"](spark, SF_DIR).orderBy("doc_id", "start").collect():
+        ids = want[r.doc_id]
+        assert r.start == covered[r.doc_id] and r.doc_tokens == len(ids)
+        assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        covered[r.doc_id] += r.length
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert covered == {doc: len(ids) for doc, ids in want.items()}
+    sizes = []
+    for parts in used.values():
+        offset = 0
+        for at, length in sorted(parts):
+            assert at == offset
+            offset += length
+        sizes.append(offset)
+    assert max(sizes) <= 1024
+    assert sum(1024 - n for n in sizes if n & (n - 1)) < 0.01 * sum(sizes)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     seen = {}
