@@ -192,18 +192,26 @@ def test_classes_hold_a_fixed_number_of_pieces():
         assert all(1024 - (1024 // n) * n <= 16 for n in cut)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_texts_cut_between_words_keep_their_tokens(seed):
-    import pyarrow as pa
-
+@pytest.mark.parametrize("seed", range(4))
+def test_segments_and_both_encoders_keep_the_ids(seed, monkeypatch):
+    monkeypatch.setattr(packing, "SEGMENT", 10)
     draw = random.Random(seed)
-    marks = list(" \t\nab12!'é字한") + ["  ", " ", " ", "　", "\u0085", " ", "​", "﻿", "'s", "\x00", "\x1c"]
-    marks += ["<|endoftext|>", "Ѐ", "ʰ", "😀", " "] + [" "] * 6
-    texts = ["".join(draw.choice(marks) for _ in range(draw.randrange(0, 30))) for _ in range(2000)]
-    tokenizer = Tokenizer.from_file(VOCABULARY)
-    ids, first = packing.token_ids(pa.array(texts).cast(pa.large_binary()), packing.Chunks(tokenizer))
-    for k, found in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
-        assert ids[first[k] : first[k + 1]].tolist() == [*found.ids, 0]
+    marks = list(" \t\nab12!'éß") + ["  ", "'s", "'LL", "\x00", "\x1c", "\x7f", "\x0b", "À", "÷", "ÿ", "a" * 300, " " * 300, " ", " ", " "]
+    if seed % 2:
+        marks += ["字", "한", "\u00a0", "\u2003", "\u3000", "\u0085", "\u2028", "\u200b", "\ufeff", "<|endoftext|>", "Ѐ", "ʰ", "😀", "²"]
+    texts = ["".join(draw.choice(marks) for _ in range(draw.randrange(0, 30))) for _ in range(1500)]
+    with open(VOCABULARY, encoding="utf-8") as file:
+        tokens = packing.Tokens(file.read())
+    assert sum(map(tokens._fast, texts)) > 20
+    for text, found in zip(texts, tokens.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert tokens.ids(text).tolist() == [*found.ids, 0]
+
+
+def test_another_tokenizer_has_no_second_encoder():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokens = packing.Tokens(file.read())
+    assert tokens.ranked is None
+    assert tokens.ids("Two words").tolist() == [*tokens.tokenizer.encode("Two words", add_special_tokens=False).ids, 0]
 
 
 # periodic runs
