@@ -111,7 +111,8 @@ def repetitions(sized: DataFrame, targets: DataFrame) -> DataFrame:
     fits = by_key.withColumn("middle", middle).filter(F.col("middle") <= F.col("quota"))
     found = fits.groupBy("source").agg(F.max("key").alias("found"))
     worded = joined(state, found, ["source"], "left").select(
-        "source", "whole", F.coalesce("found", "prefix").alias("last_key")
+        # nothing is left for one more time where whole repetitions give the target, not even a text without words
+        "source", "whole", F.when(F.col("quota") > 0, F.coalesce("found", "prefix")).otherwise("").alias("last_key")
     )
     return worded.unionAll(wordless)
 
@@ -134,13 +135,13 @@ def copies() -> Column:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """The mixed corpus: every document as many times as the mix takes it. All columns of ``docs`` stay.
+    """The mixed corpus: every document as many times as the mix takes it. All columns of ``docs`` stay,
+    whatever their names.
 
     Texts don't move: the plan per source is joined to them, by broadcast up to a counted number of sources.
     """
     _, plan = mixture(docs, weights, max_epochs, seed)
-    side = plan.select(F.col("source").alias("_s"), F.col("whole").alias("_w"), F.col("last_key").alias("_l"))
-    keyed = docs.withColumn("_s", F.col("source")).withColumn("_k", order_key(seed))
-    times = (F.col("_w") + F.when(F.col("_k") <= F.col("_l"), 1).otherwise(0)).cast("int")
-    counted = joined(keyed, side, ["_s"], "inner").withColumn("_times", times).filter("_times > 0")
-    return counted.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    # the row goes as one struct, so that no column of the table can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "source", order_key(seed).alias("key"))
+    counted = joined(keyed, plan, ["source"], "inner").withColumn("times", copies()).filter("times > 0")
+    return counted.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -48,35 +48,40 @@ def with_slots(rows: DataFrame, shard: str, order: list[str], total: int) -> Dat
     """Add ``slot``: 0, 1, ... within each shard, by ``order``, whose first column is a hex digest.
 
     Rows equal in all of ``order`` take their places in any order. ``total`` is about the number of rows; it
-    sets how many digest digits divide a shard into cells that are numbered on their own.
+    sets how many digest digits divide a shard into cells that are numbered on their own. ``rows`` must not have
+    columns ``cell``, ``place`` and ``before``.
     """
     digits = max(1, math.ceil(math.log(max(1, total / ROWS_PER_CELL), 16)) + 1)
-    celled = rows.withColumn("_cell", F.substring(order[0], 1, digits))
-    before = Window.partitionBy(shard).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = celled.groupBy(shard, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(shard, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy(shard, "_cell").orderBy(*order)) - 1
+    celled = rows.withColumn("cell", F.substring(order[0], 1, digits))
+    before = Window.partitionBy(shard).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = celled.groupBy(shard, "cell").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select(shard, "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy(shard, "cell").orderBy(*order)) - 1
     return (
-        celled.withColumn("_place", place)
-        .join(offsets, [shard, "_cell"])
-        .withColumn("slot", (F.col("_place") + F.col("_before")).cast("long"))
-        .drop("_cell", "_place", "_before")
+        celled.withColumn("place", place)
+        .join(offsets, [shard, "cell"])
+        .withColumn("slot", (F.col("place") + F.col("before")).cast("long"))
+        .drop("cell", "place", "before")
     )
 
 
 def into_shards(docs: DataFrame, shards: int) -> DataFrame:
-    """All columns of ``docs``, with ``shard``, ``slot`` and ``grown_shard`` (with one shard more).
+    """All columns of ``docs`` in their order, then ``shard``, ``slot`` and ``grown_shard`` (with one shard more),
+    which replace columns of the same names.
 
-    Rows of one doc_id, null included, share a shard. Null texts count no bytes. An empty table gives none.
+    Rows of one doc_id, null included, share a shard; their places in it follow a digest of doc_id and text, so
+    that no single doc_id fills a cell. Null texts count no bytes. An empty table gives none.
     """
-    digest = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 17, 16)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    text = F.xxhash64("text")
     own = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard")]
     placed = docs.select(
-        *own,
+        F.struct(*own).alias("row"),
         shard_of(F.col("doc_id"), shards).alias("shard"),
         shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"),
-        digest.alias("_digest"),
-        F.xxhash64("text").alias("_text"),
+        F.md5(F.concat_ws(":", key, text.cast("string"))).alias("digest"),
+        F.col("doc_id").cast("string").alias("key"),
+        text.alias("text"),
     )
-    slotted = with_slots(placed, "shard", ["_digest", "doc_id", "_text"], docs.count())
-    return slotted.drop("_digest", "_text")
+    slotted = with_slots(placed, "shard", ["digest", "key", "text"], docs.count())
+    return slotted.select("row.*", "shard", "slot", "grown_shard")

@@ -17,10 +17,13 @@ def joined(
 
     Both ways give the same rows. ``small`` should hold narrow columns and be cheap to read twice.
     """
-    side = small.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    mark = "_k_"
+    while any(c.startswith(mark) for c in (*big.columns, *small.columns)):  # a prefix that no column has
+        mark = "_" + mark
+    side = small.select(*[F.col(k).alias(mark + k) for k in keys], *[c for c in small.columns if c not in keys])
     same = F.lit(True)
     for key in keys:
-        same = same & big[key].eqNullSafe(side[f"_k_{key}"])
+        same = same & big[key].eqNullSafe(side[mark + key])
     if small.limit(max_rows + 1).count() <= max_rows:
         side = F.broadcast(side)
-    return big.join(side, same, how).drop(*[f"_k_{k}" for k in keys])
+    return big.join(side, same, how).drop(*[mark + k for k in keys])

@@ -230,7 +230,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             hashes = sequence_hashes(p.words, window)[at] if len(at) else np.zeros(0, np.uint64)
             text = p.stream.text[at]
             doc, key, start = p.doc[text], p.key[text], at - p.stream.first[text]
-            order = np.argsort(hashes, kind="stable")
+            order = np.lexsort((start, doc, hashes))
             fresh = np.ones(len(order), bool)
             fresh[1:] = hashes[order][1:] != hashes[order][:-1]
             later = np.zeros(len(order), bool)

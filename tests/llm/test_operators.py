@@ -113,6 +113,15 @@ def test_rows_of_one_doc_id_do_not_remove_each_other(spark):
     assert sorted((r.row.doc_id or 0, r.n_removed) for r in rows) == [(0, 25), (1, 0), (1, 0)]
 
 
+def test_rows_of_one_doc_id_are_judged_by_start_in_any_order(spark):
+    passage = " ".join(f"p{i}" for i in range(25))
+    late = " ".join(f"l{i}" for i in range(10)) + " " + passage
+    early = " ".join(f"e{i}" for i in range(5)) + " " + passage
+    for texts in ([late, early], [early, late]):
+        rows = substring_dedup.without_repeats(table(spark, texts, [1, 1]).coalesce(1)).collect()
+        assert {r.row.text: r.n_removed for r in rows} == {late: 25, early: 0}
+
+
 # mixing
 
 
@@ -153,6 +162,28 @@ def test_mixing_nothing_and_no_words(spark):
     assert mixing.mix(table(spark, ["", None], source=["a", "b"])).count() == 2
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["_s", "_k", "_times", "_time", "key", "whole", "last_key", "target", "row", "_k_source"]
+    docs = table(spark, ["a b", "c", None], source=["x", "y", None], **{n: [f"{n}{i}" for i in range(3)] for n in names})
+    rows = mixing.mix(docs).collect()
+    assert rows and rows[0].__fields__ == docs.columns
+    for r in rows:
+        assert all(r[n] == f"{n}{r.doc_id}" for n in names) and r.source == ["x", "y", None][r.doc_id]
+
+
+def test_texts_without_words_respect_the_cap(spark):
+    texts = ["w " * 50] * 3 + [""] * 40 + ["v " * 2000]
+    docs = table(spark, texts, list(range(44)), source=["a"] * 43 + ["b"])
+    times = {r.doc_id: r["count"] for r in mixing.mix(docs).groupBy("doc_id").count().collect()}
+    assert max(times.values()) <= 3 and {times[i] for i in range(43)} == {3}
+
+
+def test_repeated_and_missing_doc_ids_are_mixed_row_by_row(spark):
+    docs = table(spark, ["a b c"] * 4 + ["d e"] * 2, [1, 1, None, None, 2, 3], source=["x"] * 4 + ["y"] * 2)
+    rows = mixing.mix(docs).groupBy("doc_id").count().collect()
+    assert {r.doc_id for r in rows} <= {1, None, 2, 3} and sum(r["count"] for r in rows) >= 4
+
+
 # WARC
 
 
@@ -326,6 +357,24 @@ def test_shards_move_only_into_the_new_one(spark):
     assert sharding.into_shards(docs.filter("false"), 24).count() == 0
 
 
+def test_shards_keep_columns_of_any_name(spark):
+    names = ["_digest", "_place", "_cell", "_before", "_text", "digest", "place", "cell", "before", "row", "key"]
+    docs = table(spark, ["a", None, "a"], [1, None, 1], slot=["s"] * 3, **{n: [n] * 3 for n in names})
+    out = sharding.into_shards(docs, 4)
+    own = [c for c in docs.columns if c != "slot"]
+    assert out.columns == [*own, "shard", "slot", "grown_shard"]
+    assert all(r[n] == n for r in out.collect() for n in names)
+
+
+def test_rows_of_one_doc_id_are_spread_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_CELL", 20)
+    docs = table(spark, [f"t{i}" for i in range(300)], [None] * 200 + [7] * 100).repartition(5)
+    rows = sharding.into_shards(docs, 3).collect()
+    for shard in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+    assert len({r.shard for r in rows if r.doc_id == 7}) == len({r.shard for r in rows if r.doc_id is None}) == 1
+
+
 # Jaccard join
 
 
@@ -377,6 +426,13 @@ def test_rows_without_id_or_rows_take_no_part(spark):
     assert jaccard.linked_documents(table(spark, [])).count() == 0
 
 
+def test_one_per_component_keeps_columns_of_any_name(spark):
+    docs = table(spark, ["a b c d e f g"] * 2 + ["x"], _k_doc_id=["k"] * 3, node=["n"] * 3, size=["s"] * 3)
+    rows = jaccard.one_per_component(docs)
+    assert rows.columns == docs.columns
+    assert sorted((r.doc_id, r._k_doc_id, r.node) for r in rows.collect()) == [(0, "k", "n"), (2, "k", "n")]
+
+
 def test_tree_connects_what_all_pairs_connect():
     draw = np.random.default_rng(11)
     sets = []
