@@ -13,6 +13,7 @@ from alertfold.functions.distance import epoch_micros
 from alertfold.functions.templates import ONLINE_FOOTER
 from alertfold.operators.mutes import drop_muted
 from alertfold.options import Options
+from alertfold.streaming.mutes import hear
 from alertfold.streaming.rules import Entry, decide, recent
 
 OUTBOX = (
@@ -75,13 +76,14 @@ def compact_stream(
     For a backlog use :func:`alertfold.operators.folding.compact`: here a chat's rows of one run are put in
     order in one task, so runs must be bounded, as ``stream_queue`` and ``stream_spool`` bound them.
     ``ts`` is the time of the event. Every message is sent, however late: there is no watermark, a late one looks
-    at the history around its own time, and goes out alone where that is gone. Muted ones are dropped;
-    ``mute_log`` is a table, as it stands when the stream starts. A chat keeps the history beside its newest
+    at the history around its own time, and goes out alone where that is gone. Muted ones are dropped:
+    a ``mute_log`` that is a stream acts from the run that brings a command (see :func:`hear`), a table acts as it
+    stands when the stream starts. A chat keeps the history beside its newest
     message and its last id, quiet chats too.
     """
     if not messages.isStreaming:
         raise ValueError("online compaction takes a stream; compact() takes tables")
     if mute_log is not None:
-        messages = drop_muted(messages, mute_log)
+        messages = hear(messages, mute_log) if mute_log.isStreaming else drop_muted(messages, mute_log)
     timed = messages.select("chat_id", "seq", "text", epoch_micros(messages).alias("micros"))
     return timed.groupBy("chat_id").transformWithState(OnlineCompaction(opts), OUTBOX, "Append", "None")

@@ -128,8 +128,10 @@ VIEWS = {
     "replies": """
         SELECT conv_id AS chat_id, concat('user', cast(conv_id AS string)) AS username, turn AS seq, text
         FROM conversations WHERE role = 'assistant'""",
+    # every page is a message, and an empty one follows it
     "page_messages": """
-        SELECT page_id % 10 AS chat_id, html AS text FROM pages""",
+        SELECT page_id % 10 AS chat_id, html AS text FROM pages
+        UNION ALL SELECT page_id % 10 AS chat_id, '' AS text FROM pages""",
 }
 
 
@@ -145,7 +147,7 @@ class Inputs:
             raise AttributeError(name)
         if name not in self._done:
             if name in TABLES:
-                self._done[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._done[name] = self.table(name)
             else:
                 used = [n for n in (*TABLES, *VIEWS) if n != name and n in VIEWS[name].replace(",", " ").split()]
                 for other in used:
@@ -153,11 +155,20 @@ class Inputs:
                 self._done[name] = self.spark.sql(VIEWS[name])
         return self._done[name]
 
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
     def stream(self, table: str, expressions: list[str]) -> DataFrame:
         """A table, one file or a folder of files, as a stream of its files."""
-        schema = getattr(self, table).schema
-        reader = self.spark.readStream.schema(schema).option("maxBytesPerTrigger", 1 << 30)
-        return reader.parquet(f"{self.sf_dir}/{table}.parquet*").selectExpr(*expressions)
+        return Streams(self.spark, self.sf_dir).table(table).selectExpr(*expressions)
+
+
+class Streams(Inputs):
+    """The same views, of tables that are streams of their files."""
+
+    def table(self, name: str) -> DataFrame:
+        reader = self.spark.readStream.schema(super().table(name).schema).option("maxBytesPerTrigger", 1 << 30)
+        return reader.parquet(f"{self.sf_dir}/{name}.parquet*")
 
 
 def with_views(*names: str) -> str:

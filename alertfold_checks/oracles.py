@@ -384,8 +384,8 @@ ORACLES = {
     "enqueue": _over(
         "SELECT chat_id, seq, text, sha256(concat_ws('|', chat_id, ts, seq, text)) AS msg_id FROM alerts", "alerts"
     ),
-    # text files end with a newline
-    "read_spool": _over("SELECT chat_id, concat(text, chr(10)) AS text FROM page_messages", "page_messages"),
+    "read_spool": _over("SELECT chat_id, coalesce(text, '') AS text FROM page_messages", "page_messages"),
+    "stream_spool": _over("SELECT chat_id, coalesce(text, '') AS text FROM page_messages", "page_messages"),
     "parse_api_dump": _over("SELECT triggerid, description FROM triggers", "triggers"),
     "api_errors": _over(
         "SELECT concat('No permissions to ', name) AS error FROM hostgroups WHERE NOT monitored_hosts", "hostgroups"
@@ -393,6 +393,10 @@ ORACLES = {
     "compact_stream_balance": _over(
         "SELECT chat_id, count(*) AS sent, count(*) AS told FROM alerts GROUP BY ALL", "alerts"
     ),
+    "live_mutes": f"WITH {with_views('alerts', 'mute_log')}, {_MUTED} SELECT chat_id, seq, text FROM heard",
+    "compact_stream_muted": f"""
+        WITH {with_views('alerts', 'mute_log')}, {_MUTED}
+        SELECT chat_id, count(*) AS sent, count(*) AS told FROM heard GROUP BY ALL""",
     "write_outbox": _over(
         "SELECT seq, sha256(concat_ws('|', chat_id, ts, seq, text)) AS msg_id FROM alerts", "alerts"
     ),

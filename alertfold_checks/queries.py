@@ -18,9 +18,11 @@ from alertfold.operators import paging, replies, similarity
 from alertfold.options import Options
 from alertfold.plans.storage import scratch_path
 from alertfold.sources import api_dump, queue, spool
+from alertfold.sources.outbox import write_outbox as write_outbox_of
+from alertfold.streaming import mutes as live
 from alertfold.streaming import online, run, sender
 from alertfold.streaming.replies import pair_replies_stream as reply_stream
-from alertfold_checks.inputs import Inputs
+from alertfold_checks.inputs import Inputs, Streams
 
 DAY = 86_400
 NEAR = Options(wait=DAY, accuracy=0.1)
@@ -432,6 +434,18 @@ def read_spool(i: Inputs) -> DataFrame:
     return spool.read_spool(i.spark, path).select("chat_id", "text")
 
 
+@query
+def stream_spool(i: Inputs) -> DataFrame:
+    """Messages through a spool and its query to the outbox, and what the spool still holds when that starts again."""
+    path, outbox, checkpoint = (scratch_path(i.spark, n) for n in ("spool", "outbox", "checkpoint"))
+    spool.write_spool(i.page_messages, path)
+    for _ in range(2):
+        stream = spool.stream_spool(i.spark, path, max_files_per_trigger=1 << 30)
+        write_outbox_of(stream, outbox, checkpoint).awaitTermination()
+    handled = i.spark.read.schema("chat_id bigint, text string").parquet(outbox)
+    return handled.select("chat_id", "text").unionAll(spool.read_spool(i.spark, path).select("chat_id", "text"))
+
+
 def api_bodies(i: Inputs) -> DataFrame:
     """Responses of at most 100 triggers each, and a failed call per unmonitored group."""
     item = F.struct(F.col("triggerid").cast("string").alias("triggerid"), "description")
@@ -476,7 +490,10 @@ def compact_stream(i: Inputs) -> DataFrame:
 @query
 def compact_stream_balance(i: Inputs) -> DataFrame:
     """Messages sent, and messages told by what is left after deletions: both are the messages that came."""
-    rows = online_outbox(i)
+    return told(online_outbox(i))
+
+
+def told(rows: DataFrame) -> DataFrame:
     sent = rows.filter("action = 'SEND'")
     deleted = rows.filter("action = 'DELETE'").select("chat_id", "message_id", F.lit(True).alias("gone"))
     kept = sent.join(deleted, ["chat_id", "message_id"], "left")
@@ -484,6 +501,25 @@ def compact_stream_balance(i: Inputs) -> DataFrame:
     return kept.groupBy("chat_id").agg(F.count(F.lit(1)).alias("sent"), live.alias("told"))
 
 
+def muted_streams(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Alerts, and the mutes among the commands, as streams."""
+    streams = Streams(i.spark, i.sf_dir)
+    return streams.alerts, commands.mute_log_from_commands(commands.parse_commands(streams.commands))
+
+
+@query
+def live_mutes(i: Inputs) -> DataFrame:
+    alerts, log = muted_streams(i)
+    return run.run_to_outbox(live.hear(alerts, log).select("chat_id", "seq", "text"))
+
+
+@query
+def compact_stream_muted(i: Inputs) -> DataFrame:
+    """Messages told per chat by online compaction under live mutes."""
+    alerts, log = muted_streams(i)
+    return told(run.run_to_outbox(online.compact_stream(alerts, mute_log=log)))
+
+
 @query
 def write_outbox(i: Inputs) -> DataFrame:
     """Alerts as a stream through the outbox, each delivered twice."""

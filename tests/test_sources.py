@@ -1,47 +1,181 @@
 import json
+import os
 import time
 from pathlib import Path
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from alertfold.sources.api_dump import parse_api_dump
-from alertfold.sources.outbox import write_outbox, write_run
+from alertfold.sources.outbox import start_runs, write_outbox, write_run
 from alertfold.sources.queue import enqueue, read_queue, stream_queue, with_message_id
 from alertfold.sources.spool import read_spool, stream_spool, write_spool
+from alertfold.sources.spool_files import SpoolStream
 from alertfold.streaming.run import run_to_outbox, use_rocksdb
 
 
 def test_spool(spark, tmp_path):
     files = {
-        "42/0123456789ABCDEF": "two\nlines\n",
-        "-100500/AAAAAAAAAAAAAAAA": "été",
-        "42/sending_off": "",
-        "notachat/CCCCCCCCCCCCCCCC": "x",
+        "42/0123456789ABCDEF": "two\nlines\n".encode(),
+        "-100500/AAAAAAAAAAAAAAAA": "été".encode(),
+        "-100500/BBBBBBBBBBBBBBBB": b"",
+        "42/CCCCCCCCCCCCCCCC": b"\xff\xfe no text \x00",
+        "42/sending_off": b"",
+        "42/.hidden": b"x",
+        "notachat/CCCCCCCCCCCCCCCC": b"x",
     }
-    for name, text in files.items():
+    for name, content in files.items():
         path = tmp_path / "pending" / name
         path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(text, encoding="utf-8")
-    found = {(r.chat_id, r.msg_id, r.text) for r in read_spool(spark, str(tmp_path / "pending")).collect()}
-    assert found == {(42, "0123456789ABCDEF", "two\nlines\n"), (-100500, "AAAAAAAAAAAAAAAA", "été")}
-
-    query = (
-        stream_spool(spark, str(tmp_path / "pending"), 1)
-        .writeStream.format("memory")
-        .queryName("spooled")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    streamed = {(r.chat_id, r.msg_id, r.text) for r in spark.table("spooled").collect()}
-    assert streamed == found
+        path.write_bytes(content)
+    want = {(int(n.split("/")[0]), n.split("/")[1], c) for n, c in list(files.items())[:4]}
+    with_bytes = lambda df: df.select("chat_id", "msg_id", F.col("text").cast("binary").alias("b"))
+    spool = read_spool(spark, str(tmp_path / "pending"), slices=3)
+    assert {(r.chat_id, r.msg_id, bytes(r.b)) for r in with_bytes(spool).collect()} == want
+    assert spool.schema["ts"].dataType.simpleString() == "timestamp_ntz" and spool.filter("ts IS NULL").count() == 0
+
+    stream = with_bytes(stream_spool(spark, str(tmp_path / "pending"), after="keep"))
+    write_outbox(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert {(r.chat_id, r.msg_id, bytes(r.b)) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+    assert (tmp_path / "pending/42/sending_off").exists() and (tmp_path / "pending/42/0123456789ABCDEF").exists()
 
 
 def test_spool_round_trip(spark, tmp_path):
-    messages = spark.createDataFrame([(7, "a"), (7, "b"), (-8, "c")], "chat_id long, text string")
+    rows = [(7, "a"), (7, "a"), (7, "b\n"), (-8, ""), (-8, None), (9, "é\r\n")]
+    messages = spark.createDataFrame(rows, "chat_id long, text string").repartition(3)
     write_spool(messages, str(tmp_path / "out"))
-    back = {(r.chat_id, r.text) for r in read_spool(spark, str(tmp_path / "out")).collect()}
-    assert back == {(7, "a\n"), (7, "b\n"), (-8, "c\n")}
+    write_spool(messages, str(tmp_path / "out"))  # adds
+    back = sorted((r.chat_id, r.text) for r in read_spool(spark, str(tmp_path / "out")).collect())
+    assert back == sorted(2 * [(c, t or "") for c, t in rows])
+    names = [p.name for p in (tmp_path / "out").rglob("*") if p.is_file()]
+    assert len(set(names)) == 12 and all(len(n) == 16 for n in names)
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith(".staged")]
+
+
+def test_a_failed_job_shows_no_messages(spark, tmp_path):
+    bad = spark.range(100).selectExpr("id AS chat_id", "if(id = 90, raise_error('no'), 'x') AS text")
+    with pytest.raises(Exception, match="no"):
+        write_spool(bad, str(tmp_path / "out"))
+    assert read_spool(spark, str(tmp_path / "out")).count() == 0
+    with pytest.raises(Exception, match="only added"):
+        spark.range(1).selectExpr("id AS chat_id", "binary('') AS content").write.format("spool").mode("overwrite").save(
+            str(tmp_path / "out")
+        )
+
+
+def test_an_empty_spool(spark, tmp_path):
+    assert read_spool(spark, str(tmp_path / "none")).count() == 0
+    write_outbox(stream_spool(spark, str(tmp_path / "none")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+
+
+class Spool:
+    """A spool on disk with a query that can be made to fail."""
+
+    def __init__(self, spark, folder, **options):
+        self.spark, self.folder, self.options = spark, folder, options
+
+    def drop(self, *names):
+        for name in names:
+            path = self.folder / "pending" / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(name if "empty" not in name else "")
+
+    def run(self, fail=None):
+        """``fail`` is None, or when the run dies: before its rows are written, or after."""
+
+        def handle(rows, batch_id):
+            if fail == "before":
+                raise RuntimeError("died")
+            write_run(rows, str(self.folder / "out"), batch_id)
+            if fail == "after":
+                raise RuntimeError("died")
+
+        stream = stream_spool(self.spark, str(self.folder / "pending"), **self.options)
+        query = start_runs(stream, handle, str(self.folder / "cp"))
+        if fail:
+            with pytest.raises(StreamingQueryException):
+                query.awaitTermination()
+        else:
+            query.awaitTermination()
+
+    def sent(self):
+        return sorted(f"{r.chat_id}/{r.msg_id}" for r in self.spark.read.parquet(str(self.folder / "out")).collect())
+
+    def left(self):
+        pending = self.folder / "pending"
+        return sorted(str(p.relative_to(pending)) for p in pending.rglob("*") if p.is_file() and ".claims" not in p.parts)
+
+
+def test_the_spool_empties_behind_its_query(spark, tmp_path):
+    spool = Spool(spark, tmp_path)
+    spool.drop("1/a", "1/empty", "-2/b", "1/sending_off")
+    spool.run()
+    assert spool.sent() == ["-2/b", "1/a", "1/empty"] and len(spool.left()) == 4  # until the next run begins
+    spool.drop("1/c")
+    spool.run()
+    assert spool.sent() == ["-2/b", "1/a", "1/c", "1/empty"] and spool.left() == ["1/c", "1/sending_off"]
+    spool.run()
+    assert spool.sent() == ["-2/b", "1/a", "1/c", "1/empty"] and spool.left() == ["1/sending_off"]
+    assert len(list((tmp_path / "pending/.claims").iterdir())) == 1
+
+
+@pytest.mark.parametrize("fail", ["before", "after"])
+def test_a_run_that_dies_is_repeated_with_the_same_files(spark, tmp_path, fail):
+    spool = Spool(spark, tmp_path)
+    spool.drop("1/a", "2/b")
+    spool.run(fail)
+    spool.drop("1/later", "3/c")  # not part of the repeated run, but not lost either
+    spool.run()
+    spool.run()
+    assert spool.sent() == ["1/a", "1/later", "2/b", "3/c"]
+    spool.run()
+    assert spool.left() == []
+
+
+def test_claims_without_an_offset_are_taken_up(spark, tmp_path):
+    """The reader died after it wrote its claim and before Spark knew of it."""
+    spool = Spool(spark, tmp_path)
+    spool.drop("1/a", "2/b")
+    SpoolStream(str(tmp_path / "pending"), 100, "delete", None, 0).latestOffset()
+    spool.drop("1/c")
+    for _ in range(3):
+        spool.run()
+    assert spool.sent() == ["1/a", "1/c", "2/b"] and spool.left() == []
+
+
+def test_clearing_may_be_repeated_and_spares_new_files(spark, tmp_path):
+    spool = Spool(spark, tmp_path)
+    spool.drop("1/a", "1/b")
+    spool.run()
+    (tmp_path / "pending/1/a").unlink()  # the clearing that follows was cut off here before
+    (tmp_path / "pending/1/b").write_text("another message of this name")
+    spool.run()
+    assert spool.left() == ["1/b"] and spool.sent() == ["1/a", "1/b", "1/b"]
+
+
+def test_handled_files_go_to_the_archive(spark, tmp_path):
+    spool = Spool(spark, tmp_path, after="archive", archive=str(tmp_path / "old"))
+    spool.drop("1/a", "-2/b")
+    for _ in range(2):
+        spool.run()
+    assert spool.left() == [] and sorted(p.name for p in (tmp_path / "old").rglob("[ab]")) == ["a", "b"]
+    assert (tmp_path / "old/1/a").read_text() == "1/a"
+    with pytest.raises(Exception, match="archive"):
+        Spool(spark, tmp_path / "x", after="archive").run()
+
+
+def test_runs_take_the_oldest_files_first_and_spare_young_ones(spark, tmp_path):
+    spool = Spool(spark, tmp_path, max_files_per_trigger=2, quiet_seconds=3600)
+    for age, name in enumerate(("1/new", "2/b", "1/a", "3/oldest")):
+        spool.drop(name)
+        at = time.time() - 5000 * age
+        os.utime(tmp_path / "pending" / name, (at, at))
+    spool.run()
+    assert spool.sent() == ["1/a", "3/oldest"]
+    spool.run()
+    spool.run()
+    assert spool.sent() == ["1/a", "2/b", "3/oldest"] and spool.left() == ["1/new"]
 
 
 def test_queue_and_identity(spark, tmp_path, messages_of):

@@ -4,9 +4,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from alertfold.operators.mutes import apply_mutes
 from alertfold.options import Options
 from alertfold.sources.outbox import write_outbox
 from alertfold.sources.spool import stream_spool
+from alertfold.streaming.mutes import forget, hear, muted_at
 from alertfold.streaming.online import compact_stream
 from alertfold.streaming.replies import pair_replies_stream
 from alertfold.streaming.rules import Entry, decide, recent
@@ -183,3 +185,94 @@ def test_prompts_wait_for_their_time_only(spark, tmp_path):
     run((3, True, "b?"))
     time.sleep(5.5)
     assert run((4, True, "c?"), (5, False, "yes")) == [(1, 2), (4, 5)]
+
+
+# live mutes
+
+
+class MutedRuns:
+    """Messages and mute commands in files, one run at a time."""
+
+    def __init__(self, spark, messages_of, folder, **options):
+        self.spark, self.messages_of, self.folder, self.options, self.seq = spark, messages_of, folder, options, 0
+        use_rocksdb(spark)
+        self.log_schema = "second long, seq long, scope string, muted boolean"
+        self.empty = messages_of([(0, 0, "")]).schema
+
+    def _add(self, name, frame):
+        frame.coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}")
+
+    def run(self, messages=(), log=()):
+        (self.folder / "messages").mkdir(exist_ok=True)
+        (self.folder / "log").mkdir(exist_ok=True)
+        if messages:
+            self._add("messages", self.messages_of(messages).withColumn("seq", F.col("seq") + self.seq))
+            self.seq += len(messages)
+        if log:
+            rows = [(second, 1000 * self.seq + n, scope, muted) for n, (second, scope, muted) in enumerate(log)]
+            self._add("log", self.spark.createDataFrame(rows, self.log_schema))
+        at = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, second) AS ts"
+        stream = self.spark.readStream.schema(self.empty).parquet(f"{self.folder}/messages")
+        changes = self.spark.readStream.schema(self.log_schema).parquet(f"{self.folder}/log")
+        heard = hear(stream, changes.selectExpr(at, "seq", "scope", "muted"), **self.options)
+        write_outbox(heard, f"{self.folder}/out", f"{self.folder}/cp").awaitTermination()
+        out = self.spark.read.schema(self.empty).parquet(f"{self.folder}/out")
+        return sorted(r.text for r in out.collect())
+
+
+def test_a_mute_acts_from_the_run_that_brings_it(spark, messages_of, tmp_path):
+    runs = MutedRuns(spark, messages_of, tmp_path)
+    assert runs.run([(1, 0, "a"), (2, 0, "b")]) == ["a", "b"]
+    # the first is earlier than the mute, the second behind it; chat 2 is not meant
+    assert runs.run([(1, 9, "c"), (1, 10, "gone"), (2, 11, "d")], [(10, "1", True)]) == ["a", "b", "c", "d"]
+    assert runs.run([(1, 20, "gone"), (1, 5, "late but before")]) == ["a", "b", "c", "d", "late but before"]
+    assert "e" in runs.run([(1, 30, "e")], [(30, "1", False)])
+    got = runs.run([(n, 41, f"x{n}") for n in range(40)], [(40, "*", True)])
+    assert not [t for t in got if t.startswith("x")]
+    # chats nobody has heard of before, and a chat's own unmute does not lift the mute of all
+    assert not [t for t in runs.run([(n, 50, f"y{n}") for n in range(100, 160)] + [(7, 51, "y7")], [(49, "7", False)]) if t[0] == "y"]
+    got = runs.run([(n, 61, f"z{n}") for n in range(200, 230)], [(60, "*", False), (60, "203", True), (60, "none", True)])
+    assert [t for t in got if t[0] == "z"] == sorted(f"z{n}" for n in range(200, 230) if n != 203)
+
+
+@pytest.mark.parametrize("slots, spread", [(1, 1), (16, 4)])
+def test_live_mutes_equal_mutes_of_tables(spark, messages_of, tmp_path, slots, spread):
+    """Each run brings the commands up to the time of its last message."""
+    rng = random.Random(slots)
+    rows = sorted(((rng.randrange(6), rng.randrange(3000), f"t{k}") for k in range(400)), key=lambda r: r[1])
+    log = sorted((rng.randrange(3000), rng.choice(["*", "0", "1", "2", "3"]), rng.random() < 0.5) for _ in range(60))
+    runs = MutedRuns(spark, messages_of, tmp_path, slots=slots, spread=spread)
+    for part in range(4):
+        got = runs.run(
+            [r for r in rows if 750 * part <= r[1] < 750 * (part + 1)], [e for e in log if 750 * part <= e[0] < 750 * (part + 1)]
+        )
+    table = spark.read.parquet(f"{tmp_path}/log").selectExpr(
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, second) AS ts", "seq", "scope", "muted"
+    )
+    want = apply_mutes(spark.read.parquet(f"{tmp_path}/messages"), table)
+    assert got == sorted(r.text for r in want.collect()) and 0 < len(got) < 400
+
+
+def test_old_commands_are_forgotten_but_the_last(spark, messages_of, tmp_path):
+    runs = MutedRuns(spark, messages_of, tmp_path, keep_seconds=100)
+    runs.run(log=[(0, "1", True), (10, "1", False), (20, "1", True), (500, "1", False)])
+    assert runs.run([(1, 15, "too late to be judged"), (1, 450, "gone"), (1, 501, "heard")]) == ["heard", "too late to be judged"]
+    assert forget([(1, 1, True), (5, 1, False), (9, 1, True)], 6) == [(5, 1, False), (9, 1, True)]
+    assert muted_at([(1, 1, True), (1, 2, False)], 1) is False and muted_at([(1, 1, True)], 0) is False
+
+
+def test_online_compaction_under_live_mutes(spark, messages_of, tmp_path):
+    use_rocksdb(spark)
+    messages = messages_of([(1, s, f"disk {s} full") for s in range(0, 60, 10)])
+    messages.coalesce(1).write.parquet(f"{tmp_path}/in")
+    log = [(0, "*", False), (25, "1", True), (45, "1", False)]
+    rows = [(second, n, scope, muted) for n, (second, scope, muted) in enumerate(log)]
+    schema = "second long, seq long, scope string, muted boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/log")
+    stream = spark.readStream.schema(messages.schema).parquet(f"{tmp_path}/in")
+    changes = spark.readStream.schema(schema).parquet(f"{tmp_path}/log").selectExpr(
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, second) AS ts", "seq", "scope", "muted"
+    )
+    write_outbox(compact_stream(stream, OPTS, changes), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    sent = spark.read.parquet(f"{tmp_path}/out").filter("action = 'SEND'").orderBy("seq").collect()
+    assert [r.seq for r in sent] == [0, 1, 2, 5] and sent[-1].cnt == 4
