@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 BATCH_HEADER = " similar messages were received:\n"
 ONLINE_FOOTER = "\n\nSimilar messages received: "
 
+
 def template_pieces(template: Column) -> Column:
     """A template as an array of literals and runs of wildcards, in order."""
     return F.regexp_extract_all(template, F.lit(r"(\?+|[^?]+)"), F.lit(1))
@@ -54,18 +56,28 @@ def equivalent(a: Column, b: Column) -> Column:
     return matches(a, b) & matches(b, a)
 
 
+_DIGITS = re.compile("[0-9]*")
+
+
+@lru_cache(maxsize=10_000)
+def _pieces(template: str) -> list[str]:
+    return re.findall(r"\?+|[^?]+", template)
+
+
 def text_matches(template: str, text: str) -> bool:
     """The same rule for one template and text outside of expressions."""
     places = {0}
-    for piece in re.findall(r"\?+|[^?]+", template):
+    for piece in _pieces(template):
         if piece[0] == "?":
             reached: set[int] = set()
             for p in places:
-                digits = re.compile("[0-9]*").match(text, p).end()
+                digits = _DIGITS.match(text, p).end()
                 reached.update(range(p, max(min(p + len(piece), len(text)), digits) + 1))
             places = reached
         else:
             places = {p + len(piece) for p in places if text.startswith(piece, p)}
+            if not places:
+                return False
     return len(text) in places
 
 

@@ -2,88 +2,219 @@
 
 from __future__ import annotations
 
-from bisect import insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from alertfold.functions.distance import epoch_micros
 from alertfold.functions.templates import ONLINE_FOOTER
-from alertfold.operators.mutes import drop_muted
+from alertfold.operators.mutes import apply_mutes, drop_muted
 from alertfold.options import Options
+from alertfold.plans.ordered import shuffle_tasks
+from alertfold.plans.storage import scratch_path
+from alertfold.streaming.history import BEGIN, ENTRIES, History
 from alertfold.streaming.mutes import hear
-from alertfold.streaming.rules import Entry, decide, recent
+from alertfold.streaming.rules import Entry, decide
 
 OUTBOX = (
     "chat_id bigint, seq bigint, action string, message_id int, text string,"
     " is_group boolean, pattern string, cnt int"
 )
-_HISTORY = "message_id int, text string, micros bigint, pattern string, cnt int"
-_ROW = Row(*[field.split()[0] for field in OUTBOX.split(", ")])
+_STATE_ONLY = f"last_id int, cut bigint, bucket bigint, {ENTRIES}"
+_FIELDS = [field.split()[0] for field in OUTBOX.split(", ")]
+_ROW = Row(*_FIELDS)
+_ROWS_AT_ONCE = 2_000
+_ENTRY_NAMES = ["message_id", "text", "micros", "pattern", "cnt"]
+_ENTRY = pa.struct(zip(_ENTRY_NAMES, [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int32()]))
+_ARROW = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.int32()]
+_ARROW += [pa.int32(), pa.int64(), pa.int64(), pa.list_(_ENTRY)]
+
+
+def decisions(chat_id: int, messages: Iterable[tuple[int, int, str]], history: History, opts: Options) -> Iterator[tuple]:
+    """Outbox rows for messages (micros, seq, text) of one chat in order; the history goes along."""
+    for micros, seq, text in messages:
+        chosen = decide(text, history.recent(micros), opts)
+        history.last_id += 1
+        sent = chosen.text if chosen.pattern is None else f"{chosen.pattern}{ONLINE_FOOTER}{chosen.cnt}"
+        for old in chosen.replaces:
+            yield chat_id, seq, "DELETE", old, None, None, None, None
+        yield chat_id, seq, "SEND", history.last_id, sent, chosen.pattern is not None, chosen.pattern, chosen.cnt
+        history.remove(chosen.replaces)
+        history.add(Entry(history.last_id, sent, micros, chosen.pattern, chosen.cnt))
 
 
 class OnlineCompaction(StatefulProcessor):
-    """State per chat: the sent messages young enough to matter, and the last message id given out.
+    """State per chat: the sent messages young enough to matter, by minute, and the last message id given out.
 
     Decisions of a chat depend on each other, so a chat is one sequence; chats run in parallel. The rows of
-    one call are those of one chat in one trigger, which the source's trigger limit bounds.
+    one call are those of one chat in one trigger, which the source's trigger limit bounds. A run reads the
+    newest minutes as far as decisions look and writes the minutes it has changed, however long the history is.
     """
 
-    def __init__(self, opts: Options) -> None:
-        self.opts = opts
+    def __init__(self, opts: Options, quiet_seconds: int | None = None) -> None:
+        self.opts, self.quiet_ms = opts, None if quiet_seconds is None else 1000 * quiet_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.history = handle.getListState("history", _HISTORY)
-        self.last_id = handle.getValueState("last_id", "message_id int")
+        self.index = handle.getValueState("index", "last_id int, cut bigint, seen bigint, buckets array<bigint>")
+        self.minutes = handle.getMapState("minutes", "bucket bigint", ENTRIES)
 
-    def _load(self) -> list[Entry]:
-        return [Entry(r[0], r[1], r[2], r[3], r[4]) for r in self.history.get()]
+    # the store of a History
 
-    def _store(self, entries: list[Entry]) -> None:
-        """Keep what is young enough beside the newest entry of the chat."""
-        newest = max(e.micros for e in entries)
-        young = [e for e in entries if e.age_minutes(newest) <= self.opts.history_max_age_minutes]
-        self.history.put([(e.message_id, e.text, e.micros, e.pattern, e.cnt) for e in young])
+    def load(self, bucket: int) -> list[tuple]:
+        return [tuple(row) for row in self.minutes.getValue((bucket,))[0]]
+
+    def save(self, bucket: int, entries: list[tuple]) -> None:
+        self.minutes.updateValue((bucket,), (entries,))
+
+    def drop(self, bucket: int) -> None:
+        self.minutes.removeKey((bucket,))
+
+    def _index(self) -> tuple[int, int, int, list[int]]:
+        if not self.index.exists():
+            return 0, BEGIN, 0, []
+        last_id, cut, seen, buckets = self.index.get()
+        return last_id, cut, seen, list(buckets)
+
+    def _is_quiet(self, seen: int, timerValues: object) -> bool:
+        return self.quiet_ms is not None and seen + self.quiet_ms <= timerValues.getCurrentProcessingTimeInMs()
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        entries = self._load() if self.history.exists() else []
-        last = self.last_id.get()[0] if self.last_id.exists() else 0
-        for row in sorted(rows, key=lambda r: (r.micros, r.seq)):
-            chosen = decide(row.text, recent(entries, row.micros, self.opts), self.opts)
-            last += 1
-            sent = chosen.text if chosen.pattern is None else f"{chosen.pattern}{ONLINE_FOOTER}{chosen.cnt}"
-            for old in chosen.replaces:
-                yield _ROW(key[0], row.seq, "DELETE", old, None, None, None, None)
-            yield _ROW(key[0], row.seq, "SEND", last, sent, chosen.pattern is not None, chosen.pattern, chosen.cnt)
-            if chosen.replaces:
-                entries = [e for e in entries if e.message_id not in chosen.replaces]
-            insort(entries, Entry(last, sent, row.micros, chosen.pattern, chosen.cnt), key=lambda e: (e.micros, e.message_id))
-        self._store(entries)
-        self.last_id.update((last,))
+        last_id, cut, seen, buckets = self._index()
+        if self._is_quiet(seen, timerValues):  # and its timer has not fired yet
+            self.minutes.clear()
+            buckets = []
+        history = History(self, buckets, cut, last_id, self.opts)
+        messages = sorted(((r.micros, r.seq, r.text) for r in rows), key=lambda m: m[:2])
+        for row in decisions(key[0], messages, history, self.opts):
+            yield _ROW(*row)
+        history.settle()
+        if self.quiet_ms is not None:
+            seen = timerValues.getCurrentProcessingTimeInMs()
+            self.handle.registerTimer(seen + self.quiet_ms)
+        self.index.update((history.last_id, history.cut, seen, history.buckets))
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: object) -> None:
+        """One bucket of a history that was built elsewhere, or none."""
+        last_id, cut, seen, buckets = self._index()
+        if initialState.bucket is not None:
+            self.save(initialState.bucket, [tuple(e[n] for n in _ENTRY_NAMES) for e in initialState.entries])
+            buckets.append(initialState.bucket)
+        self.index.update((max(last_id, initialState.last_id), max(cut, initialState.cut), seen, sorted(buckets)))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        """Forget the history of a chat that has been quiet, but not its last id."""
+        last_id, cut, seen, buckets = self._index()
+        if self._is_quiet(seen, timerValues):
+            self.minutes.clear()
+            self.index.update((last_id, cut, seen, []))
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
+def _timed(messages: DataFrame) -> DataFrame:
+    return messages.select(
+        F.col("chat_id").cast("long").alias("chat_id"),
+        F.col("seq").cast("long").alias("seq"),
+        "text",
+        epoch_micros(messages).alias("micros"),
+    )
+
+
 def compact_stream(
-    messages: DataFrame, opts: Options = Options(), mute_log: DataFrame | None = None
+    messages: DataFrame,
+    opts: Options = Options(),
+    mute_log: DataFrame | None = None,
+    state: DataFrame | None = None,
+    quiet_seconds: int | None = None,
 ) -> DataFrame:
     """Outbox rows for a stream of messages(chat_id, ts, seq, text).
 
-    For a backlog use :func:`alertfold.operators.folding.compact`: here a chat's rows of one run are put in
-    order in one task, so runs must be bounded, as ``stream_queue`` and ``stream_spool`` bound them.
+    For a backlog use :func:`alertfold.operators.folding.compact`, or :func:`compact_backlog` where the stream is to
+    go on from it: here a chat's rows of one run are put in order in one task, so runs must be bounded, as
+    ``stream_queue`` and ``stream_spool`` bound them.
     ``ts`` is the time of the event. Every message is sent, however late: there is no watermark, a late one looks
     at the history around its own time, and goes out alone where that is gone. Muted ones are dropped:
     a ``mute_log`` that is a stream acts from the run that brings a command (see :func:`hear`), a table acts as it
-    stands when the stream starts. A chat keeps the history beside its newest
-    message and its last id, quiet chats too.
+    stands when the stream starts. ``state``, of :func:`compact_backlog`, is what a new query begins with.
+
+    A chat keeps the history beside its newest message and its last id. With ``quiet_seconds``, the history of a
+    chat without messages for that time on the clock is forgotten, the id is not. See ``idle_runs`` of
+    ``start_runs`` for queries that are to end.
     """
     if not messages.isStreaming:
-        raise ValueError("online compaction takes a stream; compact() takes tables")
+        raise ValueError("online compaction takes a stream; compact() and compact_backlog() take tables")
     if mute_log is not None:
         messages = hear(messages, mute_log) if mute_log.isStreaming else drop_muted(messages, mute_log)
-    timed = messages.select("chat_id", "seq", "text", epoch_micros(messages).alias("micros"))
-    return timed.groupBy("chat_id").transformWithState(OnlineCompaction(opts), OUTBOX, "Append", "None")
+    time_mode = "None" if quiet_seconds is None else "ProcessingTime"
+    before = None if state is None else state.groupBy("chat_id")
+    processor = OnlineCompaction(opts, quiet_seconds)
+    return _timed(messages).groupBy("chat_id").transformWithState(processor, OUTBOX, "Append", time_mode, before)
+
+
+class _Held(dict):
+    """A store in memory."""
+
+    def load(self, bucket: int) -> list[tuple]:
+        return self[bucket]
+
+    def save(self, bucket: int, entries: list[tuple]) -> None:
+        self[bucket] = entries
+
+    def drop(self, bucket: int) -> None:
+        self.pop(bucket, None)
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, int, int, str]]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("chat_id", "micros", "seq", "text")))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = [*_FIELDS, "last_id", "cut", "bucket", "entries"]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), _ARROW)], names)
+
+
+def compact_backlog(
+    messages: DataFrame, opts: Options = Options(), mute_log: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(outbox, state) of a table of messages, as if a stream had brought them in order of time.
+
+    Each chat is gone through in one pass over its sorted rows, with no more than its recent history in memory,
+    however long the backlog; chats run in parallel. ``state`` holds what :func:`compact_stream` has to begin with,
+    a row per chat and minute of its history. Both are read from one table in the shared folder. ``mute_log`` is a
+    table.
+    """
+    heard = messages if mute_log is None else apply_mutes(messages, mute_log)
+    timed = _timed(heard)
+    ordered = timed.repartition(shuffle_tasks(timed), "chat_id").sortWithinPartitions("chat_id", "micros", "seq")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for chat, rows in groupby(_rows(batches), key=lambda r: r[0]):
+            store = _Held()
+            history = History(store, [], BEGIN, 0, opts)
+            while some := [row[1:] for row in islice(rows, _ROWS_AT_ONCE)]:
+                out += [(*row, None, None, None, None) for row in decisions(chat, some, history, opts)]
+                history.settle()
+                if len(out) >= _ROWS_AT_ONCE:
+                    yield _batch(out)
+                    out = []
+            none = (None,) * (len(_FIELDS) - 1)
+            for bucket in history.buckets or [None]:
+                entries = [dict(zip(_ENTRY_NAMES, e)) for e in store.get(bucket, ())]
+                out.append((chat, *none, history.last_id, history.cut, bucket, entries))
+        if out:
+            yield _batch(out)
+
+    folder = scratch_path(messages.sparkSession, "backlog")
+    ordered.mapInArrow(run, f"{OUTBOX}, {_STATE_ONLY}").write.parquet(folder)
+    both = messages.sparkSession.read.parquet(folder)
+    sent = both.filter(F.col("action").isNotNull()).select(*_FIELDS)
+    return sent, both.filter(F.col("last_id").isNotNull()).select("chat_id", "last_id", "cut", "bucket", "entries")

@@ -5,7 +5,7 @@ Grouping follows the same rules as ``operators.grouping``; tests hold both again
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 from alertfold.functions.script import edit_distance, fold_pair, fold_texts, touches_multibyte
@@ -75,8 +75,13 @@ def recent(history: Sequence[Entry], micros: int, opts: Options) -> list[Entry]:
     ``history`` is in time order. For a message that comes late, entries may be younger than itself; they count
     by the same distance.
     """
+    return nearby(reversed(history), micros, opts)
+
+
+def nearby(newest_first: Iterable[Entry], micros: int, opts: Options) -> list[Entry]:
+    """The same of entries that come newest first; no more are taken than needed."""
     found: list[Entry] = []
-    for entry in reversed(history):
+    for entry in newest_first:
         if len(found) == opts.history_check_count:
             break
         if max(entry.age_minutes(micros), (entry.micros - micros) // 60_000_000) <= opts.history_max_age_minutes:

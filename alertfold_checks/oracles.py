@@ -393,6 +393,9 @@ ORACLES = {
     "compact_stream_balance": _over(
         "SELECT chat_id, count(*) AS sent, count(*) AS told FROM alerts GROUP BY ALL", "alerts"
     ),
+    "compact_backlog": _over(
+        "SELECT chat_id, count(*) AS sent, count(*) AS told FROM alerts GROUP BY ALL", "alerts"
+    ),
     "live_mutes": f"WITH {with_views('alerts', 'mute_log')}, {_MUTED} SELECT chat_id, seq, text FROM heard",
     "compact_stream_muted": f"""
         WITH {with_views('alerts', 'mute_log')}, {_MUTED}

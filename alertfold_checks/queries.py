@@ -493,6 +493,15 @@ def compact_stream_balance(i: Inputs) -> DataFrame:
     return told(online_outbox(i))
 
 
+@query
+def compact_backlog(i: Inputs) -> DataFrame:
+    """The same, with the first half of the messages as a table and the others as a stream that goes on from it."""
+    first = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    done, state = online.compact_backlog(i.alerts.filter(first))
+    rest = online.compact_stream(Streams(i.spark, i.sf_dir).alerts.filter(~first), state=state)
+    return told(done.unionByName(run.run_to_outbox(rest)))
+
+
 def told(rows: DataFrame) -> DataFrame:
     sent = rows.filter("action = 'SEND'")
     deleted = rows.filter("action = 'DELETE'").select("chat_id", "message_id", F.lit(True).alias("gone"))

@@ -8,8 +8,9 @@ from alertfold.operators.mutes import apply_mutes
 from alertfold.options import Options
 from alertfold.sources.outbox import write_outbox
 from alertfold.sources.spool import stream_spool
+from alertfold.streaming.history import BEGIN, History
 from alertfold.streaming.mutes import forget, hear, muted_at
-from alertfold.streaming.online import compact_stream
+from alertfold.streaming.online import OUTBOX, compact_backlog, compact_stream
 from alertfold.streaming.replies import pair_replies_stream
 from alertfold.streaming.rules import Entry, decide, recent
 from alertfold.streaming.run import use_rocksdb
@@ -276,3 +277,124 @@ def test_online_compaction_under_live_mutes(spark, messages_of, tmp_path):
     write_outbox(compact_stream(stream, OPTS, changes), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     sent = spark.read.parquet(f"{tmp_path}/out").filter("action = 'SEND'").orderBy("seq").collect()
     assert [r.seq for r in sent] == [0, 1, 2, 5] and sent[-1].cnt == 4
+
+
+# history by change, and the handover from a backlog
+
+
+class CountingStore(dict):
+    def __init__(self):
+        super().__init__()
+        self.read, self.written = 0, 0
+
+    def load(self, bucket):
+        self.read += len(self[bucket])
+        return self[bucket]
+
+    def save(self, bucket, entries):
+        self.written += len(entries)
+        self[bucket] = entries
+
+    def drop(self, bucket):
+        del self[bucket]
+
+
+def test_history_in_buckets_equals_history_in_a_list():
+    rng = random.Random(4)
+    opts = Options(history_check_count=5, history_max_age_minutes=10)
+    for _ in range(20):
+        store, buckets, cut, last = CountingStore(), [], BEGIN, 0
+        whole, now = [], 0
+        for _ in range(12):  # runs
+            history = History(store, buckets, cut, last, opts)
+            for _ in range(rng.randrange(1, 8)):
+                now += rng.randrange(0, 4 * 60_000_000)
+                micros = max(0, now - rng.choice([0, 0, rng.randrange(15 * 60_000_000)]))
+                seen = history.recent(micros)
+                assert seen == recent(whole, micros, opts)
+                gone = [e.message_id for e in seen if rng.random() < 0.2]
+                last += 1
+                entry = Entry(last, f"t{last}", micros)
+                history.remove(gone)
+                history.add(entry)
+                whole = sorted((e for e in [*whole, entry] if e.message_id not in gone), key=lambda e: (e.micros, e.message_id))
+            history.settle()
+            newest = max(e.micros for e in whole)
+            whole = [e for e in whole if e.age_minutes(newest) <= opts.history_max_age_minutes]
+            buckets, cut = history.buckets, history.cut
+            assert sorted(store) == buckets and len(buckets) <= 13
+
+
+def test_a_run_reads_and_writes_what_it_touches_however_long_the_history():
+    costs = []
+    for per_minute in (20, 200):
+        store = CountingStore()
+        history = History(store, [], BEGIN, 0, OPTS)
+        for n in range(59 * per_minute):
+            history.add(Entry(n, f"text {n}", n * 60_000_000 // per_minute))
+        history.settle()
+        store.read = store.written = 0
+        now = 60 * 60_000_000
+        later = History(store, history.buckets, history.cut, 59 * per_minute, OPTS)
+        later.remove([e.message_id for e in later.recent(now)[:1]])
+        later.add(Entry(10**6, "new", now))
+        later.settle()
+        costs.append((store.read / per_minute, store.written / per_minute))
+    assert all(read <= 2 and written <= 1.1 for read, written in costs)
+
+
+def rows_sent(spark, path):
+    rows = spark.read.parquet(path).select("chat_id", "seq", "action", "message_id", "text", "cnt").collect()
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+def test_a_stream_goes_on_from_a_backlog(spark, parts, tmp_path):
+    """Two thirds as a table, the rest as a stream in two starts: the rows that replaying all would give."""
+    _, cuts, want = parts
+    use_rocksdb(spark)
+    sent, state = compact_backlog(cuts[0].unionAll(cuts[1]).repartition(3))
+    assert state.groupBy("chat_id").count().count() == 4 and sent.columns == state.sparkSession.createDataFrame([], OUTBOX).columns
+    halves = [cuts[2].filter("seq < 130"), cuts[2].filter("seq >= 130")]
+    for half in halves:
+        half.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(half.schema).parquet(f"{tmp_path}/in")
+        write_outbox(compact_stream(stream, state=state), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    rows = sent.select("chat_id", "seq", "action", "message_id", "text", "cnt").collect()
+    assert sorted([*(tuple(r) for r in rows), *rows_sent(spark, f"{tmp_path}/out")], key=repr) == want
+
+
+def test_a_backlog_of_one_chat_keeps_little_in_memory(spark, messages_of):
+    """A chat of many hours: the state is its last hour, and ids go on."""
+    messages = messages_of([(1, 600 * n, f"message number {n} of {n % 7}") for n in range(200)])
+    sent, state = compact_backlog(messages.repartition(4))
+    kept = state.collect()
+    assert {r.last_id for r in kept} == {sent.filter("action = 'SEND'").count()} == {200}
+    assert 1 <= len(kept) <= 8 and sum(len(r.entries) for r in kept) <= 8
+    nothing, none = compact_backlog(messages.limit(0))
+    assert nothing.count() == none.count() == 0
+
+
+def test_muted_backlogs(spark, messages_of):
+    messages = messages_of([(1, 0, "a"), (1, 10, "b"), (2, 10, "c")])
+    log = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:05' AS ts, 1L AS seq, '1' AS scope, true AS muted")
+    sent, _ = compact_backlog(messages, OPTS, log)
+    assert sorted(r.text for r in sent.collect()) == ["a", "c"]
+
+
+def test_quiet_chats_forget_their_history_but_not_their_ids(spark, messages_of, tmp_path):
+    use_rocksdb(spark)
+
+    def run(second, text):
+        rows = messages_of([(1, second, text)]).withColumn("seq", F.lit(second).cast("long"))
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+        stream = compact_stream(stream, quiet_seconds=4)
+        write_outbox(stream, f"{tmp_path}/out", f"{tmp_path}/cp", idle_runs=False).awaitTermination()
+        sent = spark.read.parquet(f"{tmp_path}/out").filter("action = 'SEND'").orderBy("seq").collect()
+        return sent[-1].message_id, sent[-1].cnt
+
+    assert run(0, "disk 1 full") == (1, 1)
+    assert run(1, "disk 2 full") == (2, 2)
+    time.sleep(5)
+    assert run(2, "disk 3 full") == (3, 1)
+    assert run(3, "disk 4 full") == (4, 2)
