@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertfold.functions.distance import epoch_micros
-from alertfold.functions.templates import pieces_match, template_pieces
+from alertfold.functions.templates import matches
 from alertfold.plans.ordered import HOT_ROWS, previous_rows
 
 _MINUTE = 60_000_000
@@ -26,36 +26,28 @@ def recent_history(
 
     Gives the message's columns plus hist_rank (1 = newest), hist_seq, age_minutes and ``hist_<payload>``.
     """
-    return _history(messages, check_count, max_age_minutes, payload, hot_rows, lambda entry: F.lit(True))
+    names = messages.columns
+    seen = _entries(messages, check_count, max_age_minutes, payload, hot_rows)
+    return seen.select(*names, "hist_rank", "hist_seq", "age_minutes", *[f"hist_{c}" for c in payload])
 
 
-def _history(
-    messages: DataFrame,
-    check_count: int,
-    max_age_minutes: int,
-    payload: Sequence[str],
-    hot_rows: int | None,
-    wanted: Callable[[Column], Column],
+def _entries(
+    messages: DataFrame, check_count: int, max_age_minutes: int, payload: Sequence[str], hot_rows: int | None
 ) -> DataFrame:
-    """Rows of :func:`recent_history` whose entry is ``wanted``. What isn't never leaves the array."""
+    """Rows of :func:`recent_history`. Entries leave their array first, so that age and all filters behind it are
+    compiled; what fails them is never copied."""
     names = messages.columns
     seen = previous_rows(messages, ["chat_id"], ["ts", "seq"], ["ts", "seq", *payload], check_count, "_before", hot_rows)
-
-    def age(entry: Column) -> Column:
-        passed = epoch_micros(messages) - epoch_micros(messages, value=entry["ts"])
-        return F.floor(passed / _MINUTE).cast("long")
-
-    ranked = F.transform(
-        F.reverse("_before"),
-        lambda e, i: F.struct((i + 1).cast("long").alias("rank"), age(e).alias("age"), e.alias("entry")),
-    )
-    young = F.filter(ranked, lambda r: (r["age"] <= max_age_minutes) & wanted(r["entry"]))
-    return seen.select(*names, F.explode(young).alias("_h")).select(
+    entries = seen.select(*names, F.size("_before").alias("_n"), F.posexplode("_before").alias("_i", "_e"))
+    passed = epoch_micros(messages) - epoch_micros(messages, value=F.col("_e.ts"))
+    age = F.floor(passed / _MINUTE).cast("long")
+    young = entries.withColumn("age_minutes", age).filter(F.col("age_minutes") <= max_age_minutes)
+    return young.select(
         *names,
-        F.col("_h.rank").alias("hist_rank"),
-        F.col("_h.entry.seq").alias("hist_seq"),
-        F.col("_h.age").alias("age_minutes"),
-        *[F.col(f"_h.entry.{c}").alias(f"hist_{c}") for c in payload],
+        (F.col("_n") - F.col("_i")).cast("long").alias("hist_rank"),
+        F.col("_e.seq").alias("hist_seq"),
+        "age_minutes",
+        *[F.col(f"_e.{c}").alias(f"hist_{c}") for c in payload],
     )
 
 
@@ -69,25 +61,15 @@ def match_templates(
 
     ``entries(chat_id, ts, seq, text, pattern, cnt)`` is the chat's history in order; ``pattern`` is null
     for single messages. A message meets at most ``check_count`` templates, however many its chat has.
-    Templates are taken apart once, and only tried on texts that begin and end like them.
+    Templates are taken apart and tried only on texts that begin and end like them.
     """
-    pattern, text = F.col("pattern"), F.col("text")
-    prepared = entries.withColumns(
-        {
-            "pieces": template_pieces(pattern),
-            "start": F.substring_index(pattern, "?", 1),
-            "end": F.substring_index(pattern, "?", -1),
-        }
-    )
-
-    def matches(entry: Column) -> Column:
-        likely = F.startswith(text, entry["start"]) & F.endswith(text, entry["end"])
-        return F.when(entry["pattern"].isNotNull() & likely, pieces_match(entry["pieces"], text))
-
-    payload = ["pattern", "cnt", "pieces", "start", "end"]
-    return _history(prepared, check_count, max_age_minutes, payload, hot_rows, matches).select(
+    seen = _entries(entries, check_count, max_age_minutes, ["pattern", "cnt"], hot_rows)
+    pattern, text = F.col("hist_pattern"), F.col("text")
+    likely = F.startswith(text, F.substring_index(pattern, "?", 1)) & F.endswith(text, F.substring_index(pattern, "?", -1))
+    hopeful = seen.filter(pattern.isNotNull() & likely).select(
         "chat_id", "seq", "text", "hist_rank", "hist_seq", "hist_pattern", "hist_cnt"
     )
+    return hopeful.filter(matches(pattern, text))
 
 
 def merged_counts(matched: DataFrame) -> DataFrame:

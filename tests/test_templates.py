@@ -82,3 +82,13 @@ def test_ambiguous_templates_end_soon(spark):
     assert not text_matches(template, text)
     df = spark.createDataFrame([(template, text), (" ?" * 60, text)], "a string, b string")
     assert [r[0] for r in df.select(matches(F.col("a"), F.col("b"))).collect()] == [False, True]
+
+
+def test_literals_that_look_like_patterns(spark):
+    literals = ["a\\E", "\\Q(", "$b", "[0-9]", "\\", "x\ny", "\\E\\E"]
+    rows = [(f"{a}?{b}??", f"{a}{x}{b}{y}") for a in literals for b in literals for x in ("7", "z", "") for y in ("12345", "é!", "")]
+    rows += [(a, b) for a in literals for b in literals] + [("?", "7\n"), ("7", "7\n"), (None, "a"), ("a", None), ("", "")]
+    frame = spark.createDataFrame(rows, "template string, text string")
+    found = frame.select("*", matches(F.col("template"), F.col("text")).alias("ok")).collect()
+    for r in found:
+        assert bool(r.ok) == (r.template is not None and r.text is not None and text_matches(r.template, r.text)), r
