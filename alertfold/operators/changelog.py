@@ -1,4 +1,8 @@
-"""State changes applied to tables: every log is reduced to one row per id before it meets the table."""
+"""State changes applied to tables: every log is reduced to one row per id before it meets the table.
+
+A small log is broadcast, so that the table is not moved; :mod:`alertfold.sources.tables` keeps tables of which only
+the touched part is read and rewritten.
+"""
 
 from __future__ import annotations
 
@@ -9,21 +13,42 @@ WINDOW_SECONDS = 86_400  # a maintenance lasts a day from its creation or renewa
 PERIOD_SECONDS = 3_600  # with one period of an hour
 ONE_TIME_PERIOD = 0
 ACKNOWLEDGE, MESSAGE = 2, 4  # bits of an event action
+MAX_BROADCAST_ROWS = 200_000
+
+
+def _few(changes: DataFrame, max_rows: int) -> bool:
+    """Whether the changes may be broadcast: they are counted, and cheap to make twice beside the table."""
+    return changes.limit(max_rows + 1).count() <= max_rows
+
+
+def _met(base: DataFrame, changes: DataFrame, key: str, max_rows: int) -> DataFrame:
+    """Every row of the table with the change of its key, if any. Few changes go to the table, which stays."""
+    return base.join(F.broadcast(changes) if _few(changes, max_rows) else changes, key, "left")
+
+
+def _met_by_all(base: DataFrame, changes: DataFrame, key: str, max_rows: int) -> DataFrame:
+    """The same, and the changes of keys that the table has not."""
+    if not _few(changes, max_rows):
+        return base.join(changes, key, "full")
+    known = base.select(key).join(F.broadcast(changes.select(key)), key, "left_semi")
+    new = changes.join(F.broadcast(known.distinct()), key, "left_anti")
+    return base.join(F.broadcast(changes), key, "left").unionByName(new, allowMissingColumns=True)
 
 
-def apply_maintenance_log(base: DataFrame, log: DataFrame) -> DataFrame:
+def apply_maintenance_log(base: DataFrame, log: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Maintenances after a log of creates, renewals and deletes.
 
     ``base(maintenanceid, name, active_since, active_till, groupids, timeperiods)``,
     ``log(ts, seq, op, maintenanceid, name, groupid)`` with op create, renew or delete. A renewal only
-    counts while the maintenance exists: not after a delete.
+    counts while the maintenance exists: not after a delete. Changes of up to ``max_rows`` ids, here and below,
+    are sent to the table, which then does not move.
     """
     at = F.struct("ts", "seq")
     is_life = F.col("op").isin("create", "delete")
     life = F.max(F.when(is_life, F.struct("ts", "seq", "op", "name", "groupid"))).alias("life")
     renewed = F.max(F.when(F.col("op") == "renew", at)).alias("renewed")
     changes = log.groupBy("maintenanceid").agg(life, renewed)
-    both = base.withColumn("_known", F.lit(True)).join(changes, "maintenanceid", "full")
+    both = _met_by_all(base.withColumn("_known", F.lit(True)), changes, "maintenanceid", max_rows)
 
     created = F.coalesce(F.col("life.op") == "create", F.lit(False))
     alive = created | (F.col("life").isNull() & F.col("_known"))
@@ -48,16 +73,16 @@ def apply_maintenance_log(base: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
-def apply_ack_log(events: DataFrame, acks: DataFrame) -> DataFrame:
+def apply_ack_log(events: DataFrame, acks: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Events with acknowledgements applied. ``acks(eventid, mask)``; bit 2 acknowledges."""
     masks = acks.groupBy("eventid").agg(F.bit_or("mask").alias("_mask"))
     marked = F.coalesce(F.col("_mask").bitwiseAND(ACKNOWLEDGE) != 0, F.lit(False))
-    joined = events.join(masks, "eventid", "left")
+    joined = _met(events, masks, "eventid", max_rows)
     return joined.withColumn("acknowledged", F.col("acknowledged") | marked).drop("_mask")
 
 
-def apply_action_log(actions: DataFrame, log: DataFrame) -> DataFrame:
+def apply_action_log(actions: DataFrame, log: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Actions with the last logged status of each. ``log(ts, seq, actionid, status)``."""
     last = log.groupBy("actionid").agg(F.max_by("status", F.struct("ts", "seq")).alias("_status"))
-    joined = actions.join(last, "actionid", "left")
+    joined = _met(actions, last, "actionid", max_rows)
     return joined.withColumn("status", F.coalesce("_status", "status")).drop("_status")

@@ -38,7 +38,7 @@ EITHER_VERBS = ["action.enable", "action.disable"]
 # Verbs that switch sending.
 SENDING_VERBS = ["action.stopall", "action.startall", "action.stopchat", "action.startchat"]
 
-NOTIFY_SLOTS = 64
+NOTIFY_SLOTS, FEW_CHATS = 64, 500
 
 
 def _known(verb: Column, count: Column) -> Column:
@@ -117,10 +117,15 @@ def audit_log(commands: DataFrame, actions: DataFrame, chats: DataFrame) -> Data
 def fan_out(audit: DataFrame, notify_chats: DataFrame) -> DataFrame:
     """Every audit text once for each chat to notify: notify_chat_id, seq, audit_text.
 
-    Chats are dealt to slots, and each text goes once to every slot that has chats; any number of chats will do.
+    Up to FEW_CHATS chats are a list that every text is multiplied with where it is. More are dealt to slots, and
+    each text goes once to every slot: that is little beside the rows it then gives.
     """
     chat = F.col("chat_id").cast("long")
     chats = notify_chats.select(chat.alias("notify_chat_id")).distinct()
+    few = [r[0] for r in chats.limit(FEW_CHATS + 1).collect()]
+    if len(few) <= FEW_CHATS:
+        each = F.explode(F.array(*[F.lit(c) for c in few]).cast("array<bigint>")).alias("notify_chat_id")
+        return audit.select(each, "seq", "audit_text")
     placed = chats.withColumn("_slot", F.pmod(F.xxhash64("notify_chat_id"), F.lit(NOTIFY_SLOTS)).cast("int"))
     slots = F.sequence(F.lit(0), F.lit(NOTIFY_SLOTS - 1))
     texts = audit.select("seq", "audit_text", F.explode(slots).alias("_slot"))

@@ -17,14 +17,15 @@ def paginate(
     size: int = 5,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Add ``rn``, ``page`` (from 0) and ``pages`` per list. The order must be unique within a list."""
-    placed = numbered(df, keys, order, "rn", hot_rows).withColumn(
-        "page", F.floor((F.col("rn") - 1) / size).cast("long")
-    )
-    if not keys:
-        return placed.withColumn("pages", F.lit(-(-df.count() // size)).cast("long"))
-    pages = F.ceil(F.count(F.lit(1)) / size).cast("long").alias("pages")
-    return placed.join(df.groupBy(*keys).agg(pages), list(keys))
+    """Add ``rn``, ``page`` (from 0) and ``pages`` per list. The order must be unique within a list.
+
+    Places and page counts come from one pass over the sorted rows; only the search for lists too long for a task
+    reads the keys once more. The one list without keys is counted and numbered by its parts.
+    """
+    placed = numbered(df, keys, order, "rn", hot_rows, "_total")
+    page = F.floor((F.col("rn") - 1) / size).cast("long")
+    pages = F.ceil(F.col("_total") / size).cast("long")
+    return placed.withColumns({"page": page, "pages": pages}).drop("_total")
 
 
 def chunk(

@@ -82,16 +82,18 @@ def _with_carry(hot: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFr
     return hot.join(F.broadcast(side), same, "left").drop("_carry_part", *[f"_carry_{k}" for k in keys])
 
 
-def _number_parts(hot: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+def _number_parts(
+    hot: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, total: str | None = None
+) -> DataFrame:
     sizes = hot.groupBy(*keys, _PART).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sizes.withColumn("_carry", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    earlier = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    whole = F.sum("_n").over(Window.partitionBy(*keys))
+    carry = sizes.withColumn("_carry", F.struct(earlier.alias("earlier"), whole.alias("whole")))
     local = F.row_number().over(Window.partitionBy(*keys, _PART).orderBy(*order))
-    return (
-        _with_carry(hot.withColumn(out, local.cast("long")), carry, keys)
-        .withColumn(out, F.col(out) + F.col("_carry"))
-        .drop(_PART, "_carry")
-    )
+    carried = _with_carry(hot.withColumn(out, local.cast("long")), carry, keys)
+    counts = {out: F.col(out) + F.col("_carry.earlier")} | ({} if total is None else {total: F.col("_carry.whole")})
+    return carried.withColumns(counts).drop(_PART, "_carry")
 
 
 def numbered(
@@ -100,13 +102,19 @@ def numbered(
     order: Sequence[str],
     out: str = "rn",
     hot_rows: int | None = HOT_ROWS,
+    total: str | None = None,
 ) -> DataFrame:
-    """Add ``out``: 1, 2, ... per key in the given order. The order must be unique within a key."""
+    """Add ``out``: 1, 2, ... per key in the given order, and ``total``, if named: the rows of the key.
+
+    The order must be unique within a key. Both come from the same pass over the sorted rows.
+    """
     cold, hot = split_hot(df, keys, order, hot_rows)
     if cold is not None:
         cold = cold.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+        if total is not None:
+            cold = cold.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     if hot is not None:
-        hot = _number_parts(hot, keys, order, out)
+        hot = _number_parts(hot, keys, order, out, total)
     return _merge(cold, hot)
 
 

@@ -144,6 +144,31 @@ _AUDIT = f"""{_PARSED},
                OR (verb IN ('action.enable', 'action.disable') AND len(args) > 0)))"""
 
 
+_MAINTAINED = _over(
+    """, created AS (SELECT maintenanceid, max((ts, seq)) AS at, arg_max(name, (ts, seq)) AS name,
+                            arg_max(groupid, (ts, seq)) AS groupid
+                     FROM maintenance_log WHERE op = 'create' GROUP BY ALL),
+         deleted AS (SELECT maintenanceid, max((ts, seq)) AS at FROM maintenance_log WHERE op = 'delete' GROUP BY ALL),
+         renewed AS (SELECT maintenanceid, max((ts, seq)) AS at FROM maintenance_log WHERE op = 'renew' GROUP BY ALL),
+         alive AS (
+             SELECT c.maintenanceid, c.name, c.groupid, c.at AS at, NULL AS since, NULL AS till
+             FROM created c LEFT JOIN deleted d USING (maintenanceid) WHERE d.at IS NULL OR d.at < c.at
+             UNION ALL
+             SELECT m.maintenanceid, m.name, m.groupid, NULL, active_since, active_till FROM maintenances m
+             WHERE maintenanceid NOT IN (SELECT maintenanceid FROM deleted)
+               AND maintenanceid NOT IN (SELECT maintenanceid FROM created)),
+         started AS (
+             SELECT a.*, CASE WHEN r.at IS NOT NULL AND (a.at IS NULL OR r.at > a.at) THEN r.at[1]
+                              ELSE a.at[1] END AS start
+             FROM alive a LEFT JOIN renewed r USING (maintenanceid))
+       SELECT maintenanceid, name, coalesce(start, since) AS active_since,
+              coalesce(start + INTERVAL 1 DAY, till) AS active_till, groupid,
+              CASE WHEN start IS NOT NULL THEN 3600 END AS period, start AS period_start
+       FROM started""",
+    "maintenances",
+    "maintenance_log",
+)
+
 ORACLES = {
     "assign_boxes": _over(f"SELECT {_BOX}, pos, seq FROM ({_boxed('alerts')})", "alerts"),
     "batch_gate": _over(
@@ -267,30 +292,8 @@ ORACLES = {
         "screens",
         "screen_items",
     ),
-    "apply_maintenance_log": _over(
-        """, created AS (SELECT maintenanceid, max((ts, seq)) AS at, arg_max(name, (ts, seq)) AS name,
-                                arg_max(groupid, (ts, seq)) AS groupid
-                         FROM maintenance_log WHERE op = 'create' GROUP BY ALL),
-             deleted AS (SELECT maintenanceid, max((ts, seq)) AS at FROM maintenance_log WHERE op = 'delete' GROUP BY ALL),
-             renewed AS (SELECT maintenanceid, max((ts, seq)) AS at FROM maintenance_log WHERE op = 'renew' GROUP BY ALL),
-             alive AS (
-                 SELECT c.maintenanceid, c.name, c.groupid, c.at AS at, NULL AS since, NULL AS till
-                 FROM created c LEFT JOIN deleted d USING (maintenanceid) WHERE d.at IS NULL OR d.at < c.at
-                 UNION ALL
-                 SELECT m.maintenanceid, m.name, m.groupid, NULL, active_since, active_till FROM maintenances m
-                 WHERE maintenanceid NOT IN (SELECT maintenanceid FROM deleted)
-                   AND maintenanceid NOT IN (SELECT maintenanceid FROM created)),
-             started AS (
-                 SELECT a.*, CASE WHEN r.at IS NOT NULL AND (a.at IS NULL OR r.at > a.at) THEN r.at[1]
-                                  ELSE a.at[1] END AS start
-                 FROM alive a LEFT JOIN renewed r USING (maintenanceid))
-           SELECT maintenanceid, name, coalesce(start, since) AS active_since,
-                  coalesce(start + INTERVAL 1 DAY, till) AS active_till, groupid,
-                  CASE WHEN start IS NOT NULL THEN 3600 END AS period, start AS period_start
-           FROM started""",
-        "maintenances",
-        "maintenance_log",
-    ),
+    "apply_maintenance_log": _MAINTAINED,
+    "update_table": _MAINTAINED,
     "apply_ack_log": _over(
         """SELECT eventid, objectid, clock, value,
                   acknowledged OR eventid IN (SELECT eventid FROM acks WHERE mask & 2 <> 0) AS acknowledged

@@ -17,7 +17,7 @@ from alertfold.operators import boxes, changelog, commands, folding, grouping, h
 from alertfold.operators import paging, replies, similarity
 from alertfold.options import Options
 from alertfold.plans.storage import scratch_path
-from alertfold.sources import api_dump, queue, spool
+from alertfold.sources import api_dump, queue, spool, tables
 from alertfold.sources.outbox import write_outbox as write_outbox_of
 from alertfold.streaming import mutes as live
 from alertfold.streaming import online, run, sender
@@ -278,12 +278,29 @@ def with_names(i: Inputs) -> DataFrame:
 # state changes
 
 
-@query
-def apply_maintenance_log(i: Inputs) -> DataFrame:
-    base = i.maintenances.withColumn("groupids", F.array("groupid")).withColumn(
+def maintenances_of(i: Inputs) -> DataFrame:
+    return i.maintenances.select("maintenanceid", "name", "active_since", "active_till", F.array("groupid").alias("groupids")).withColumn(
         "timeperiods", F.array().cast("array<struct<timeperiod_type:int,period:int,start_date:timestamp_ntz>>")
     )
-    now = changelog.apply_maintenance_log(base, i.maintenance_log)
+
+
+@query
+def apply_maintenance_log(i: Inputs) -> DataFrame:
+    return maintained(changelog.apply_maintenance_log(maintenances_of(i), i.maintenance_log))
+
+
+@query
+def update_table(i: Inputs) -> DataFrame:
+    """The same through a table in buckets, the log in two parts."""
+    path = scratch_path(i.spark, "maintenances")
+    tables.write_table(maintenances_of(i), path, "maintenanceid", buckets=16)
+    first = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    for part in (first, ~first):
+        tables.update_table(i.spark, path, i.maintenance_log.filter(part), changelog.apply_maintenance_log)
+    return maintained(tables.read_table(i.spark, path))
+
+
+def maintained(now: DataFrame) -> DataFrame:
     period = F.get("timeperiods", F.lit(0))
     return now.select(
         "maintenanceid",

@@ -83,3 +83,9 @@ def test_aggregates_combine_before_they_move(inputs):
     text = plan(registry.QUERIES["latest_event"](inputs))
     assert text.count("HashAggregate") + text.count("SortAggregate") >= 2
     assert moves(registry.QUERIES["latest_event"](inputs)) == 1
+
+
+def test_pages_come_from_one_scan(inputs):
+    """One of triggers and one of their events; the problems themselves are computed once."""
+    text = plan(registry.QUERIES["paginate_problems"](inputs))
+    assert text.count("FileScan parquet") == 2 and text.count("WindowGroupLimit") == 0
