@@ -38,3 +38,8 @@ def sample(rows: DataFrame, per_class: int) -> DataFrame:
 def class_sizes(rows: DataFrame) -> tuple[int, int]:
     found = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     return found.get(0, 0), found.get(1, 0)
+
+
+def texts_of(rows: DataFrame) -> DataFrame:
+    """(text, label): one row for each doc_id of rows (doc_id, text, label), with its smallest text."""
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")

@@ -193,8 +193,8 @@ def fit(
 ) -> Network | float:
     """Learn from ``docs`` (doc_id, text) and ``rows`` (doc_id, label).
 
-    At most ``per_class`` rows of each class and ``chunks`` chunks of each reach the driver. Classes weigh as in
-    ``rows``. Without rows of both classes the result is a fixed score: that of the class there is, or 0.5.
+    At most ``per_class`` rows of each class and ``chunks`` chunks of each reach the driver: where ``docs`` repeats a
+    doc_id, the smallest of its texts. Classes weigh as in ``rows``. Without rows of both classes the result is a fixed score: that of the class there is, or 0.5.
     """
     short_batches(docs)
     sizes = labelled.class_sizes(rows)
@@ -214,7 +214,7 @@ def fit(
             ]
             yield pa.RecordBatch.from_arrays(columns, ["label", "share", "length", "data"])
 
-    chosen = joined(docs.select("doc_id", "text"), labelled.sample(rows, per_class), ["doc_id"], "inner")
+    chosen = labelled.texts_of(joined(docs.select("doc_id", "text"), labelled.sample(rows, per_class), ["doc_id"], "inner"))
     cuts = chosen.select(F.struct("text").alias("row"), "label").mapInArrow(
         cut, "label int, share double, length int, data binary"
     )
@@ -233,7 +233,8 @@ def fit(
 def score(docs: DataFrame, model: Network | float) -> DataFrame:
     """Per row of ``docs``: row (all its columns) and ``score``, the probability of label 1.
 
-    Whole texts count; null is scored as empty. Rows are independent; nothing is shuffled.
+    Whole texts count, very long ones too; null is scored as empty. Rows are independent, repeated ones get equal
+    scores; nothing is shuffled. An empty table gives none.
     """
     rows = as_rows(docs)
     given = docs.sparkSession.sparkContext.broadcast(model)

@@ -139,8 +139,9 @@ def fit(
 ) -> Model:
     """Learn from ``docs`` (doc_id, text) and ``rows`` (doc_id, label).
 
-    Counts take all rows, the weights at most ``per_class`` rows of each class. What reaches the driver is bounded
-    by ``max_features`` and ``per_class``. Without rows of both classes every text gets their share of label 1, or
+    Counts take all rows, the weights at most ``per_class`` rows of each class (the smallest text of a doc_id that
+    ``docs`` repeats) and the ``max_features`` slots that tell the classes apart best, of those with a chi-squared
+    score of MIN_SCORE at least. What reaches the driver is bounded by ``max_features`` and ``per_class``. Without rows of both classes every text gets their share of label 1, or
     0.5 without any row.
     """
     short_batches(docs)
@@ -168,7 +169,7 @@ def fit(
             lists = pa.ListArray.from_arrays(cuts, pa.array(slot.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("label"), lists], ["label", "slots"])
 
-    chosen = joined(docs.select("doc_id", "text"), labelled.sample(rows, per_class), ["doc_id"], "inner")
+    chosen = labelled.texts_of(joined(docs.select("doc_id", "text"), labelled.sample(rows, per_class), ["doc_id"], "inner"))
     seen = chosen.select(F.struct("text").alias("row"), "label").mapInArrow(extract, "label int, slots array<int>")
     table = seen.toArrow().combine_chunks()
     label = table.column("label").to_numpy()
@@ -186,7 +187,8 @@ def fit(
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of ``docs``: row (all its columns) and ``score``, the probability of label 1.
 
-    Whole texts count; null and empty texts have no features. Rows are independent; nothing is shuffled.
+    Whole texts count, very long ones too; null and empty texts have no features. Rows are independent, repeated
+    ones get equal scores; nothing is shuffled. An empty table gives none.
     """
     rows = as_rows(docs)
     given = docs.sparkSession.sparkContext.broadcast(model)
