@@ -257,7 +257,7 @@ def _links_by_order(sets: DataFrame) -> DataFrame:
     """
     keyed = sets.select("node", "size", F.posexplode("keys").alias("order", "smallest"))
     sizes = keyed.groupBy("order", "smallest").agg(F.count(F.lit(1)).alias("_sets"), F.sum("size").alias("_elements"))
-    shared = keyed.join(sizes.filter("_sets > 1"), ["order", "smallest"])
+    shared = joined(keyed, checkpointed(sizes.filter("_sets > 1")), ["order", "smallest"], "inner")
     block = F.pmod(F.xxhash64("node", "order"), _parts(F.col("_sets"), F.col("_elements")))
     placed = shared.select("node", F.xxhash64("order", "smallest", block).alias("group"))
     groups = checkpointed(placed.groupBy("node").agg(F.collect_list("group").alias("groups")))
