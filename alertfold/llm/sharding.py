@@ -7,12 +7,13 @@ part of the same digest; they are counted over digest prefixes, so no shard is s
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_CELL = 50_000
 _MULTIPLIER = np.uint64(2862933555777941757)
@@ -32,16 +33,18 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def shard_of(key: Column, shards: int) -> Column:
-    """Jump hash of a string key; null counts as the empty string."""
+def shards_of(key: Column, counts: Sequence[int]) -> Column:
+    """Jump hashes of a string key, an array with one for each number of shards; null counts as the empty string."""
 
-    @F.pandas_udf("int")
-    def place(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series(jump(part.to_numpy(np.int64), shards).astype(np.int32))
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def places(parts: pa.Array) -> pa.Array:
+        keys = parts.to_numpy(zero_copy_only=False).astype(np.int64)
+        found = np.stack([jump(keys, n) for n in counts], axis=1).astype(np.int32)
+        cuts = np.arange(len(keys) + 1, dtype=np.int32) * len(counts)
+        return pa.ListArray.from_arrays(pa.array(cuts), pa.array(found.ravel()))
 
     digest = F.md5(F.coalesce(key.cast("string"), F.lit("")))
-    return place(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    return places(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
 
 
 def with_slots(rows: DataFrame, shard: str, order: list[str], total: int) -> DataFrame:
@@ -75,13 +78,14 @@ def into_shards(docs: DataFrame, shards: int) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     text = F.xxhash64("text")
     own = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard")]
-    placed = docs.select(
+    hashed = docs.select(
         F.struct(*own).alias("row"),
-        shard_of(F.col("doc_id"), shards).alias("shard"),
-        shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"),
+        shards_of(F.col("doc_id"), (shards, shards + 1)).alias("places"),
         F.md5(F.concat_ws(":", key, text.cast("string"))).alias("digest"),
         F.col("doc_id").cast("string").alias("key"),
         text.alias("text"),
     )
+    shard = {"shard": F.get("places", F.lit(0)), "grown_shard": F.get("places", F.lit(1))}
+    placed = hashed.withColumns(shard).drop("places")
     slotted = with_slots(placed, "shard", ["digest", "key", "text"], docs.count())
     return slotted.select("row.*", "shard", "slot", "grown_shard")
