@@ -20,6 +20,12 @@ from alertfold.llm.wordstream import as_rows
 
 # fixed values: phrases of the contract and their labels
 BASE_PHRASES = {
+    "under the mit license": "mit",
+    "apache license version 2": "apache-2",
+    "cc by nc": "cc-by-nc",
+}
+# fixed values: names of licenses, where the caller has no phrases of their own
+NAMES = {
     "the mit license": "mit",
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
@@ -141,7 +147,7 @@ class Scanner:
 _PLACE = pa.struct([("label", pa.string()), ("base", pa.bool_()), ("first", pa.int64()), ("last", pa.int64())])
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = BASE_PHRASES) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = NAMES) -> DataFrame:
     """Per row of ``docs``: row (all its columns), n_words, places, score.
 
     ``places`` are all matches: label, whether it is a base phrase, first and last word from 0. ``score`` is

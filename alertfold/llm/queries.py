@@ -36,7 +36,8 @@ def _labels(only_base: bool):
 @query
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.transform(F.filter("places", lambda p: p["base"]), lambda p: p["first"])
-    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs, phrases=license_scan.BASE_PHRASES).select(
         "row.doc_id",
         "n_words",
         F.size(base).cast("long").alias("n_base"),

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from alertfold.deploy import ship
 from alertfold.llm import components, decontaminate, jaccard, labelled, license_scan, mixing, neighbours
-from alertfold.llm import quality, sharding, substring_dedup, toxicity, warc
+from alertfold.llm import quality, queries, sharding, substring_dedup, toxicity, warc
 from alertfold.llm.signature_tree import SignatureTree
 
 
@@ -63,6 +64,30 @@ def test_base_phrases_overlap_and_count_every_place(spark):
     assert [(p.label, p.first) for p in row.places if p.base] == [("mit", 6), ("cc-by-nc", 0), ("cc-by-nc", 3)]
 
 
+def test_the_query_takes_the_phrases_of_its_contract(spark, tmp_path):
+    """Against a plain rule, on texts with odd characters around and within the words of the phrases."""
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    draw = random.Random(5)
+    parts = [*" ".join(phrases).split(), *(phrases | {"the mit license": ""}), "x", "MIT\u212a", "\u0130", "\U0001f600"]
+    joints = [" ", ", ", "\n", "\x00", "\x7f", "-", "_", "\u00a0", ""]
+    texts = ["see the mit license", "under the MIT License", "UNDER the\tmit license under the mit license", "", None]
+    texts += ["".join(draw.choice(parts) + draw.choice(joints) for _ in range(draw.randrange(40))) for _ in range(300)]
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    for row in queries.QUERIES["op1_license_scan"](spark, str(tmp_path)).collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (texts[row.doc_id] or "").translate(lower))
+        spots = [
+            (at, label)
+            for phrase, label in phrases.items()
+            for at in range(len(words))
+            if words[at : at + phrase.count(" ") + 1] == phrase.split()
+        ]
+        starts = [at for at, _ in spots] or [None]
+        assert (row.n_words, row.n_base) == (len(words), len(spots))
+        assert (row.first_word, row.last_word) == (min(starts), max(starts))
+        assert row.base_labels == ",".join(sorted({label for _, label in spots}))
+
+
 def test_a_template_must_be_well_formed():
     for bad in ("<<optional>> a <<end>> b", "a <<optional>> b", "<<any 3>>"):
         with pytest.raises(ValueError):
