@@ -70,27 +70,50 @@ class History:
             self.loaded[number] = [e for e in self.loaded[number] if e.message_id != message_id]
             self.changed.add(number)
 
+    def _newest(self) -> int | None:
+        return next((b[-1].micros for b in map(self._bucket, reversed(self.buckets)) if b), None)
+
+    def forget(self, micros: int) -> None:
+        """Within a run whose messages come in order, up to a time so far: forget what no later one can see, and
+        what ``settle`` would forget."""
+        newest = self._newest()
+        if newest is not None:
+            self._drop(self._oldest(min(newest, micros)))
+
     def settle(self) -> None:
         """Forget what is too old beside the newest entry, and write the buckets that have changed."""
-        newest = next((b[-1].micros for b in map(self._bucket, reversed(self.buckets)) if b), None)
+        newest = self._newest()
         if newest is not None:
-            self.cut = max(self.cut, newest - (self.opts.history_max_age_minutes + 1) * MINUTE)
+            self.cut = max(self.cut, self._oldest(newest))
+        self._drop(self.cut)
+        for number in self.changed:
+            rows = [(e.message_id, e.text, e.micros, e.pattern, e.cnt) for e in self.loaded[number]]
+            self.store.save(number, rows)
+            self.saved.add(number)
+        self.changed = set()
+
+    def _oldest(self, micros: int) -> int:
+        """The last time that is too old beside one."""
+        return micros - (self.opts.history_max_age_minutes + 1) * MINUTE
+
+    def _drop(self, cut: int) -> None:
+        """Drop entries up to a time, and buckets without any."""
         kept = []
         for number in self.buckets:
-            gone = (number + 1) * MINUTE <= self.cut + 1
+            gone = (number + 1) * MINUTE <= cut + 1
             if number in self.loaded:
-                self.loaded[number] = [e for e in self.loaded[number] if e.micros > self.cut]
+                entries = self.loaded[number]
+                self.loaded[number] = [e for e in entries if e.micros > cut]
+                for e in entries if len(entries) > len(self.loaded[number]) else ():
+                    if e.micros <= cut:
+                        del self.home[e.message_id]
                 gone = gone or not self.loaded[number]
             if not gone:
                 kept.append(number)
-                if number in self.changed:
-                    rows = [(e.message_id, e.text, e.micros, e.pattern, e.cnt) for e in self.loaded[number]]
-                    self.store.save(number, rows)
-                    self.saved.add(number)
                 continue
             self.loaded.pop(number, None)
+            self.changed.discard(number)
             if number in self.saved:
                 self.store.drop(number)
                 self.saved.remove(number)
         self.buckets = kept
-        self.changed = set()

@@ -10,14 +10,22 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from math import inf
+from pickle import dump, load
+from tempfile import SpooledTemporaryFile
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from alertfold.functions.distance import epoch_micros
 from alertfold.operators.mutes import ALL_CHATS
+from alertfold.streaming.packs import RUN_BYTES, frame, packed, rows_of, unpacked
+
+if TYPE_CHECKING:
+    import pandas as pd
 
 SLOTS, SPREAD = 256, 8
 DAY = 86_400
@@ -53,23 +61,39 @@ class MuteGate(StatefulProcessor):
         held = self.log.getValue((scope,)) if self.log.containsKey((scope,)) else None
         return [tuple(e) for e in held[0]] if held else []
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        messages: list[Row] = []
-        commands: dict[str, Timeline] = {}
-        for row in rows:
-            if row.muted is None:
-                messages.append(row)
-            else:
-                commands.setdefault(row.scope, []).append((row.micros, row.seq, row.muted))
-        known: dict[str, Timeline] = {}
-        for scope, new in commands.items():
-            known[scope] = line = sorted({*self._timeline(scope), *new})
-            self.log.updateValue((scope,), (forget(line, line[-1][0] - self.keep_micros),))
-        for scope in {ALL_CHATS, *(m.scope for m in messages)} - set(known) if messages else ():
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        """Packs of commands have a scope. Those of messages wait, in a file where they are many, until all
+        commands are known."""
+        commands: dict[str, set[tuple[int, int, bool]]] = {}
+        with SpooledTemporaryFile(max_size=RUN_BYTES) as waiting:
+            count = 0
+            for part in rows:
+                for scope, pack in zip(part["scope"], part["pack"]):
+                    if scope:
+                        for batch in rows_of(pack):
+                            commands.setdefault(scope, set()).update(zip(*(c.to_pylist() for c in batch.columns)))
+                    else:
+                        dump(pack, waiting)
+                        count += 1
+            known: dict[str, Timeline] = {}
+            for scope, new in commands.items():
+                known[scope] = line = sorted(new.union(self._timeline(scope)))
+                self.log.updateValue((scope,), (forget(line, line[-1][0] - self.keep_micros),))
+            waiting.seek(0)
+            for _ in range(count):
+                for batch in rows_of(load(waiting)):
+                    heard = self._heard(batch, known)
+                    if heard.num_rows:
+                        yield frame(heard)
+
+    def _heard(self, messages: pa.RecordBatch, known: dict[str, Timeline]) -> pa.RecordBatch:
+        scopes = messages.column("scope").to_pylist()
+        for scope in {ALL_CHATS, *scopes} - set(known):
             known[scope] = self._timeline(scope)
-        for message in messages:
-            if not (muted_at(known[ALL_CHATS], message.micros) or muted_at(known[message.scope], message.micros)):
-                yield Row(row=message.row)
+        everyone = known[ALL_CHATS]
+        times = messages.column("micros").to_pylist()
+        told = [not (muted_at(everyone, at) or muted_at(known[scope], at)) for scope, at in zip(scopes, times)]
+        return messages.select(["row"]).filter(pa.array(told, pa.bool_()))
 
     def close(self) -> None:
         pass
@@ -100,8 +124,6 @@ def hear(
         _slot(home, F.pmod(F.xxhash64(payload), F.lit(spread)), slots),
         F.coalesce(F.col("chat_id").cast("string"), F.lit("")).alias("scope"),
         epoch_micros(messages).alias("micros"),
-        F.lit(0).cast("long").alias("seq"),
-        F.lit(None).cast("boolean").alias("muted"),
         payload.alias("row"),
     )
     everyone = F.col("scope") == ALL_CHATS
@@ -109,14 +131,12 @@ def hear(
     whole = mute_log.withColumn("scope", scope).dropna(subset=["ts", "seq", "scope", "muted"])
     scope_home = F.pmod(F.xxhash64("scope"), F.lit(slots))
     steps = F.sequence(F.lit(0), F.when(everyone, F.lit(slots - 1)).otherwise(F.lit(spread - 1)))
-    commands = whole.select("*", F.explode(steps).alias("step")).select(
-        _slot(F.when(everyone, F.lit(0)).otherwise(scope_home), F.col("step"), slots),
-        "scope",
-        epoch_micros(mute_log).alias("micros"),
-        F.col("seq").cast("long").alias("seq"),
-        "muted",
-        F.lit(None).cast(told.schema["row"].dataType).alias("row"),
+    entries = whole.select("scope", epoch_micros(whole).alias("micros"), F.col("seq").cast("long").alias("seq"), "muted")
+    # packs of commands go to the slots, not each command
+    commands = packed(entries, "scope").select("*", F.explode(steps).alias("step")).select(
+        _slot(F.when(everyone, F.lit(0)).otherwise(scope_home), F.col("step"), slots), "scope", "pack"
     )
-    out = T.StructType([T.StructField("row", T.StructType([T.StructField(n, types[n]) for n in messages.columns]))])
-    heard = told.unionByName(commands).groupBy("slot").transformWithState(MuteGate(keep_seconds), out, "Append", "None")
-    return heard.select("row.*")
+    both = packed(told, "slot").withColumn("scope", F.lit("")).unionByName(commands)
+    row = T.StructType([T.StructField("row", T.StructType([T.StructField(n, types[n]) for n in messages.columns]))])
+    gated = both.groupBy("slot").transformWithStateInPandas(MuteGate(keep_seconds), "pack binary", "Append", "None")
+    return unpacked(gated, row).select("row.*")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import groupby, islice
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,15 +19,18 @@ from alertfold.plans.ordered import shuffle_tasks
 from alertfold.plans.storage import scratch_path
 from alertfold.streaming.history import BEGIN, ENTRIES, History
 from alertfold.streaming.mutes import hear
+from alertfold.streaming.packs import frame, in_order, packed, rows_of, unpacked
 from alertfold.streaming.rules import Entry, decide
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 OUTBOX = (
     "chat_id bigint, seq bigint, action string, message_id int, text string,"
     " is_group boolean, pattern string, cnt int"
 )
 _STATE_ONLY = f"last_id int, cut bigint, bucket bigint, {ENTRIES}"
 _FIELDS = [field.split()[0] for field in OUTBOX.split(", ")]
-_ROW = Row(*_FIELDS)
 _ROWS_AT_ONCE = 2_000
 _ENTRY_NAMES = ["message_id", "text", "micros", "pattern", "cnt"]
 _ENTRY = pa.struct(zip(_ENTRY_NAMES, [pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int32()]))
@@ -51,8 +55,9 @@ class OnlineCompaction(StatefulProcessor):
     """State per chat: the sent messages young enough to matter, by minute, and the last message id given out.
 
     Decisions of a chat depend on each other, so a chat is one sequence; chats run in parallel. The rows of
-    one call are those of one chat in one trigger, which the source's trigger limit bounds. A run reads the
-    newest minutes as far as decisions look and writes the minutes it has changed, however long the history is.
+    one call are those of one chat in one trigger; they come and go in packs and are sorted through files, so that
+    no more than the recent history is held. A run reads the newest minutes as far as decisions look and writes the
+    minutes it has changed, however long the history is.
     """
 
     def __init__(self, opts: Options, quiet_seconds: int | None = None) -> None:
@@ -83,30 +88,35 @@ class OnlineCompaction(StatefulProcessor):
     def _is_quiet(self, seen: int, timerValues: object) -> bool:
         return self.quiet_ms is not None and seen + self.quiet_ms <= timerValues.getCurrentProcessingTimeInMs()
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         last_id, cut, seen, buckets = self._index()
         if self._is_quiet(seen, timerValues):  # and its timer has not fired yet
             self.minutes.clear()
             buckets = []
         history = History(self, buckets, cut, last_id, self.opts)
-        messages = sorted(((r.micros, r.seq, r.text) for r in rows), key=lambda m: m[:2])
-        for row in decisions(key[0], messages, history, self.opts):
-            yield _ROW(*row)
+        messages = in_order((b for part in rows for pack in part["pack"] for b in rows_of(pack)), ["micros", "seq"])
+        while some := list(islice(messages, _ROWS_AT_ONCE)):
+            yield frame(_outbox(list(decisions(_chat_id(key[0]), some, history, self.opts))))
+            history.forget(some[-1][0])
         history.settle()
         if self.quiet_ms is not None:
             seen = timerValues.getCurrentProcessingTimeInMs()
             self.handle.registerTimer(seen + self.quiet_ms)
         self.index.update((history.last_id, history.cut, seen, history.buckets))
 
-    def handleInitialState(self, key: tuple, initialState: Row, timerValues: object) -> None:
-        """One bucket of a history that was built elsewhere, or none."""
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        """Buckets of a history that was built elsewhere, or none."""
         last_id, cut, seen, buckets = self._index()
-        if initialState.bucket is not None:
-            self.save(initialState.bucket, [tuple(e[n] for n in _ENTRY_NAMES) for e in initialState.entries])
-            buckets.append(initialState.bucket)
-        self.index.update((max(last_id, initialState.last_id), max(cut, initialState.cut), seen, sorted(buckets)))
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        for row in (row for pack in initialState["pack"] for b in rows_of(pack) for row in b.to_pylist()):
+            last_id, cut = max(last_id, row["last_id"]), max(cut, row["cut"])
+            if row["bucket"] is not None:
+                self.save(row["bucket"], [tuple(e[n] for n in _ENTRY_NAMES) for e in row["entries"]])
+                buckets.append(row["bucket"])
+        self.index.update((last_id, cut, seen, sorted(buckets)))
+
+    def handleExpiredTimer(
+        self, key: tuple, timerValues: object, expiredTimerInfo: object
+    ) -> Iterator[pd.DataFrame]:
         """Forget the history of a chat that has been quiet, but not its last id."""
         last_id, cut, seen, buckets = self._index()
         if self._is_quiet(seen, timerValues):
@@ -118,6 +128,20 @@ class OnlineCompaction(StatefulProcessor):
         pass
 
 
+def _outbox(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(_FIELDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _ARROW)], _FIELDS)
+
+
+def _chat_id(key: str) -> int | None:
+    return int(key) if key else None
+
+
+def _by_chat(rows: DataFrame) -> DataFrame:
+    """(chat, pack) per chat; the chat as a text, as keys must not be null."""
+    return packed(rows.withColumn("chat", F.coalesce(F.col("chat_id").cast("string"), F.lit(""))).drop("chat_id"), "chat")
+
+
 def _timed(messages: DataFrame) -> DataFrame:
     return messages.select(
         F.col("chat_id").cast("long").alias("chat_id"),
@@ -137,8 +161,8 @@ def compact_stream(
     """Outbox rows for a stream of messages(chat_id, ts, seq, text).
 
     For a backlog use :func:`alertfold.operators.folding.compact`, or :func:`compact_backlog` where the stream is to
-    go on from it: here a chat's rows of one run are put in order in one task, so runs must be bounded, as
-    ``stream_queue`` and ``stream_spool`` bound them.
+    go on from it: here a chat's rows of one run are put in order in one task, through files where there are many, so
+    runs should be bounded, as ``stream_queue`` and ``stream_spool`` bound them.
     ``ts`` is the time of the event. Every message is sent, however late: there is no watermark, a late one looks
     at the history around its own time, and goes out alone where that is gone. Muted ones are dropped:
     a ``mute_log`` that is a stream acts from the run that brings a command (see :func:`hear`), a table acts as it
@@ -153,9 +177,12 @@ def compact_stream(
     if mute_log is not None:
         messages = hear(messages, mute_log) if mute_log.isStreaming else drop_muted(messages, mute_log)
     time_mode = "None" if quiet_seconds is None else "ProcessingTime"
-    before = None if state is None else state.groupBy("chat_id")
+    before = None if state is None else _by_chat(state).groupBy("chat")
+    chats = _by_chat(_timed(messages).select("chat_id", "micros", "seq", "text")).groupBy("chat")
     processor = OnlineCompaction(opts, quiet_seconds)
-    return _timed(messages).groupBy("chat_id").transformWithState(processor, OUTBOX, "Append", time_mode, before)
+    return unpacked(
+        chats.transformWithStateInPandas(processor, "pack binary", "Append", time_mode, before), OUTBOX
+    )
 
 
 class _Held(dict):
