@@ -24,7 +24,7 @@ if TYPE_CHECKING:
 
 RUN_BYTES = 16 << 20  # sorted in memory at once
 _GIVEN_BYTES = 4 << 20
-_ROWS_AT_ONCE = 1_000
+_READ_BYTES = 128 << 10  # of each run at once
 
 
 def to_pack(batch: pa.RecordBatch) -> bytes:
@@ -98,15 +98,18 @@ def in_order(batches: Iterable[pa.RecordBatch], by: Sequence[str], run_bytes: in
     with ExitStack() as files:
         runs = []
         while held := list(_until(batches, run_bytes)):
-            ordered = _whole(held).sort_by([(name, "ascending") for name in by]).to_batches(_ROWS_AT_ONCE)
-            if sum(b.nbytes for b in held) >= run_bytes:
+            size = sum(b.nbytes for b in held)
+            whole = _whole(held).sort_by([(name, "ascending") for name in by])
+            ordered = whole.to_batches(max(1, whole.num_rows * _READ_BYTES // max(1, size)))
+            if size >= run_bytes:
                 file = files.enter_context(TemporaryFile())
-                with pa.ipc.new_stream(file, held[0].schema) as out:
+                with pa.ipc.new_stream(file, whole.schema) as out:
                     for batch in ordered:
                         out.write_batch(batch)
                 file.seek(0)
                 ordered = pa.ipc.open_stream(file)
             runs.append(_tuples(ordered))
+            del held, whole, ordered
         yield from merge(*runs, key=itemgetter(*range(len(by)))) if len(runs) > 1 else (runs[0] if runs else ())
 
 
