@@ -27,6 +27,18 @@ def test_hot_keys_are_found(rows):
     assert [r.k for r in hot_keys(rows, ["k"], 500).collect()] == [0]
 
 
+def test_few_large_rows_are_hot_and_do_not_meet_in_one_task(spark):
+    """A key of 400 texts of 64 KB (26 MB) counts as 400,000 rows; numbering them moves the texts once, by ranges."""
+    text = F.repeat(F.sha2(F.col("id").cast("string"), 256), 1024)
+    rows = spark.range(400).select((F.col("id") % 2 - F.col("id") % 2).alias("k"), F.col("id").alias("seq"), text.alias("text"))
+    assert hot_keys(rows.drop("text"), ["k"], 100_000) is None
+    assert [r.k for r in hot_keys(rows, ["k"], 100_000).collect()] == [0]
+    placed = numbered(rows, ["k"], ["seq"], "n", 100_000, "total")
+    assert placed.filter("n = seq + 1 AND total = 400 AND length(text) = 65536").count() == 400
+    sizes = placed.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 200
+
+
 @pytest.mark.parametrize("hot_rows", [1, 50, 500])
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_numbering(rows, keys, hot_rows):
