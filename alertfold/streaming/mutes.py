@@ -14,7 +14,9 @@ from pickle import dump, load
 from tempfile import SpooledTemporaryFile
 from typing import TYPE_CHECKING
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from alertfold.functions.distance import epoch_micros
 from alertfold.operators.mutes import ALL_CHATS
-from alertfold.streaming.packs import RUN_BYTES, frame, packed, rows_of, unpacked
+from alertfold.streaming.packs import RUN_BYTES, frame, joined, packed, rows_of, unpacked
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -31,6 +33,8 @@ SLOTS, SPREAD = 256, 8
 DAY = 86_400
 _ENTRIES = "entries array<struct<micros: bigint, seq: bigint, muted: boolean>>"
 
+_KINDS = (np.int64, np.int64, np.bool_)
+
 Timeline = list[tuple[int, int, bool]]
 
 
@@ -48,6 +52,40 @@ def forget(timeline: Timeline, before: int) -> Timeline:
     return timeline[max(0, at - 1) :]
 
 
+class _Line:
+    """The commands of one scope as columns: times, numbers, states; in order once it is settled."""
+
+    def __init__(self, entries: Timeline = ()) -> None:
+        self.parts = [tuple(np.array(c, k) for c, k in zip(zip(*entries) if entries else ((), (), ()), _KINDS))]
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.parts.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+
+    def settle(self) -> _Line:
+        """Sort what came in, each command once."""
+        if len(self.parts) > 1:
+            micros, seq, muted = (np.concatenate(c) for c in zip(*self.parts))
+            self.parts = []
+            order = np.lexsort((muted, seq, micros))
+            micros, seq, muted = micros[order], seq[order], muted[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (micros[1:] != micros[:-1]) | (seq[1:] != seq[:-1]) | (muted[1:] != muted[:-1])
+            self.parts = [(micros[new], seq[new], muted[new])]
+        return self
+
+    def mutes(self, times: np.ndarray) -> np.ndarray:
+        """``muted_at`` for many times."""
+        micros, _, muted = self.parts[0]
+        at = np.searchsorted(micros, times, "right")
+        return np.concatenate(([False], muted))[at]
+
+    def kept(self, keep_micros: int) -> list[tuple]:
+        """What is left of it, ``keep_micros`` before the last entry, as ``forget`` leaves it."""
+        micros, seq, muted = self.parts[0]
+        start = max(0, int(np.searchsorted(micros, micros[-1] - keep_micros, "right")) - 1)
+        return list(zip(micros[start:].tolist(), seq[start:].tolist(), muted[start:].tolist()))
+
+
 class MuteGate(StatefulProcessor):
     """State per slot: for every scope its mute commands of the last ``keep_seconds``, in order."""
 
@@ -57,43 +95,46 @@ class MuteGate(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.log = handle.getMapState("log", "scope string", _ENTRIES)
 
-    def _timeline(self, scope: str) -> Timeline:
+    def _line(self, scope: str) -> _Line:
         held = self.log.getValue((scope,)) if self.log.containsKey((scope,)) else None
-        return [tuple(e) for e in held[0]] if held else []
+        return _Line([tuple(e) for e in held[0]] if held else ())
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         """Packs of commands have a scope. Those of messages wait, in a file where they are many, until all
         commands are known."""
-        commands: dict[str, set[tuple[int, int, bool]]] = {}
+        known: dict[str, _Line] = {}
         with SpooledTemporaryFile(max_size=RUN_BYTES) as waiting:
             count = 0
             for part in rows:
                 for scope, pack in zip(part["scope"], part["pack"]):
                     if scope:
+                        if scope not in known:
+                            known[scope] = self._line(scope)
                         for batch in rows_of(pack):
-                            commands.setdefault(scope, set()).update(zip(*(c.to_pylist() for c in batch.columns)))
+                            known[scope].add(batch)
                     else:
                         dump(pack, waiting)
                         count += 1
-            known: dict[str, Timeline] = {}
-            for scope, new in commands.items():
-                known[scope] = line = sorted(new.union(self._timeline(scope)))
-                self.log.updateValue((scope,), (forget(line, line[-1][0] - self.keep_micros),))
+            for scope, line in known.items():
+                self.log.updateValue((scope,), (line.settle().kept(self.keep_micros),))
             waiting.seek(0)
-            for _ in range(count):
-                for batch in rows_of(load(waiting)):
-                    heard = self._heard(batch, known)
-                    if heard.num_rows:
-                        yield frame(heard)
-
-    def _heard(self, messages: pa.RecordBatch, known: dict[str, Timeline]) -> pa.RecordBatch:
-        scopes = messages.column("scope").to_pylist()
-        for scope in {ALL_CHATS, *scopes} - set(known):
-            known[scope] = self._timeline(scope)
-        everyone = known[ALL_CHATS]
-        times = messages.column("micros").to_pylist()
-        told = [not (muted_at(everyone, at) or muted_at(known[scope], at)) for scope, at in zip(scopes, times)]
-        return messages.select(["row"]).filter(pa.array(told, pa.bool_()))
+            messages = (batch for _ in range(count) for batch in rows_of(load(waiting)))
+            for heard in joined(self._heard(batch, known) for batch in messages):
+                yield frame(heard)
+
+    def _heard(self, messages: pa.RecordBatch, known: dict[str, _Line]) -> pa.RecordBatch:
+        scopes = pc.dictionary_encode(messages.column("scope"))
+        names = scopes.dictionary.to_pylist()
+        for scope in {ALL_CHATS, *names} - set(known):
+            known[scope] = self._line(scope)
+        at, scope_of = messages.column("micros"), scopes.indices.to_numpy()
+        times = at.fill_null(0).to_numpy()
+        muted = known[ALL_CHATS].mutes(times)
+        for place, scope in enumerate(names):
+            own = scope_of == place
+            muted[own] |= known[scope].mutes(times[own])
+        muted &= at.is_valid().to_numpy(zero_copy_only=False)
+        return messages.select(["row"]).filter(pa.array(~muted))
 
     def close(self) -> None:
         pass

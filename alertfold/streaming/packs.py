@@ -64,22 +64,18 @@ def unpacked(packs: DataFrame, schema: T.StructType | str) -> DataFrame:
     """The rows in a column ``pack``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            for pack in batch.column("pack"):
-                for rows in rows_of(pack.as_py()):
-                    held.append(rows)
-                    size += rows.nbytes
-                if size >= _GIVEN_BYTES:
-                    yield from _whole(held).to_batches()
-                    held, size = [], 0
-        if held:
-            yield from _whole(held).to_batches()
+        return joined(rows for batch in batches for pack in batch.column("pack") for rows in rows_of(pack.as_py()))
 
     return packs.mapInArrow(run, schema)
 
 
+def joined(batches: Iterable[pa.RecordBatch], size: int = _GIVEN_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of many small batches in batches of some bytes; those without rows are left out."""
+    batches = (b for b in batches if b.num_rows)
+    while held := list(_until(batches, size)):
+        yield from _whole(held).to_batches()
+
+
 def _whole(batches: list[pa.RecordBatch]) -> pa.Table:
     return pa.Table.from_batches(batches).combine_chunks()
 
