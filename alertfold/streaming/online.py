@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import groupby, islice
+from itertools import groupby, islice, repeat
 from typing import TYPE_CHECKING
 
 import pyarrow as pa
@@ -89,30 +89,37 @@ class OnlineCompaction(StatefulProcessor):
         return self.quiet_ms is not None and seen + self.quiet_ms <= timerValues.getCurrentProcessingTimeInMs()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        held: list[bytes] = []
+        messages = in_order(_messages(rows, held), ["micros", "seq"])
+        some = list(islice(messages, _ROWS_AT_ONCE))  # by now all packs are read
+        if not self.index.exists():
+            self._begin(held, timerValues)
         last_id, cut, seen, buckets = self._index()
         if self._is_quiet(seen, timerValues):  # and its timer has not fired yet
             self.minutes.clear()
             buckets = []
         history = History(self, buckets, cut, last_id, self.opts)
-        messages = in_order((b for part in rows for pack in part["pack"] for b in rows_of(pack)), ["micros", "seq"])
-        while some := list(islice(messages, _ROWS_AT_ONCE)):
+        while some:
             yield frame(_outbox(list(decisions(_chat_id(key[0]), some, history, self.opts))))
             history.forget(some[-1][0])
+            some = list(islice(messages, _ROWS_AT_ONCE))
         history.settle()
         if self.quiet_ms is not None:
             seen = timerValues.getCurrentProcessingTimeInMs()
             self.handle.registerTimer(seen + self.quiet_ms)
         self.index.update((history.last_id, history.cut, seen, history.buckets))
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
-        """Buckets of a history that was built elsewhere, or none."""
+    def _begin(self, held: list[bytes], timerValues: object) -> None:
+        """Buckets of a history that was built elsewhere, or none; only a chat that is new takes them."""
         last_id, cut, seen, buckets = self._index()
-        for row in (row for pack in initialState["pack"] for b in rows_of(pack) for row in b.to_pylist()):
+        for row in (row for pack in held for b in rows_of(pack) for row in b.to_pylist()):
             last_id, cut = max(last_id, row["last_id"]), max(cut, row["cut"])
             if row["bucket"] is not None:
                 self.save(row["bucket"], [tuple(e[n] for n in _ENTRY_NAMES) for e in row["entries"]])
                 buckets.append(row["bucket"])
-        self.index.update((last_id, cut, seen, sorted(buckets)))
+        if held:
+            seen = seen if self.quiet_ms is None else timerValues.getCurrentProcessingTimeInMs()
+            self.index.update((last_id, cut, seen, sorted(buckets)))
 
     def handleExpiredTimer(
         self, key: tuple, timerValues: object, expiredTimerInfo: object
@@ -128,6 +135,16 @@ class OnlineCompaction(StatefulProcessor):
         pass
 
 
+def _messages(parts: Iterable[pd.DataFrame], held: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Packs of messages; those of a history that a chat begins with are put aside."""
+    for part in parts:
+        for pack, begins in zip(part["pack"], part.get("held", repeat(False))):
+            if begins:
+                held.append(pack)
+            else:
+                yield from rows_of(pack)
+
+
 def _outbox(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * len(_FIELDS)
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _ARROW)], _FIELDS)
@@ -166,7 +183,8 @@ def compact_stream(
     ``ts`` is the time of the event. Every message is sent, however late: there is no watermark, a late one looks
     at the history around its own time, and goes out alone where that is gone. Muted ones are dropped:
     a ``mute_log`` that is a stream acts from the run that brings a command (see :func:`hear`), a table acts as it
-    stands when the stream starts. ``state``, of :func:`compact_backlog`, is what a new query begins with.
+    stands when the stream starts. ``state``, of :func:`compact_backlog`, is what a new query begins with;
+    give it when the query starts again as well, where chats that are known leave it.
 
     A chat keeps the history beside its newest message and its last id. With ``quiet_seconds``, the history of a
     chat without messages for that time on the clock is forgotten, the id is not. See ``idle_runs`` of
@@ -177,14 +195,25 @@ def compact_stream(
     if mute_log is not None:
         messages = hear(messages, mute_log) if mute_log.isStreaming else drop_muted(messages, mute_log)
     time_mode = "None" if quiet_seconds is None else "ProcessingTime"
-    before = None if state is None else _by_chat(state).groupBy("chat")
-    chats = _by_chat(_timed(messages).select("chat_id", "micros", "seq", "text")).groupBy("chat")
+    packs = _by_chat(_timed(messages).select("chat_id", "micros", "seq", "text"))
+    if state is not None:
+        before = _by_chat(_streamed(state)).withColumn("held", F.lit(True))
+        packs = packs.withColumn("held", F.lit(False)).unionByName(before)
     processor = OnlineCompaction(opts, quiet_seconds)
     return unpacked(
-        chats.transformWithStateInPandas(processor, "pack binary", "Append", time_mode, before), OUTBOX
+        packs.groupBy("chat").transformWithStateInPandas(processor, "pack binary", "Append", time_mode), OUTBOX
     )
 
 
+def _streamed(state: DataFrame) -> DataFrame:
+    """A table as a stream whose first run brings all of it. (Beside an initial state PySpark would hold all that the
+    first run brings for a key.)"""
+    folder = scratch_path(state.sparkSession, "state")
+    state.write.parquet(folder)
+    # a pattern, as a query that starts again also looks at files it has read from the folder of its first start
+    return state.sparkSession.readStream.schema(state.schema).parquet(f"{folder}/*")
+
+
 class _Held(dict):
     """A store in memory."""
 
