@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertfold.functions.distance import byte_text
+from alertfold.functions.distance import SHORT, byte_text, short_distances
 from alertfold.functions.script import guarded_heads, keeps_multibyte
 from alertfold.operators.boxes import BOX, pack_boxes
 
+FEW = 100  # texts of a box whose distances go to and come from Python together
+
 
 def _under(ratio: Column, accuracy: float, inclusive: bool) -> Column:
     return ratio <= accuracy if inclusive else ratio < accuracy
@@ -85,46 +87,83 @@ def guard_multibyte(distances: DataFrame) -> DataFrame:
     return distances.withColumn("_allowed", allowed).withColumn("levs", guarded).drop("_allowed")
 
 
-def _edges(
-    boxed: DataFrame, accuracy: float, inclusive: bool = False, also: dict[str, Callable] | None = None
-) -> DataFrame:
-    """One row per similar pair of messages, the earlier one as head: head_seq, member_seq, lev, dist, and
-    what ``also`` takes from each of the two texts. Nothing else of the box is carried along.
+def _own_kind(text: Column, extra: dict[str, Callable]) -> Column:
+    """A distinct text of a box as pairs need it, with the place and number of each of its messages."""
+    same = F.filter("msgs", lambda m: m["text"] == text)
+    kind = _kind(text)
+    return F.struct(
+        kind["flat"].alias("flat"),
+        kind["bytes"].alias("bytes"),
+        F.transform(same, lambda m: F.struct(m["pos"].alias("pos"), m["seq"].alias("seq"))).alias("at"),
+        *[take(text).alias(f"_{name}") for name, take in extra.items()],
+    )
+
+
+def _pairs_of_kinds(kinds: DataFrame, accuracy: float, inclusive: bool, known: Column | None) -> DataFrame:
+    """One row per similar pair of ``kinds`` of a box, or of a kind and itself: x, y, a, b, lev, longer, dist.
+
+    Pairs are rows, not arrays: whole rows are compiled, while functions over arrays are interpreted. A box has a
+    bounded number of them. ``known`` gives distances that need no measuring, or null, and may use ``levs``.
 
     Outer explodes, here and elsewhere: an inner one makes the optimizer add a filter on the array, which
-    would compute the whole array a second time.
+    would compute the whole array a second time. What is measured goes through one, too: a filter is not moved below it,
+    so a distance is taken once.
     """
-    msgs, kind_of, levs = F.col("msgs"), F.col("kind_of"), F.col("levs")
+    carried = [c for c in kinds.columns if c != "kinds"]
+    firsts = kinds.select("*", F.posexplode_outer("kinds").alias("y", "b"))
+    up_to = F.slice("kinds", F.lit(1), F.col("y") + 1)
+    pairs = firsts.select(*carried, "y", "b", F.posexplode_outer(up_to).alias("x", "a"))
+    longer = F.greatest("a.bytes", "b.bytes")
+    gap = F.abs(F.col("a.bytes") - F.col("b.bytes"))
+    limit = F.least(longer, F.ceil(longer * accuracy).cast("int") + 1)
+    measured = F.call_function("levenshtein", F.col("a.flat"), F.col("b.flat"), limit)
+    if known is not None:
+        measured = F.coalesce(known, measured)
+    lev = F.when(F.col("x") == F.col("y"), F.lit(0)).otherwise(measured)
+    # the difference in length is a lower bound of the distance; empty texts are near to nothing
+    possible = pairs.filter(_under(F.when(longer > 0, gap / longer), accuracy, inclusive))
+    once = F.explode_outer(F.array(F.struct(lev.alias("lev"), longer.alias("longer")))).alias("m")
+    found = possible.select(*BOX, "x", "y", "a", "b", once).select(*BOX, "x", "y", "a", "b", "m.*")
+    dist = F.when(F.col("lev") >= 0, F.col("lev") / F.col("longer"))
+    return found.filter(_under(dist, accuracy, inclusive)).withColumn("dist", dist)
 
-    def between(x: Column, y: Column) -> Column:
-        return F.when(x <= y, F.get(F.get(levs, y), x)).otherwise(F.get(F.get(levs, x), y))
 
-    def edge(head: Column, member: Column, d: Column) -> Column:
-        more = [
-            take(side["text"]).alias(f"{role}_{name}")
-            for name, take in (also or {}).items()
-            for role, side in (("head", head), ("member", member))
-        ]
-        return F.struct(
-            head["seq"].alias("head_seq"),
-            member["seq"].alias("member_seq"),
-            d["lev"].alias("lev"),
-            d["dist"].alias("dist"),
-            *more,
-        )
-
-    def candidates(y: Column, j: Column) -> Column:
-        pairs = F.transform(
-            F.slice(kind_of, F.lit(1), j), lambda x, i: F.struct(i.alias("head"), between(x, y).alias("d"))
-        )
-        return F.transform(
-            F.filter(pairs, lambda p: p["d"].isNotNull()),
-            lambda p: edge(F.get(msgs, p["head"]), F.get(msgs, j), p["d"]),
-        )
+def _edges(
+    boxed: DataFrame,
+    accuracy: float,
+    inclusive: bool = False,
+    also: dict[str, Callable] | None = None,
+    short_in_python: bool = False,
+) -> DataFrame:
+    """One row per similar pair of messages, the earlier one as head: head_seq, member_seq, lev, dist, and
+    what ``also`` takes from each of the two texts. Nothing else of the box is carried along.
 
-    boxes = with_distances(pack_boxes(boxed), accuracy, inclusive)
-    rows = boxes.select(*BOX, F.explode_outer(F.flatten(F.transform(kind_of, candidates))).alias("e"))
-    return rows.filter(F.col("e").isNotNull()).select(*BOX, "e.*")
+    Distances are taken once per pair of distinct texts, so copies cost a row each and no distance. With
+    ``short_in_python``, those of short texts are taken together in Python, a box at a time.
+    """
+    extra = also or {}
+    own = extra | ({"short": lambda text: F.when(F.octet_length(text) <= SHORT, text)} if short_in_python else {})
+    distinct = F.array_distinct(F.transform("msgs", lambda m: m["text"]))
+    kinds = pack_boxes(boxed).select(*BOX, F.transform(distinct, lambda text: _own_kind(text, own)).alias("kinds"))
+    known = None
+    if short_in_python:
+        few = F.when(F.size("kinds") <= FEW, F.col("kinds")["_short"])
+        kinds = kinds.withColumn("levs", short_distances(few))
+        x, y = F.col("x"), F.col("y")
+        known = F.get("levs", F.shiftright(y * (y - 1), 1) + x).cast("int")
+    near = _pairs_of_kinds(kinds, accuracy, inclusive, known)
+    sides = near.withColumn("m", F.explode_outer("a.at")).withColumn("n", F.explode_outer("b.at"))
+    # the two of one kind meet twice, those of two kinds once
+    once = sides.filter((F.col("x") < F.col("y")) | (F.col("m.pos") < F.col("n.pos")))
+    turned = F.col("n.pos") < F.col("m.pos")
+
+    def of(role: str, name: str, first: str, second: str) -> Column:
+        left, right = (second, first) if role == "head" else (first, second)
+        return F.when(turned, F.col(left)).otherwise(F.col(right)).alias(f"{role}_{name}")
+
+    more = [of(role, name, f"a._{name}", f"b._{name}") for name in extra for role in ("head", "member")]
+    seqs = [of(role, "seq", "m.seq", "n.seq") for role in ("head", "member")]
+    return once.select(*BOX, *seqs, "lev", "dist", *more)
 
 
 _PAIR = [*BOX, "head_seq", "member_seq", "lev", "dist"]
@@ -136,13 +175,14 @@ def similarity_pairs(
     """Pairs of similar messages of a box: head_seq, member_seq, lev (bytes), dist.
 
     ``norm='max'`` divides by the longer text and gives each pair once, the earlier message as head.
-    ``norm='left'`` divides by the head and gives every ordered pair that passes.
+    ``norm='left'`` divides by the head and gives every ordered pair that passes; it takes the distances of short
+    texts together in Python, the other stays in the JVM.
     """
     if norm not in ("max", "left"):
         raise ValueError("norm must be 'max' or 'left'")
     if norm == "max":
         return _edges(boxed, accuracy, inclusive).select(*_PAIR)
-    edges = _edges(boxed, accuracy, inclusive, {"bytes": F.octet_length})
+    edges = _edges(boxed, accuracy, inclusive, {"bytes": F.octet_length}, short_in_python=True)
 
     # distance / head length under the bound implies distance / longer length under it
     def directed(head: str, member: str) -> Column:

@@ -1,0 +1,101 @@
+"""Distances of all short texts of a box at once, and the pairs that come of them."""
+
+import os
+import random
+from functools import lru_cache
+
+import pyarrow as pa
+import pytest
+
+from alertfold.functions.distance import SHORT, _distances_of
+from alertfold.operators import similarity
+from alertfold.operators.boxes import assign_boxes
+from alertfold.operators.similarity import similarity_pairs
+from alertfold_checks import queries as registry
+from alertfold_checks.inputs import Inputs
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@lru_cache(None)
+def lev(a, b):
+    """Cell by cell, on bytes."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def some_text(rng):
+    text = "".join(rng.choice("abcdé") for _ in range(rng.choice([0, 1, 2, 9, 30, 62, 64])))
+    return text if len(text.encode()) <= SHORT and rng.random() > 0.1 else None
+
+
+def test_distances_of_boxes_equal_those_cell_by_cell():
+    rng = random.Random(5)
+    boxes = [[some_text(rng) for _ in range(rng.choice([0, 1, 2, 5, 12]))] for _ in range(120)]
+    boxes[3:3] = [None, [], [None, None], ["", ""], ["x" * SHORT, "y" * SHORT, "x" * (SHORT - 1)]]
+    given = pa.array(boxes, pa.list_(pa.string()))
+    for skipped in (0, 5):
+        want = [
+            [None if x is None or y is None else lev(x.encode(), y.encode()) for j, y in enumerate(b) for x in b[:j]]
+            for b in (box or [] for box in boxes[skipped:])
+        ]
+        assert _distances_of(given.slice(skipped)).to_pylist() == want
+    assert _distances_of(given.slice(0, 0)).to_pylist() == []
+
+
+def test_distances_do_not_depend_on_how_many_are_taken_together(monkeypatch):
+    rng = random.Random(6)
+    given = pa.array([[some_text(rng) for _ in range(7)] for _ in range(40)], pa.list_(pa.string()))
+    whole = _distances_of(given)
+    monkeypatch.setattr("alertfold.functions.distance._PAIRS", 30)
+    assert _distances_of(given).equals(whole)
+
+
+def crowd(messages_of):
+    """Copies, empty, missing, multibyte and long texts; some boxes have texts around the length that is short."""
+    rng = random.Random(7)
+    texts = ["", None, "disk 91 full", "disk 7 full", "été: 1 degré", "ete: 1 degré", "a", "ab"]
+    texts += ["long " * 12 + tail for tail in ("", "1", "12", "123", "1234", "12345")] + ["other " * 30, "other " * 31]
+    return assign_boxes(messages_of([(box, i, rng.choice(texts)) for box in range(25) for i in range(14)]), 3600, 10)
+
+
+def wanted(boxed, accuracy, norm, inclusive):
+    rows = [r for r in boxed.collect() if r.text is not None]
+    found = set()
+    for a in rows:
+        for b in rows:
+            same = (a.chat_id, a.tick, a.box) == (b.chat_id, b.tick, b.box)
+            if not same or a.pos == b.pos or (norm == "max" and a.pos > b.pos):
+                continue
+            x, y = a.text.encode(), b.text.encode()
+            size = len(x) if norm == "left" else max(len(x), len(y))
+            if size and (lev(x, y) / size < accuracy or inclusive and lev(x, y) / size == accuracy):
+                found.add((a.chat_id, a.tick, a.box, a.seq, b.seq, lev(x, y), lev(x, y) / size))
+    return found
+
+
+@pytest.mark.parametrize("norm", ["left", "max"])
+@pytest.mark.parametrize("few", [100, 5])
+def test_pairs_equal_all_pairs_tried(messages_of, monkeypatch, norm, few):
+    monkeypatch.setattr(similarity, "FEW", few)
+    boxed = crowd(messages_of)
+    for accuracy, inclusive in ((0.4, False), (0.25, True), (0.0, True)):
+        got = [tuple(r) for r in similarity_pairs(boxed, accuracy, norm, inclusive).collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted(boxed, accuracy, norm, inclusive)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
+def test_pairs_are_rows_and_short_distances_come_together(spark):
+    """Arrays of pairs are interpreted, and a distance by itself takes many times as long."""
+
+    def plan(name):
+        return registry.QUERIES[name](Inputs(spark, SF_DIR))._jdf.queryExecution().executedPlan().toString()
+
+    for name in ("similarity_pairs", "similarity_pairs_left", "similarity_pairs_notes", "multibyte_guard"):
+        assert plan(name).count("Generate posexplode(") == 2, name
+        assert plan(name).count("levenshtein(") == 1, name
+    assert plan("similarity_pairs_left").count("ArrowEvalPython") == 1
