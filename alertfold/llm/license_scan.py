@@ -24,7 +24,7 @@ BASE_PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# fixed values: names of licenses, where the caller has no phrases of their own
+# fixed values: names of licenses and their labels; the base where the caller has no phrases of their own
 NAMES = {
     "the mit license": "mit",
     "apache license version 2": "apache-2",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from alertfold.llm.license_scan import BASE_PHRASES, TEMPLATES
+from alertfold.llm.license_scan import BASE_PHRASES, NAMES, TEMPLATES
 from alertfold.llm.mixing import MAX_EPOCHS, SEED, WEIGHTS
 from alertfold.llm.periodic_runs import MIN_WORDS
 from alertfold.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
@@ -29,16 +29,21 @@ def _mandatory(template: str) -> int:
     return len(set(plain.split()))
 
 
-def _license_scan() -> str:
-    known = [(label, phrase, True) for phrase, label in BASE_PHRASES.items()]
-    known += [(label, template, False) for label, template in TEMPLATES.items()]
-    rows = ", ".join(f"('{label}', '{_pattern(t)} ', {_mandatory(t)}, {base})" for label, t, base in known)
-    size = {phrase: phrase.count(" ") + 1 for phrase in BASE_PHRASES}
-    starts = " UNION ALL ".join(
+def _starts(phrases: dict[str, str]) -> str:
+    size = {phrase: phrase.count(" ") + 1 for phrase in phrases}
+    return " UNION ALL ".join(
         f"SELECT doc_id, unnest(list_filter(range(len(w)), lambda i: array_to_string(w[i + 1:i + {n}], ' ') = '{p}')) AS spot"
         f" FROM worded"
         for p, n in size.items()
     )
+
+
+def _license_scan() -> str:
+    known = [(label, phrase, True) for phrase, label in BASE_PHRASES.items()]
+    known += [(label, name, False) for name, label in NAMES.items()]
+    known += [(label, template, False) for label, template in TEMPLATES.items()]
+    rows = ", ".join(f"('{label}', '{_pattern(t)} ', {_mandatory(t)}, {base})" for label, t, base in known)
+    named = ", ".join(f"'{label}'" for label in NAMES.values())
     return f"""
 WITH known(label, pattern, mandatory, base) AS (VALUES {rows}),
 worded AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -47,14 +52,19 @@ found AS (SELECT doc_id, label, mandatory, base FROM lines, known WHERE regexp_m
 labels AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE NOT base AND label IN ({named})) AS name_labels,
          max(mandatory) AS most
   FROM found GROUP BY doc_id),
-places AS ({starts}),
-spots AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word FROM places GROUP BY doc_id)
+places AS ({_starts(BASE_PHRASES)}),
+spots AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word FROM places GROUP BY doc_id),
+named AS ({_starts(NAMES)}),
+names AS (SELECT doc_id, count(*) AS n_names, min(spot) AS first_name, max(spot) AS last_name FROM named GROUP BY doc_id)
 SELECT worded.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
        first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
-       coalesce(labels, '') AS labels, coalesce(most / (most + 1)::DOUBLE, 0.0) AS score
-FROM worded LEFT JOIN labels USING (doc_id) LEFT JOIN spots USING (doc_id)
+       coalesce(labels, '') AS labels, coalesce(most / (most + 1)::DOUBLE, 0.0) AS score,
+       coalesce(n_names, 0)::BIGINT AS n_names, first_name::BIGINT AS first_name, last_name::BIGINT AS last_name,
+       coalesce(name_labels, '') AS name_labels
+FROM worded LEFT JOIN labels USING (doc_id) LEFT JOIN spots USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
 

@@ -28,24 +28,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _labels(only_base: bool):
-    kept = F.filter("places", lambda p: p["base"]) if only_base else F.col("places")
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(kept, lambda p: p["label"]))), ",")
+def _labels(places):
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
 
 
 @query
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = F.transform(F.filter("places", lambda p: p["base"]), lambda p: p["first"])
+    """Places of the contract's phrases; beside them those of the licenses' names, wherever they stand."""
+    names = {label: name for name, label in license_scan.NAMES.items()}
+    base = F.filter("places", lambda p: p["base"])
+    named = F.filter("places", lambda p: ~p["base"] & p["label"].isin(*names))
+    at_base, at_name = F.transform(base, lambda p: p["first"]), F.transform(named, lambda p: p["first"])
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return license_scan.scan(docs, phrases=license_scan.BASE_PHRASES).select(
+    return license_scan.scan(docs, license_scan.TEMPLATES | names, license_scan.BASE_PHRASES).select(
         "row.doc_id",
         "n_words",
         F.size(base).cast("long").alias("n_base"),
-        F.array_min(base).alias("first_word"),
-        F.array_max(base).alias("last_word"),
-        _labels(True).alias("base_labels"),
-        _labels(False).alias("labels"),
+        F.array_min(at_base).alias("first_word"),
+        F.array_max(at_base).alias("last_word"),
+        _labels(base).alias("base_labels"),
+        _labels(F.col("places")).alias("labels"),
         "score",
+        F.size(named).cast("long").alias("n_names"),
+        F.array_min(at_name).alias("first_name"),
+        F.array_max(at_name).alias("last_name"),
+        _labels(named).alias("name_labels"),
     )
 
 

@@ -88,6 +88,32 @@ def test_the_query_takes_the_phrases_of_its_contract(spark, tmp_path):
         assert row.base_labels == ",".join(sorted({label for _, label in spots}))
 
 
+def test_the_query_gives_places_of_names_outside_the_phrases_of_its_contract(spark, tmp_path):
+    texts = ["see the MIT license", "The mit-license, under the mit license; cc by nc", "mit license", "", None]
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.QUERIES["op1_license_scan"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.n_base, r.base_labels) for r in rows] == [(0, ""), (2, "cc-by-nc,mit"), (0, ""), (0, ""), (0, "")]
+    assert [r.labels for r in rows] == ["mit", "cc-by-nc,mit", "", "", ""]
+    assert [r.score for r in rows] == [3 / 4, 4 / 5, 0, 0, 0]
+    names = [(r.n_names, r.first_name, r.last_name, r.name_labels) for r in rows]
+    assert names == [(1, 1, 1, "mit"), (3, 0, 7, "cc-by-nc,mit")] + [(0, None, None, "")] * 3
+
+
+def test_the_columns_of_names_are_those_of_phrases_by_the_operators_default(spark, tmp_path):
+    """On texts with and without 'under', and with names that overlap or repeat."""
+    draw = random.Random(8)
+    parts = [*"under the mit license apache version 2 cc by nc".split(), *license_scan.NAMES, "under the mit license"]
+    texts = [" ".join(draw.choice(parts) for _ in range(draw.randrange(25))) for _ in range(300)]
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.QUERIES["op1_license_scan"](spark, str(tmp_path)).collect()}
+    for r in license_scan.scan(table(spark, texts)).collect():
+        row, base = got[r.row.doc_id], [p for p in r.places if p.base]
+        starts = [p.first for p in base] or [None]
+        assert (row.n_names, row.first_name, row.last_name) == (len(base), min(starts), max(starts))
+        assert row.name_labels == ",".join(sorted({p.label for p in base}))
+        assert {p.label for p in r.places} == set(filter(None, row.labels.split(","))) and row.score >= r.score
+
+
 def test_a_template_must_be_well_formed():
     for bad in ("<<optional>> a <<end>> b", "a <<optional>> b", "<<any 3>>"):
         with pytest.raises(ValueError):
